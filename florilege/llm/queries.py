@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from florilege.llm import leakage, sitelines, split
+from florilege.llm import leakage, neardup, sitelines, split
 from florilege.llm.common import table
 
 
@@ -20,6 +20,14 @@ def p1_pieces(spark: SparkSession, d: str) -> DataFrame:
     return split.pieces(table(spark, d, "hsh_vectors"))
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return neardup.near_pairs(table(spark, d, "hsh_vectors", "id", "text"))
+
+
+def p4_groups(spark: SparkSession, d: str) -> DataFrame:
+    return neardup.near_groups(table(spark, d, "hsh_vectors", "id", "text"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return sitelines.repeated_lines(table(spark, d, "hsh_vectors", "source_url", "text")).select("host", "line_key")
 
@@ -37,7 +45,7 @@ def p8_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_pieces, p5_found, p5_cleaned, p8_found, p8_report)}
+    return {f.__name__: f for f in (p1_found, p1_pieces, p4_found, p4_groups, p5_found, p5_cleaned, p8_found, p8_report)}
 
 
 def oracle_sql() -> dict[str, str]:
