@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from florilege.llm import leakage, neardup, sitelines, split
+from florilege.llm import leakage, neardup, residue, sitelines, split
 from florilege.llm.common import table
 
 
@@ -20,6 +20,18 @@ def p1_pieces(spark: SparkSession, d: str) -> DataFrame:
     return split.pieces(table(spark, d, "hsh_vectors"))
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return residue.residue(table(spark, d, "hsh_vectors", "id", "text"), ["id"]).where("id IS NOT NULL").select("id").distinct()
+
+
+def p3_marked(spark: SparkSession, d: str) -> DataFrame:
+    return residue.marked(table(spark, d, "hsh_vectors", "id", "text"))
+
+
+def p3_kept(spark: SparkSession, d: str) -> DataFrame:
+    return residue.without_residue(table(spark, d, "hsh_vectors", "id", "source_url", "chunk_index", "text"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return neardup.near_pairs(table(spark, d, "hsh_vectors", "id", "text"))
 
@@ -45,7 +57,7 @@ def p8_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_pieces, p4_found, p4_groups, p5_found, p5_cleaned, p8_found, p8_report)}
+    return {f.__name__: f for f in (p1_found, p1_pieces, p3_found, p3_marked, p3_kept, p4_found, p4_groups, p5_found, p5_cleaned, p8_found, p8_report)}
 
 
 def oracle_sql() -> dict[str, str]:
