@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from florilege.llm import leakage, neardup, residue, sitelines, split
+from florilege.llm import leakage, maincontent, neardup, residue, sitelines, split
 from florilege.llm.common import table
 
 
@@ -48,6 +48,14 @@ def p5_cleaned(spark: SparkSession, d: str) -> DataFrame:
     return sitelines.without_repeated_lines(table(spark, d, "hsh_vectors", "id", "source_url", "text"))
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return maincontent.furniture(table(spark, d, "hsh_vectors", "id", "source_url", "text"), ["id"]).where("id IS NOT NULL")
+
+
+def p6_content(spark: SparkSession, d: str) -> DataFrame:
+    return maincontent.main_content(table(spark, d, "hsh_vectors", "id", "source_url", "text"))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaked(table(spark, d, "documents", "doc_id", "text"), table(spark, d, "benchmark", "item_id", "text"))
 
@@ -57,7 +65,7 @@ def p8_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_pieces, p3_found, p3_marked, p3_kept, p4_found, p4_groups, p5_found, p5_cleaned, p8_found, p8_report)}
+    return {f.__name__: f for f in (p1_found, p1_pieces, p3_found, p3_marked, p3_kept, p4_found, p4_groups, p5_found, p5_cleaned, p6_found, p6_content, p8_found, p8_report)}
 
 
 def oracle_sql() -> dict[str, str]:
