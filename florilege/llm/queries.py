@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from florilege.llm import leakage, maincontent, neardup, residue, sitelines, split
+from florilege.llm import language, leakage, maincontent, neardup, residue, sitelines, split
 from florilege.llm.common import table
 
 
@@ -20,6 +20,20 @@ def p1_pieces(spark: SparkSession, d: str) -> DataFrame:
     return split.pieces(table(spark, d, "hsh_vectors"))
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return language.wrong_labels(table(spark, d, "quality_assessment", "file", "language"), table(spark, d, "cleaned_body", "file", "text"))
+
+
+def p2_pages(spark: SparkSession, d: str) -> DataFrame:
+    labels, bodies = table(spark, d, "quality_assessment", "file", "language"), table(spark, d, "cleaned_body", "file", "text")
+    return language.page_languages(bodies, language.fit(labels, bodies))
+
+
+def p2_segments(spark: SparkSession, d: str) -> DataFrame:
+    model = language.fit(table(spark, d, "quality_assessment", "file", "language"), table(spark, d, "cleaned_body", "file", "text"))
+    return language.text_segments(table(spark, d, "hsh_vectors", "id", "text"), model)
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return residue.residue(table(spark, d, "hsh_vectors", "id", "text"), ["id"]).where("id IS NOT NULL").select("id").distinct()
 
@@ -65,7 +79,7 @@ def p8_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_pieces, p3_found, p3_marked, p3_kept, p4_found, p4_groups, p5_found, p5_cleaned, p6_found, p6_content, p8_found, p8_report)}
+    return {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_pages, p2_segments, p3_found, p3_marked, p3_kept, p4_found, p4_groups, p5_found, p5_cleaned, p6_found, p6_content, p8_found, p8_report)}
 
 
 def oracle_sql() -> dict[str, str]:
