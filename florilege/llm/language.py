@@ -11,14 +11,13 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from florilege.llm.maincontent import SHAPES
+from florilege.llm.maincontent import is_furniture
 
 LANGUAGES = ("de", "en", "es", "fr", "it", "nl", "pl", "tr")
 #: Bounds of the labelled sample: pages of each label, characters of a page, and characters of a language's text.
@@ -138,18 +137,6 @@ class Model:
         return np.add.reduceat(self.costs[flat], first, axis=0) / chars[:, None]
 
 
-@cache
-def _furniture() -> re.Pattern:
-    import regex
-
-    return regex.compile("|".join(p for patterns in SHAPES.values() for p in patterns))
-
-
-def _is_furniture(line: str) -> bool:
-    one = re.sub(r"^[ *_>]+|[ *_]+$", "", re.sub(r"\s+", " ", line.lower()))
-    return len(one) <= 400 and _furniture().match(one) is not None
-
-
 def sentences(text: str) -> list[tuple[int, int, list[str]]]:
     """(start, end, words) of the sentences and lines of a text that have words; addresses count as none."""
     out, at = [], 0
@@ -200,22 +187,29 @@ def page_language(text: str, m: Model) -> tuple[str, float, int, dict[str, int]]
 
 def _page(text: str, parts: list, h: np.ndarray, m: Model) -> tuple[str, float, int, dict[str, int]]:
     n = [len(w) for _, _, w in parts]
+    pieces = len(text.split())
     best = _choose(h, n)
-    if len(set(best[best >= 0].tolist())) > 1:
-        keep = []
-        for k, (a, _, _) in enumerate(parts):
+    known = sum(k for k, b in zip(n, best, strict=True) if b >= 0)
+    if len(set(best[best >= 0].tolist())) > 1 or 2 * known < pieces:
+        keep, pieces = [], 0
+        for line in text.split("\n"):
+            if not line.lstrip().startswith("#") and not is_furniture(line):
+                pieces += len(line.split())
+        for a, _, _ in parts:
             start = text.rfind("\n", 0, a) + 1
             stop = text.find("\n", a)
             line = text[start : stop if stop >= 0 else len(text)]
-            keep.append(not line.lstrip().startswith("#") and not _is_furniture(line))
+            keep.append(not line.lstrip().startswith("#") and not is_furniture(line))
         if any(keep):
             index = np.flatnonzero(keep)
-            h, n, best = h[index], [n[k] for k in index], best[index]
+            h, n = h[index], [n[k] for k in index]
             best = _choose(h, n)
+        elif pieces:
+            return "und", 0.0, int(sum(n)), {}
     n = np.array(n)
     by = {m.languages[k]: int(n[best == k].sum()) for k in set(best[best >= 0].tolist())}
     total = sum(by.values())
-    if not total or total < KNOWN_SHARE * n.sum():
+    if not total or total < KNOWN_SHARE * max(pieces, int(n.sum())):
         return "und", 0.0, int(n.sum()), by
     order = sorted(by, key=lambda x: (-by[x], x))
     first = m.languages.index(order[0])
