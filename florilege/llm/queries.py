@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from florilege.llm import language, leakage, maincontent, neardup, residue, sitelines, split
+from florilege.llm import language, leakage, maincontent, neardup, residue, sitelines, spam, split
 from florilege.llm.common import table
 
 
@@ -78,8 +78,17 @@ def p8_report(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leak_report(table(spark, d, "documents", "doc_id", "text"), table(spark, d, "benchmark", "item_id", "text"))
 
 
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return spam.spam(table(spark, d, "documents", "doc_id", "lang", "text")).select("doc_id")
+
+
+def p10_curves(spark: SparkSession, d: str) -> DataFrame:
+    rows = spam.judged(table(spark, d, "documents", "doc_id", "lang", "text"))
+    return rows.select("doc_id", "words", "links", "tags", *[F.round(m, 4).alias(m) for m in spam.MEASURES], *[f"far_{m}" for m in spam.MEASURES], "kind", "share")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_pages, p2_segments, p3_found, p3_marked, p3_kept, p4_found, p4_groups, p5_found, p5_cleaned, p6_found, p6_content, p8_found, p8_report)}
+    return {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_pages, p2_segments, p3_found, p3_marked, p3_kept, p4_found, p4_groups, p5_found, p5_cleaned, p6_found, p6_content, p8_found, p8_report, p10_found, p10_curves)}
 
 
 def oracle_sql() -> dict[str, str]:
