@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from florilege.llm import language, leakage, maincontent, neardup, residue, sitelines, spam, split
-from florilege.llm.common import table
+from florilege.llm import language, leakage, maincontent, mixing, neardup, residue, sitelines, spam, split
+from florilege.llm.common import cut, table
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -78,6 +78,18 @@ def p8_report(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leak_report(table(spark, d, "documents", "doc_id", "text"), table(spark, d, "benchmark", "item_id", "text"))
 
 
+def _sizes(spark: SparkSession, d: str) -> DataFrame:
+    return cut(mixing.token_counts(table(spark, d, "documents", "doc_id", "source", "text")))
+
+
+def p9_mixture(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mixed(_sizes(spark, d), table(spark, d, "mix_targets"))
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.shares(_sizes(spark, d), table(spark, d, "mix_targets"))
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return spam.spam(table(spark, d, "documents", "doc_id", "lang", "text")).select("doc_id")
 
@@ -88,7 +100,7 @@ def p10_curves(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_pages, p2_segments, p3_found, p3_marked, p3_kept, p4_found, p4_groups, p5_found, p5_cleaned, p6_found, p6_content, p8_found, p8_report, p10_found, p10_curves)}
+    return {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_pages, p2_segments, p3_found, p3_marked, p3_kept, p4_found, p4_groups, p5_found, p5_cleaned, p6_found, p6_content, p8_found, p8_report, p9_mixture, p9_shares, p10_found, p10_curves)}
 
 
 def oracle_sql() -> dict[str, str]:
