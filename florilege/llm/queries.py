@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from florilege.llm import language, leakage, maincontent, mixing, neardup, residue, sitelines, spam, split
+from florilege.llm import language, leakage, maincontent, mixing, neardup, residue, sitelines, spam, split, textstats
 from florilege.llm.common import cut, table
 
 
@@ -70,6 +70,14 @@ def p6_content(spark: SparkSession, d: str) -> DataFrame:
     return maincontent.main_content(table(spark, d, "hsh_vectors", "id", "source_url", "text"))
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return textstats.not_prose(table(spark, d, "cleaned_body", "file", "text"))
+
+
+def p7_statistics(spark: SparkSession, d: str) -> DataFrame:
+    return textstats.statistics(table(spark, d, "cleaned_body", "file", "text"))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaked(table(spark, d, "documents", "doc_id", "text"), table(spark, d, "benchmark", "item_id", "text"))
 
@@ -100,7 +108,7 @@ def p10_curves(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_pages, p2_segments, p3_found, p3_marked, p3_kept, p4_found, p4_groups, p5_found, p5_cleaned, p6_found, p6_content, p8_found, p8_report, p9_mixture, p9_shares, p10_found, p10_curves)}
+    return {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_pages, p2_segments, p3_found, p3_marked, p3_kept, p4_found, p4_groups, p5_found, p5_cleaned, p6_found, p6_content, p7_found, p7_statistics, p8_found, p8_report, p9_mixture, p9_shares, p10_found, p10_curves)}
 
 
 def oracle_sql() -> dict[str, str]:
