@@ -21,10 +21,10 @@ def without_thoughts(text: Column) -> Column:
 
 def collapse_paragraphs(text: Column) -> Column:
     """Paragraphs without those that repeat the one before, whatever their case and white space."""
-    parts = F.transform(F.split(F.trim(text), r"\n{2,}"), lambda p: F.trim(p))
-    same = lambda p: F.lower(T.squeeze(p))
-    kept = F.filter(F.arrays_zip(parts.alias("p"), F.sequence(F.lit(0), F.size(parts) - 1).alias("i")), lambda x: (x["i"] == 0) | (same(x["p"]) == "") | (same(x["p"]) != same(F.get(parts, F.greatest(x["i"] - 1, F.lit(0))))))
-    return F.array_join(F.transform(kept, lambda x: x["p"]), "\n\n")
+    parts = F.transform(F.split(F.trim(text), r"\n{2,}"), lambda p: F.struct(F.trim(p).alias("p"), F.lower(T.squeeze(p)).alias("n")))
+    start = F.struct(F.array().cast("array<string>").alias("kept"), F.lit("").alias("last"))
+    step = lambda acc, x: F.struct(F.when((x["n"] != "") & (x["n"] == acc["last"]), acc["kept"]).otherwise(F.concat(acc["kept"], F.array(x["p"]))).alias("kept"), x["n"].alias("last"))
+    return F.array_join(F.aggregate(parts, start, step, lambda acc: acc["kept"]), "\n\n")
 
 
 def clean_answer(text: Column) -> Column:

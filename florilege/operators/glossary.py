@@ -90,7 +90,7 @@ def lookup(glossary: DataFrame, questions: DataFrame, k: int = 5, base: float =
 
     ``questions`` has query_id, intents, retrieval_terms and phrases; only definition questions look anything up.
     """
-    asked = questions.where(F.array_contains("intents", "definition")).select("query_id", F.transform("retrieval_terms", T.fold).alias("terms"), F.transform("phrases", T.fold).alias("phrases"))
+    asked = questions.where(F.array_contains("intents", "definition")).select("query_id", F.transform("retrieval_terms", lambda x: T.fold(x)).alias("terms"), F.transform("phrases", lambda x: T.fold(x)).alias("phrases"))
     by_term = asked.select("query_id", "terms", "phrases", F.explode(F.array_distinct("terms")).alias("_t"))
     text = T.fold(F.concat_ws(" ", "term", "meaning", "snippet", "heading"))
     rows = glossary.withColumn("_t", T.fold(F.col("term"))).withColumn("_x", text).join(by_term, "_t")

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from florilege.plans import web
+from florilege.plans import dialog, search, web
 
-MODULES = (web,)
+MODULES = (web, search, dialog)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
