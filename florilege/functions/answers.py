@@ -16,12 +16,12 @@ SOURCE_MARKERS = ("quelle", "quellen", "welche meinst du", "welchen meinst du",
 
 def without_thoughts(text: Column) -> Column:
     """An answer without the passages between think tags, the last of which may be open."""
-    return F.trim(F.regexp_replace(F.regexp_replace(text, r"(?s)<think>.*?</think>", ""), r"(?s)<think>.*$", ""))
+    return T.strip(F.regexp_replace(F.regexp_replace(text, r"(?s)<think>.*?</think>", ""), r"(?s)<think>.*$", ""))
 
 
 def collapse_paragraphs(text: Column) -> Column:
     """Paragraphs without those that repeat the one before, whatever their case and white space."""
-    parts = F.transform(F.split(F.trim(text), r"\n{2,}"), lambda p: F.struct(F.trim(p).alias("p"), F.lower(T.squeeze(p)).alias("n")))
+    parts = F.transform(F.split(T.strip(text), r"\n{2,}"), lambda p: F.struct(T.strip(p).alias("p"), F.lower(T.squeeze(p)).alias("n")))
     start = F.struct(F.array().cast("array<string>").alias("kept"), F.lit("").alias("last"))
     step = lambda acc, x: F.struct(F.when((x["n"] != "") & (x["n"] == acc["last"]), acc["kept"]).otherwise(F.concat(acc["kept"], F.array(x["p"]))).alias("kept"), x["n"].alias("last"))
     return F.array_join(F.aggregate(parts, start, step, lambda acc: acc["kept"]), "\n\n")
@@ -29,14 +29,14 @@ def collapse_paragraphs(text: Column) -> Column:
 
 def clean_answer(text: Column) -> Column:
     """An answer up to the end of its first block of sources, repeated paragraphs collapsed; null counts as empty."""
-    one = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\r\n?", "\n"))
+    one = T.strip(F.regexp_replace(F.coalesce(text, F.lit("")), r"\r\n?", "\n"))
     # Split at the source headings: the first block stays, and of what follows only the part before a new section.
     marked = F.regexp_replace(one, SOURCE_HEADING, "\u0001$0")
     parts = F.split(marked, "\u0001")
     head, first = F.get(parts, F.lit(0)), F.get(parts, F.lit(1))
     sources = F.get(F.split(F.regexp_replace(F.coalesce(first, F.lit("")), AFTER_SOURCE, "\u0002$0"), "\u0002"), F.lit(0))
-    cut = F.when(F.size(parts) > 1, F.rtrim(F.concat(head, sources))).otherwise(one)
-    return F.trim(collapse_paragraphs(cut))
+    cut = F.when(F.size(parts) > 1, T.strip(F.concat(head, sources))).otherwise(one)
+    return T.strip(collapse_paragraphs(cut))
 
 
 def route(question: Column, has_last: Column) -> Column:

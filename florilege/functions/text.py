@@ -26,6 +26,11 @@ def squeeze(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, SPACE, " "))
 
 
+def strip(c: Column) -> Column:
+    """A text without white space of any kind at its ends."""
+    return F.regexp_replace(c, rf"^{SPACE}|{SPACE}$", "")
+
+
 def word_count(c: Column) -> Column:
     """Pieces between white space."""
     return F.size(F.filter(F.split(c, SPACE), lambda x: x != "")).cast("long")
