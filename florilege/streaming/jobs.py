@@ -93,12 +93,9 @@ def admission(events: DataFrame, key: str, time: str, most: int, seconds: float)
 
 
 def admission_stream(events: DataFrame, key: str, time: str, most: int, seconds: float) -> DataFrame:
-    """The stream form of admission: state by key of at most ``most`` admission times, dropped when idle a day."""
+    """The stream form of admission: state by key of at most ``most`` admission times."""
 
     def admit(k: tuple, batches: Iterator[pd.DataFrame], state: Any) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
         held = list(state.get[0]) if state.exists else []
         times = sorted(t for b in batches for t in b["_t"])
         waits = []
@@ -112,8 +109,7 @@ def admission_stream(events: DataFrame, key: str, time: str, most: int, seconds:
             held.append(start)
             waits.append(round(start - t, 6))
         state.update((held[-most:],))
-        state.setTimeoutDuration(86_400_000)
         yield pd.DataFrame({"key": [str(k[0])] * len(times), "micros": times, "wait": waits})
 
     rows = events.select(F.col(key), F.unix_micros(F.col(time).cast("timestamp")).alias("_t")).where(F.col(key).isNotNull() & F.col("_t").isNotNull())
-    return rows.groupBy(key).applyInPandasWithState(admit, "key string, micros long, wait double", "held array<double>", "append", "ProcessingTimeTimeout")
+    return rows.groupBy(key).applyInPandasWithState(admit, "key string, micros long, wait double", "held array<double>", "append", "NoTimeout")
