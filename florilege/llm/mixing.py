@@ -64,7 +64,7 @@ def token_counts(docs: DataFrame, path: str | None = None) -> DataFrame:
     Repeated rows of a document count once.
     """
     path = path or tokenizer_path(TOKENIZER)
-    rows = docs.where("doc_id IS NOT NULL AND trim(text) <> ''").select("doc_id", source_key(F.col("source")).alias("source"), "text")
+    rows = docs.where("doc_id IS NOT NULL AND text RLIKE '\\\\S'").select("doc_id", source_key(F.col("source")).alias("source"), "text")
     counts = rows.mapInArrow(lambda b: _count(b, path), "doc_id long, source string, tokens long")
     return counts.groupBy("doc_id").agg(F.min("source").alias("source"), F.max("tokens").alias("tokens"))
 
