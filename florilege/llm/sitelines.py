@@ -78,8 +78,8 @@ def without_repeated_lines(df: DataFrame, min_pages: int = MIN_PAGES, min_share:
     # The few chosen keys cut the lines down before pages are looked up.
     near = lines.join(keys, ["host", "key"], "left_semi").join(_pages(df).select("url", "container", "bit"), "url")
     hit = near.join(chosen, ["host", "key", "container"]).where(_bit(F.col("pages"), F.col("bit")))
-    gone = hit.groupBy("id", "url").agg(F.collect_set("no").alias("gone"))
-    joined = chunks.join(gone, chunks["id"].eqNullSafe(gone["id"]) & (chunks["source_url"] == gone["url"]), "left").drop(gone["id"]).drop("url")
+    gone = hit.groupBy(F.col("id").alias("_id"), "url").agg(F.collect_set("no").alias("gone"))
+    joined = chunks.join(gone, F.col("id").eqNullSafe(F.col("_id")) & (F.col("source_url") == F.col("url")), "left").drop("_id", "url")
     none = F.array().cast("array<int>")
     kept = F.filter(F.split("text", "\n", -1), lambda _, i: ~F.array_contains(F.coalesce("gone", none), i))
     return joined.select("id", "source_url", F.array_join(kept, "\n").alias("text"), F.size(F.coalesce("gone", none)).alias("removed"))
