@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from florilege.config import RetrievalConfig
 from florilege.operators import retrieval
+from florilege.storage import cut
 
 
 def search(chunks: DataFrame, asked: DataFrame, config: RetrievalConfig = RetrievalConfig()) -> DataFrame:
@@ -17,7 +18,7 @@ def search(chunks: DataFrame, asked: DataFrame, config: RetrievalConfig = Retrie
     are added, definition questions get chunks rescued from their first URLs, and URLs are capped.
     """
     variants = asked.select("query_id", F.posexplode("variants").alias("variant", "query")).select("query_id", F.concat_ws("/", F.col("query_id").cast("string"), F.col("variant").cast("string")).alias("vid"), "query")
-    index = retrieval.postings(chunks.select("id", "text"), "id", "text", config)
+    index = retrieval.postings(chunks.select("id", "text"), "id", "text", config, only=retrieval.terms(variants, "vid", "query"))
     best = retrieval.bm25(index, variants, "id", "vid", "query", config.candidates)
     runs = best.join(variants.select("vid", "query_id"), "vid").join(chunks.select("id", "source_url"), "id")
     runs = retrieval.capped(runs.select("vid", "query_id", "id", "source_url", "rank"), "vid", "source_url", config.per_url, config.k * config.buffer)
@@ -29,7 +30,8 @@ def search(chunks: DataFrame, asked: DataFrame, config: RetrievalConfig = Retrie
         rows = retrieval.with_boost(hits.join(facts, "query_id").join(text, "id"))
         return rows.select("query_id", "id", "source_url", F.round(F.col("score") + F.col("boost"), 6).alias("score"), "boost", "variants")
 
-    first = retrieval.ranked(boosted(fused), "query_id", "id", config.k * config.buffer)
+    # A few rows a question, read by the rescue and by the merge.
+    first = cut(retrieval.ranked(boosted(fused), "query_id", "id", config.k * config.buffer))
     more = retrieval.rescued(first, chunks.select("id", "source_url", "search_text"), facts.select("query_id", "intents", "retrieval_terms"))
     extra = boosted(more.join(chunks.select("id", "source_url"), "id").withColumn("variants", F.lit(0).cast("long")))
     merged = retrieval.ranked(first.drop("rank").unionByName(extra), "query_id", "id", config.k * config.buffer)

@@ -12,6 +12,7 @@ from florilege.operators import chunks, glossary, retrieval
 from florilege.plans import guided
 from florilege.plans import sql as S
 from florilege.plans.web import table
+from florilege.storage import cut
 
 #: Questions of the registered queries, written for the test site.
 QUESTIONS = (
@@ -41,8 +42,9 @@ def _queries(rows: DataFrame) -> DataFrame:
 
 
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
-    index = retrieval.postings(table(spark, d, "documents", "doc_id", "text"), "doc_id", "text")
-    return retrieval.bm25(index, table(spark, d, "benchmark", "item_id", "text"), "doc_id", "item_id", "text", K)
+    items = table(spark, d, "benchmark", "item_id", "text")
+    index = retrieval.postings(table(spark, d, "documents", "doc_id", "text"), "doc_id", "text", only=retrieval.terms(items, "item_id", "text"))
+    return retrieval.bm25(index, items, "doc_id", "item_id", "text", K)
 
 
 def bm25_weights(spark: SparkSession, d: str) -> DataFrame:
@@ -142,8 +144,8 @@ def _search_rows(spark: SparkSession, d: str) -> DataFrame:
 
 
 def guided_topk(spark: SparkSession, d: str) -> DataFrame:
-    asked_ = questions.variants(questions.assess(question_rows(spark).where("query <> ''")), institution="Hochschule Nordfurt")
-    out = guided.search(_search_rows(spark, d), asked_)
+    asked_ = cut(questions.variants(questions.assess(question_rows(spark).where("query <> ''")), institution="Hochschule Nordfurt"))
+    out = guided.search(cut(_search_rows(spark, d)), asked_)  # read by every stage of the search
     return out.select("query_id", "id", "score", "rank")
 
 
