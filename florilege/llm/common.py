@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import os
 import re
-import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from florilege.storage import checkpoint_dir, cut
+
+__all__ = ["WORD", "checkpoint_dir", "cut", "host_of", "table", "tokenizer_path"]
 #: A run of Unicode letters and digits.
 WORD = re.compile(r"[^\W_]+")
 
@@ -19,21 +21,6 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return df.select(*columns) if columns else df
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named in spark.checkpoint.dir; a private one only where none is set."""
-    jsc = spark.sparkContext._jsc.sc()
-    if jsc.getCheckpointDir().isEmpty():
-        folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="florilege-")
-        spark.sparkContext.setCheckpointDir(folder)
-    return jsc.getCheckpointDir().get()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` materialised in the shared checkpoint folder, so that a lost executor costs no recomputation."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def host_of(url: Column) -> Column:
     """Host of a URL in lower case, without user and port; null where there is none."""
     authority = F.regexp_extract(url, r"^\s*[A-Za-z][A-Za-z0-9+.\-]*://([^/?#\\\s]*)", 1)

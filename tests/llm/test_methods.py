@@ -86,7 +86,7 @@ RESIDUE = (
     "Guten Tag {{ name }}, Ihr Termin am {% block datum %} findet in &lt;raum&gt; statt.", "Stand: ###FRIST###", "[hier datum einfügen]", "Telefon «telefon»", "# __TITEL__", "Dear <bitte Namen eintragen>, ...", "%vorname%", "[ORT_PLATZHALTER]",
     "Dies ist ein Blindtext für Raum, bitte vor der Freigabe ersetzen.", "Lorem ipsum dolor sit amet consectetur.", "xxxx xxxxxxx xxx Raum xxxx", "TODO: Raum beschreiben, Inhalt noch offen", "Text folgt. Bild folgt. (Raum)",
     "Bitte aktivieren Sie JavaScript, um den Plan zu sehen.", "Checking your browser before you continue to the plan.", "Page not found", "Die Seite Raumplan wurde nicht gefunden. 7f", "Ihre Sitzung ist abgelaufen. Melden Sie sich erneut an (12).",
-    "java.lang.IllegalStateException: Plan ist null", "502 Bad Gateway", "Wartungsarbeiten: Portal ist bis 12 Uhr abgeschaltet.", "Zugriff verweigert",
+    "java.lang.IllegalStateException: Plan ist null", "502 Bad Gateway", "Wartungsarbeiten: Portal ist bis 12 Uhr abgeschaltet.", "Zugriff verweigert", "> Page  not  found",
 )
 CONTENT = (
     "Die Vorlagensprache ersetzt Ausdrücke wie `{{ name }}` durch Werte; wie das geschieht, zeigt Kapitel drei.", "Er meldet, dass ein Server eine Seite nicht gefunden hat, und wird besprochen.", "Das Modul behandelt JavaScript, Ereignisse und Felder.",
