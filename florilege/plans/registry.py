@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from florilege.plans import dialog, search, web
+from florilege.plans import checks, dialog, search, web
 
-MODULES = (web, search, dialog)
+MODULES = (web, search, dialog, checks)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
