@@ -10,13 +10,14 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from florilege.llm.maincontent import is_furniture
-from florilege.llm.residue import is_residue
+from florilege.llm.residue import has_cue, is_residue
 
 #: Share of the words that makes a page a list, a table or junk; least words of a sentence, most of an entry.
 MOST, SENTENCE_WORDS, ENTRY_WORDS = 0.5, 6, 9
@@ -52,6 +53,7 @@ COMMON = SENTENCE_MARKS | frozenset((
 ).split())
 
 
+@lru_cache(maxsize=REMEMBERED)
 def _wordlike(piece: str) -> bool:
     """Whether a piece looks like a word of some language."""
     core = piece.strip(".,;:!?…\"'()[]{}„“”»«*_-–—/|·•©")
@@ -102,11 +104,16 @@ def line_features(line: str) -> tuple:
     return len(pieces), like, codes, marks, mark is not None, heading, END.search(line[-12:]) is not None, delimiter, cells, *counts
 
 
-def _autocorrelation(x: np.ndarray, lag: int) -> float:
-    if len(x) <= lag + 2 or x.std() < 1e-9:
+def _autocorrelation(values: list[int], lags: range) -> float:
+    """Greatest autocorrelation over the lags; 0 for few or equal values."""
+    x = np.array(values, float)
+    if len(x) < 4:
         return 0.0
-    a, b = x[:-lag] - x.mean(), x[lag:] - x.mean()
-    return float((a * b).sum() / ((x - x.mean()) ** 2).sum())
+    x -= x.sum() / len(x)
+    total = float(x @ x)
+    if total < 1e-9:
+        return 0.0
+    return max((float(x[:-k] @ x[k:]) / total for k in lags if len(x) > k + 2), default=0.0)
 
 
 STATS = (
@@ -119,6 +126,7 @@ STATS = (
 def page_statistics(text: str, known: dict | None = None) -> tuple:
     """The values of STATS for one text; ``kind`` is prose, list, table, junk, or empty if no content is left."""
     known = {} if known is None else known
+    cued = has_cue(text)
     lines = text.split("\n")
     words = text.split()
     furniture = residue = 0
@@ -130,7 +138,7 @@ def page_statistics(text: str, known: dict | None = None) -> tuple:
         filled += 1
         seen = known.get(line) if len(line) <= 300 else None
         if seen is None:
-            seen = ("f" if is_furniture(line) else "r" if is_residue(line) else "", line_features(line))
+            seen = ("f" if is_furniture(line) else "r" if cued and is_residue(line) else "", line_features(line))
             if len(line) <= 300:
                 if len(known) >= REMEMBERED:
                     known.clear()
@@ -162,11 +170,10 @@ def page_statistics(text: str, known: dict | None = None) -> tuple:
     tables = _tables(rows, kinds)
     short = Counter(" ".join(x.lower().split()) for x in lines if 0 < len(x) <= 80)
     del short[""]
-    length, indent = np.array(lengths, float), np.array(indents, float)
     return (
         len(words), filled, round(length_of / max(1, letters), 4), round(symbols / max(1, len(text)), 4), round(ended / max(1, filled), 4),
         round(common / max(1, letters), 4), tables, len(LINKS.findall(text)), sum(n for n in short.values() if n >= 3),
-        round(max((_autocorrelation(indent, k) for k in (1, 2, 3, 4)), default=0.0), 4), round(max((_autocorrelation(length, k) for k in (1, 2, 3)), default=0.0), 4),
+        round(_autocorrelation(indents, range(1, 5)), 4), round(_autocorrelation(lengths, range(1, 4)), 4),
         furniture, residue, total["prose"], total["list"], total["table"], total["junk"], kind,
     )
 
