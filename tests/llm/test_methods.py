@@ -276,3 +276,21 @@ def test_ranks_and_slopes(spark):
     want = np.polyfit(np.log(np.arange(1, 5)), np.log(n), 1)[0]
     assert row["slope"] == pytest.approx(want) and row["residual"] == pytest.approx(0, abs=1e-6) and row["distinct"] == 4
     assert re.fullmatch(r"\w+", "x")
+
+
+# --- registered queries -----------------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("name", ["p1_found", "p5_found"])
+def test_queries_equal_their_sql(spark, small, name):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW hsh_vectors AS SELECT * FROM '{small}/hsh_vectors.parquet'")
+    want = con.execute(entry.oracle_sql()[name])
+    names = [c[0] for c in want.description]
+    assert sorted(tuple(r[c] for c in names) for r in entry.queries()[name](spark, small).collect()) == sorted(want.fetchall())
+
+
+def test_all_queries_are_named_by_problem():
+    names = list(queries.queries())
+    assert all(re.match(r"p\d+_", n) for n in names)
+    assert {n for n in names if n.endswith("_found")} == {f"p{k}_found" for k in range(1, 11) if k != 9}
