@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from florilege.llm.common import host_of
+from florilege.llm.common import cut, host_of
 
 MIN_PAGES, MIN_SHARE, MIN_KEY = 5, 0.05, 10
 CONTAINER = 1 << 15
@@ -68,21 +68,23 @@ def _host_pages(df: DataFrame) -> DataFrame:
 def without_repeated_lines(df: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
     """(id, source_url, text, removed): every distinct chunk without the repeated lines of its host.
 
-    A line goes if its page's bit is set in the bitmap of its key. Line numbers to delete are gathered per chunk,
-    so the texts take part in one join only. Chunks without host or text stay as they are.
+    A line goes if its page's bit is set in the bitmap of its key. Lines travel as hashes and line numbers to delete
+    are gathered per chunk, so the texts are shuffled once. Chunks without host or text stay as they are.
     """
-    bitmaps, keys = line_bitmaps(df, min_pages), repeated_lines(df, min_pages, min_share).select("host", F.col("line_key").alias("key"))
-    chosen = bitmaps.join(keys, ["host", "key"], "left_semi")
-    chunks = df.select("id", "source_url", "text").distinct()
-    lines = chunks.select("id", F.col("source_url").alias("url"), host_of(F.col("source_url")).alias("host"), F.posexplode(line_keys(F.col("text"))).alias("no", "key")).where(F.length("key") >= MIN_KEY)
-    # The few chosen keys cut the lines down before pages are looked up.
-    near = lines.join(keys, ["host", "key"], "left_semi").join(_pages(df).select("url", "container", "bit"), "url")
-    hit = near.join(chosen, ["host", "key", "container"]).where(_bit(F.col("pages"), F.col("bit")))
-    gone = hit.groupBy(F.col("id").alias("_id"), "url").agg(F.collect_set("no").alias("gone"))
-    joined = chunks.join(gone, F.col("id").eqNullSafe(F.col("_id")) & (F.col("source_url") == F.col("url")), "left").drop("_id", "url")
+    counted = line_bitmaps(df, min_pages).withColumn("n", F.sum(F.bitmap_count("pages")).over(Window.partitionBy("host", "key")))
+    enough = (F.col("n") >= min_pages) & (F.col("n") * 10000 >= F.col("host_pages") * round(min_share * 10000))
+    # A host's repeated lines are at most its lines a page divided by the least share.
+    chosen = cut(counted.join(_host_pages(df), "host").where(enough).select(F.xxhash64("host", "key").alias("kh"), "container", "pages"))
+    base = df.select("id", "source_url", "text").withColumn("_k", F.xxhash64("id", "source_url", "text"))
+    chunks = base.groupBy("_k").agg(*[F.first(c).alias(c) for c in ("id", "source_url", "text")])
+    host = host_of(F.col("source_url"))
+    lines = base.where("text IS NOT NULL").select("_k", F.col("source_url").alias("url"), host.alias("host"), F.posexplode(line_keys(F.col("text"))).alias("no", "key")).where((F.length("key") >= MIN_KEY) & F.col("host").isNotNull())
+    near = lines.select("_k", "url", "no", F.xxhash64("host", "key").alias("kh")).join(chosen.select("kh").distinct(), "kh", "left_semi")
+    hit = near.join(_pages(df).select("url", "container", "bit"), "url").join(chosen, ["kh", "container"]).where(_bit(F.col("pages"), F.col("bit")))
+    gone = hit.groupBy("_k").agg(F.collect_set("no").alias("gone"))  # at most as many as a chunk has lines
     none = F.array().cast("array<int>")
     kept = F.filter(F.split("text", "\n", -1), lambda _, i: ~F.array_contains(F.coalesce("gone", none), i))
-    return joined.select("id", "source_url", F.array_join(kept, "\n").alias("text"), F.size(F.coalesce("gone", none)).alias("removed"))
+    return chunks.join(gone, "_k", "left").select("id", "source_url", F.array_join(kept, "\n").alias("text"), F.size(F.coalesce("gone", none)).alias("removed"))
 
 
 def _bit(bitmap: Column, bit: Column) -> Column:
