@@ -38,17 +38,19 @@ def _pages(df: DataFrame) -> DataFrame:
     return numbered.select("url", host_of(F.col("url")).alias("host"), (F.col("part") * 64 + F.floor(F.col("n") / CONTAINER)).alias("container"), (F.col("n") % CONTAINER).cast("long").alias("bit"))
 
 
-def line_bitmaps(df: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
+def line_bitmaps(df: DataFrame, min_pages: int = MIN_PAGES, by: str = "key") -> DataFrame:
     """(host, key, container, pages): the bitmap of the pages of a host that hold a line, variants united.
 
+    With ``by`` set to kh the keys are hashes of host and key, which keeps long keys out of the shuffle.
+
     A key on fewer than ``min_pages`` rows can't reach that many pages and gets no bitmap; all others do.
     """
     lines = _lines(df)
     often = lines.groupBy("kh").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_pages).select("kh")
-    rows = lines.join(often, "kh", "left_semi").select("url", "host", "key", "variant")
+    rows = lines.join(often, "kh", "left_semi").select("url", "host", by, "variant")
     at = rows.join(_pages(df).select("url", "container", "bit"), "url")
-    variants = at.groupBy("host", "key", "variant", "container").agg(F.bitmap_construct_agg("bit").alias("b"))
-    return variants.groupBy("host", "key", "container").agg(F.bitmap_or_agg("b").alias("pages"))
+    variants = at.groupBy("host", by, "variant", "container").agg(F.bitmap_construct_agg("bit").alias("b"))
+    return variants.groupBy("host", by, "container").agg(F.bitmap_or_agg("b").alias("pages"))
 
 
 def repeated_lines(df: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
@@ -71,10 +73,10 @@ def without_repeated_lines(df: DataFrame, min_pages: int = MIN_PAGES, min_share:
     A line goes if its page's bit is set in the bitmap of its key. Lines travel as hashes and line numbers to delete
     are gathered per chunk, so the texts are shuffled once. Chunks without host or text stay as they are.
     """
-    counted = line_bitmaps(df, min_pages).withColumn("n", F.sum(F.bitmap_count("pages")).over(Window.partitionBy("host", "key")))
+    counted = line_bitmaps(df, min_pages, by="kh").withColumn("n", F.sum(F.bitmap_count("pages")).over(Window.partitionBy("host", "kh")))
     enough = (F.col("n") >= min_pages) & (F.col("n") * 10000 >= F.col("host_pages") * round(min_share * 10000))
     # A host's repeated lines are at most its lines a page divided by the least share.
-    chosen = cut(counted.join(_host_pages(df), "host").where(enough).select(F.xxhash64("host", "key").alias("kh"), "container", "pages"))
+    chosen = cut(counted.join(_host_pages(df), "host").where(enough).select("kh", "container", "pages"))
     base = df.select("id", "source_url", "text").withColumn("_k", F.xxhash64("id", "source_url", "text"))
     chunks = base.groupBy("_k").agg(*[F.first(c).alias(c) for c in ("id", "source_url", "text")])
     host = host_of(F.col("source_url"))
