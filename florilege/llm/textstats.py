@@ -1,8 +1,8 @@
 """Statistics of page texts, and prose told from lists, tables and debris.
 
-Tables are found by the vertical alignment of delimiters over neighbouring lines, lists by marks and indentation that
-recur in a period and by the autocorrelation of line lengths, debris by words that aren't words and by symbol
-ratios; sentences by their words and punctuation. Page furniture and residue are left aside.
+Tables are found by the vertical alignment of delimiters over neighbouring lines, lists by marks and runs of entries,
+debris by words that aren't words, numbers and codes, sentences by their words and punctuation. The indentation period
+and the autocorrelation of line lengths are output but don't decide. Page furniture and residue are left aside.
 """
 
 from __future__ import annotations
@@ -23,6 +23,8 @@ from florilege.llm.residue import has_cue, is_residue
 MOST, SENTENCE_WORDS, ENTRY_WORDS = 0.5, 6, 9
 #: Lines of an aligned run, and of a run of unmarked entries.
 ROWS, ENTRIES = 2, 3
+#: Content lines before and after that a row of cells may stand under.
+ROWS_NEAR = 3
 #: Share of word-like pieces below which a line is debris.
 WORDLIKE = 0.5
 #: Share of sentence marks that makes a line a sentence without a look at its pieces.
@@ -35,6 +37,7 @@ HEADING = re.compile(r"^\s*#{1,6}\s")
 RULE = re.compile(r"^\s*\|?(?:\s*:?-{2,}:?\s*\|?)+\s*$")
 LINKS = re.compile(r"\[([^\]\n]*)\]\([^)\s]*\)|https?://\S+")
 GAP = re.compile(r"\S( {2,})(?=\S)")
+COLUMN = re.compile(r"(?<=\S)(?: {2,}| *\t[ \t]*)(?=\S)")
 END = re.compile(r"[.!?…:;][\"'”»)\]]*\s*(?:[\U0001F300-\U0001FAFF]\s*)?$")
 LETTERS = re.compile(r"[^\W\d_]+")
 SYMBOL = re.compile(r"[^\w\s]+")
@@ -178,10 +181,24 @@ def page_statistics(text: str, known: dict | None = None) -> tuple:
     )
 
 
+def _columns(line: str) -> set[int]:
+    """Where the cells after the first begin, tabs widened."""
+    return {len(line[: m.end()].expandtabs(8)) for m in COLUMN.finditer(line)}
+
+
+def _stands_under(line: str, other: str) -> bool:
+    """Whether the cells of the line with fewer of them all begin where cells of the other do."""
+    a, b = _columns(line), _columns(other)
+    return bool(a and b) and (a <= b or b <= a)
+
+
 def _lines(rows: list) -> list[str]:
-    """Kind of every content line, by itself and by its neighbours."""
+    """Kind of every content line, by itself and by its neighbours; blank lines don't part neighbours."""
     out = [""] * len(rows)
     entry = [False] * len(rows)
+    longer = [False] * len(rows)
+    content = [k for k, row in enumerate(rows) if row is not None]
+    order = {k: i for i, k in enumerate(content)}
     for k, row in enumerate(rows):
         if row is None:
             continue
@@ -198,6 +215,11 @@ def _lines(rows: list) -> list[str]:
             near = [rows[j] for j in (k - 1, k + 1) if 0 <= j < len(rows) and rows[j] is not None]
             if any(r[1][7] == delimiter and r[1][8] == cells for r in near) and (delimiter != ";" or marks < 2):
                 out[k] = "table"
+            elif delimiter != ";" and marks < 2:
+                i = order[k]
+                around = [rows[j] for j in content[max(0, i - ROWS_NEAR) : i + ROWS_NEAR + 1] if j != k]
+                if any(r[1][7] in ("\t", " ") and _stands_under(line, r[0]) for r in around):
+                    out[k] = "table"
         if out[k]:
             continue
         sentence = n >= SENTENCE_WORDS and (marks >= 2 or (ended and like >= 0.7 * n)) and like >= WORDLIKE * n
@@ -212,19 +234,24 @@ def _lines(rows: list) -> list[str]:
             entry[k] = not mark
         else:
             out[k] = "prose" if like >= 0.7 * n else "junk"
-    # Unmarked short lines are entries only in a run; alone they are captions or names.
+            longer[k] = out[k] == "prose" and n <= 14
+    # Unmarked short lines are entries only in a run; alone they are captions or names. So are lines of up to 14 words
+    # that end in no stop and have hardly a function word; alone they are prose.
     k = 0
-    while k < len(rows):
-        if not entry[k]:
+    while k < len(content):
+        if not (entry[content[k]] or longer[content[k]]):
             k += 1
             continue
         j = k
-        while j < len(rows) and (entry[j] or out[j] == "list"):
+        while j < len(content) and (entry[content[j]] or longer[content[j]] or out[content[j]] == "list"):
             j += 1
-        if j - k < ENTRIES and not (k and out[k - 1] == "list"):
-            for i in range(k, j):
-                if entry[i]:
-                    out[i] = "short"
+        run = content[k:j]
+        listed = len(run) >= ENTRIES or (k and out[content[k - 1]] == "list")
+        for i in run:
+            if longer[i] and listed:
+                out[i] = "list"
+            elif entry[i] and not listed:
+                out[i] = "short"
         k = j
     return out
 
