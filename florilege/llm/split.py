@@ -122,23 +122,25 @@ def split_oversized(df: DataFrame, keep: list[str], limit: int = LIMIT, overlap:
 def pieces(df: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
     """All chunks, oversized ones in pieces, with ``section_heading`` and ``chunk_index`` renumbered within the page.
 
-    Repeated rows of an id count once: the one with the latest crawl_date, null dates last. A null text gives one
-    piece without text. Null pages are one page of their own, null indexes come last. Renumbering adds up piece
-    counts by blocks of the old index first, so no task sorts a whole page.
+    Repeated rows of an id count once: the one with the latest crawl_date, null dates last. Rows without
+    an id are repeated only if source_url, chunk_index and text are the same too. A null text gives one piece without
+    text. Null pages are one page of their own, null indexes come last. Renumbering adds up piece counts by blocks of
+    the old index first, so no task sorts a whole page.
     """
     keep = ["id", "source_url", "section_heading", "chunk_index"]
     whole = df.select(*keep, "crawl_date", "text")
     latest = F.max_by(F.struct(*[c for c in keep if c != "id"], "text"), F.struct(F.coalesce("crawl_date", F.lit("")), F.coalesce("text", F.lit(""))))
-    rows = whole.groupBy("id").agg(latest.alias("x")).select("id", "x.*")
+    unnamed = [F.when(F.col("id").isNull(), x).alias(n) for n, x in (("_url", F.col("source_url")), ("_index", F.col("chunk_index")), ("_text", F.sha2("text", 256)))]
+    rows = whole.groupBy("id", *unnamed).agg(latest.alias("x")).select("id", "_text", "x.*")
     small = rows.where(F.col("text").isNull() | (F.length("text") <= limit)).select(
-        *keep, F.lit(0).alias("piece_no"), F.lit(1).alias("n_pieces"), F.lit(0).alias("start"), F.length("text").alias("end"), F.lit(0).alias("shared"), "text"
+        *keep, "_text", F.lit(0).alias("piece_no"), F.lit(1).alias("n_pieces"), F.lit(0).alias("start"), F.length("text").alias("end"), F.lit(0).alias("shared"), "text"
     )
-    out = small.unionByName(split_oversized(rows, keep, limit, overlap))
+    out = small.unionByName(split_oversized(rows, [*keep, "_text"], limit, overlap))
     page, old = F.coalesce("source_url", F.lit("")), F.coalesce("chunk_index", F.lit(2**31 - 1))
     out = out.withColumns({"_page": page, "_block": F.floor(old / INDEX_BLOCK)})
     sums = out.groupBy("_page", "_block").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy("_page").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select("_page", "_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    within = Window.partitionBy("_page", "_block").orderBy(old, "id", "piece_no")
+    within = Window.partitionBy("_page", "_block").orderBy(old, "id", "_text", "piece_no")
     out = out.withColumn("_rank", F.row_number().over(within)).join(sums, ["_page", "_block"])
     return out.select("id", "source_url", "section_heading", (F.col("_before") + F.col("_rank") - 1).cast("int").alias("chunk_index"), "piece_no", "n_pieces", "start", "end", "shared", "text")
