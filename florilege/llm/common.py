@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from florilege.storage import checkpoint_dir, cut
 
-__all__ = ["WORD", "checkpoint_dir", "cut", "host_of", "table", "tokenizer_path"]
+__all__ = ["WORD", "checkpoint_dir", "cut", "host_of", "spread", "table", "tokenizer_path"]
 #: A run of Unicode letters and digits.
 WORD = re.compile(r"[^\W_]+")
 
@@ -21,6 +21,12 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return df.select(*columns) if columns else df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` in as many partitions as there are cores, if it has fewer, so that one small file isn't one Python task."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df._jdf.queryExecution().toRdd().getNumPartitions() >= cores else df.repartition(cores)
+
+
 def host_of(url: Column) -> Column:
     """Host of a URL in lower case, without user and port; null where there is none."""
     authority = F.regexp_extract(url, r"^\s*[A-Za-z][A-Za-z0-9+.\-]*://([^/?#\\\s]*)", 1)

@@ -1,9 +1,9 @@
 """Languages of documents and of stretches of mixed documents, by cross-parsing entropy.
 
-For every language a suffix automaton is built over labelled text. A word is cut greedily into the longest phrases
-that the automaton knows; the number of phrases times the logarithm of the labelled text's length, per character,
-estimates the cross entropy, and the language that needs least wins. Phrase counts are kept by word, so a text
-costs one look-up a word whatever the number of languages.
+For every language a suffix automaton is built over labelled text. A sentence is cut greedily into the longest
+phrases, across its words, that stand in the labelled text; the number of phrases times the logarithm of that text's length,
+per character, estimates the cross entropy, and the language that needs least wins. All sentences of a batch are
+parsed at once, a character at a time, against the automata of all languages.
 """
 
 from __future__ import annotations
@@ -17,7 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from florilege.llm.maincontent import is_furniture
+from florilege.llm.common import spread
+from florilege.llm.maincontent import with_furniture
 
 LANGUAGES = ("de", "en", "es", "fr", "it", "nl", "pl", "tr")
 #: Bounds of the labelled sample: pages of each label, characters of a page, and characters of a language's text.
@@ -25,7 +26,11 @@ SAMPLE_PAGES, PAGE_CHARS, TRAIN_CHARS = 80, 20_000, 16_000
 #: Words below which a page is no case, share of a second language that makes a page mixed, and of known words.
 MIN_WORDS, MIXED_SHARE, KNOWN_SHARE = 30, 0.25, 0.2
 #: Entropy a character above which a stretch is in no known language.
-MAX_ENTROPY = 5.2
+MAX_ENTROPY = 5.0
+#: Characters of labelled text below which a language's seed text is learned too, and of a piece that is parsed at once.
+ENOUGH_CHARS, PIECE_CHARS = 4_000, 1_000
+#: Share of the next language's entropy below which a seed's judgement is clear.
+CLEAR = 0.97
 
 # Names of the languages in labels, in lower case; a region after - or _ is cut off first.
 NAMES = {
@@ -33,7 +38,7 @@ NAMES = {
     "es": "es spa spanish spanisch español espanol", "nl": "nl nld dut dutch niederländisch nederlands", "it": "it ita italian italienisch italiano",
     "pl": "pl pol polish polnisch polski", "tr": "tr tur turkish türkisch türkçe turkce", "mixed": "mixed mix mul multi multiple multilingual gemischt mehrsprachig",
 }
-#: Seed text of each language, used to judge the labelled sample and where a label has none.
+#: Seed text of each language, learned where there is little labelled text.
 SEEDS = {
     "de": "der die das und ist nicht ein eine mit für von auf dem den des im zu zur zum werden wird wurde haben hat sich auch als an bei nach über unter zwischen oder aber wenn weil damit sobald können müssen sollen dürfen alle diese dieser jede ihre ihr unsere wir sie es er wer was wo wie nur noch schon mehr sehr durch gegen ohne um seit vor während beim vom ins am bis höchstens dazu danach hier dort studierende hochschule prüfung vorlesung anmeldung frist raum termin antrag leitung ordnung gebäude beschäftigte bewerbung unterlagen stunden tage wochen jahr öffnungszeiten fragen beantwortet umfasst gehört finden plätze",
     "en": "the and of to in is are was were be been a an for with on at by from as that this these those it its they them their we our you your he she his her not or but if so because before after between under over without within about into during until when while where which who what how can could must should may might will would have has had do does all any each every some more most other such only also there here than then students university course exam library office committee programme application deadline questions answered places days hours weeks year open takes needs remains valid staff members room report schedule",
@@ -95,59 +100,92 @@ def phrases(moves: dict[int, int], token: str) -> int:
 
 
 class Model:
-    """Automata of all languages, with the phrase counts of words seen so far."""
+    """Automata of all languages as one table: what follows a state by a character, and the phrases that ends.
+
+    Its size is bounded by the learned text: at most two states for each of its characters, times its alphabet.
+    """
+
+    STATE = (1 << 28) - 1
 
     def __init__(self, texts: dict[str, str]) -> None:
         self.languages = tuple(sorted(texts))
-        self.moves = [automaton(f" {texts[x]} ") for x in self.languages]
         self.bits = np.array([math.log2(max(2, len(texts[x]))) for x in self.languages])
-        self._start()
-
-    def _start(self) -> None:
-        self.ids: dict[str, int] = {}
-        self.costs = np.zeros((1024, len(self.languages)))
-
-    def __getstate__(self) -> dict:
-        return {"languages": self.languages, "moves": self.moves, "bits": self.bits}
-
-    def __setstate__(self, state: dict) -> None:
-        self.__dict__.update(state)
-        self._start()
-
-    def word(self, w: str) -> int:
-        """Row of a word's costs. The store is emptied between batches when large, which changes no result."""
-        k = self.ids.get(w)
-        if k is None:
-            k = self.ids[w] = len(self.ids)
-            if k >= len(self.costs):
-                self.costs = np.concatenate([self.costs, np.zeros_like(self.costs)])
-            self.costs[k] = [phrases(m, f" {w} ") for m in self.moves] * self.bits
-        return k
-
-    def trim(self) -> None:
-        if len(self.ids) > 300_000:
-            self._start()
-
-    def entropies(self, sentences: list[list[str]]) -> np.ndarray:
-        """Bits a character of every sentence, given as words, in every language."""
-        word, ids = self.word, self.ids
-        flat = [ids[w] if w in ids else word(w) for s in sentences for w in s]
-        first = np.r_[0, np.cumsum([len(s) for s in sentences])[:-1]].astype(int)
-        chars = np.add.reduceat([len(w) + 1 for s in sentences for w in s], first)
-        return np.add.reduceat(self.costs[flat], first, axis=0) / chars[:, None]
-
-
-def sentences(text: str) -> list[tuple[int, int, list[str]]]:
-    """(start, end, words) of the sentences and lines of a text that have words; addresses count as none."""
-    out, at = [], 0
-    for end in [*(m.end() for m in END.finditer(text)), len(text)]:
+        moves = [automaton(f" {texts[x]} ") for x in self.languages]
+        alphabet = sorted({c for x in self.languages for c in f" {texts[x]}"})
+        self.width = len(alphabet) + 1
+        self.code = np.zeros(0x3000, np.uint8 if self.width < 256 else np.uint16)
+        for k, c in enumerate(alphabet):
+            if ord(c) < len(self.code):
+                self.code[ord(c)] = k + 1
+        roots, tables, first = [], [], 0
+        for m in moves:
+            size = 1 + max((max(k >> 21, t) for k, t in m.items()), default=0)
+            table = np.full((size, self.width), -1, np.int64)
+            for k, t in m.items():
+                if (k & 0x1FFFFF) < len(self.code):
+                    table[k >> 21, self.code[k & 0x1FFFFF]] = t + first
+            table[:, 0] = -1
+            root = np.where(table[0] < 0, first + (1 << 28), table[0])  # an unknown character is a phrase
+            rest = np.where(table[1:] < 0, root + (1 << 28), table[1:])
+            tables += [root[None], rest]
+            roots.append(first)
+            first += size
+        self.roots = np.array(roots, np.int32)
+        self.table = np.concatenate(tables).astype(np.int32).ravel()
+
+    def phrases(self, texts: list[str]) -> np.ndarray:
+        """Phrases of every text in every language."""
+        data = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+        codes = np.where(data < len(self.code), self.code[np.minimum(data, len(self.code) - 1)], 0).astype(np.int32)
+        size = np.array([len(t) for t in texts])
+        first = np.r_[0, np.cumsum(size)[:-1]]
+        order = np.argsort(-size, kind="stable")
+        start, left = first[order], size[order]
+        n = len(texts)
+        state = np.broadcast_to(self.roots, (n, len(self.roots))).copy()
+        count = np.zeros((n, len(self.roots)), np.int32)
+        for k in range(int(left[0]) if n else 0):
+            n = np.searchsorted(-left, -k, "left")  # texts longer than k
+            to = self.table.take(state[:n] * self.width + codes[start[:n] + k][:, None])
+            count[:n] += to >> 28
+            np.bitwise_and(to, self.STATE, out=state[:n])
+        out = np.empty_like(count)
+        out[order] = count + (state != self.roots)
+        return out
+
+    def entropies(self, sentences: list[str]) -> np.ndarray:
+        """Bits a character of every sentence, its words parted by single blanks, in every language."""
+        pieces, of = [], []
+        for k, s in enumerate(sentences):
+            while len(s) > PIECE_CHARS:
+                at = s.rfind(" ", 1, PIECE_CHARS)
+                at = at if at > 0 else PIECE_CHARS
+                pieces.append(s[:at])
+                of.append(k)
+                s = s[at:]
+            pieces.append(s)
+            of.append(k)
+        total = np.zeros((len(sentences), len(self.languages)))
+        np.add.at(total, of, self.phrases(pieces))
+        return total * self.bits / np.array([max(1, len(s) - 1) for s in sentences])[:, None]
+
+
+def sentences(text: str) -> list[tuple[int, int, int, str, int]]:
+    """(start, end, line, words, number of words) of the sentences of a text that have words; addresses count as none.
+
+    ``words`` are in lower case, parted and enclosed by single blanks.
+    """
+    out, at, line = [], 0, 0
+    for m in [*END.finditer(text), None]:
+        end = m.end() if m else len(text)
         if end > at:
             part = text[at:end]
             if "/" in part or "@" in part:
                 part = ADDRESS.sub("] ", part)
-            words = LETTERS.findall(part.lower())
+            words = " ".join(LETTERS.findall(part.lower()))
             if words:
-                out.append((at, end, words))
+                out.append((at, end, line, f" {words} ", words.count(" ") + 1))
+            line += text.count("\n", at, end)
             at = end
     return out
 
@@ -167,41 +205,27 @@ def _choose(h: np.ndarray, n: list[int], window: int = 6) -> np.ndarray:
     return best
 
 
-def _model(shared) -> Model:
-    m = shared.value
-    m.trim()
-    return m
-
-
-def page_language(text: str, m: Model) -> tuple[str, float, int, dict[str, int]]:
+def page_language(text: str, m: Model, gone: list[int] | None = None) -> tuple[str, float, int, dict[str, int]]:
     """(language, confidence, words, words by language) of a text; "und" where there are no words of any language.
 
-    Headings and page furniture are left aside where they might add a language to the page.
+    Headings and the lines ``gone`` (page furniture) are left aside where they might add a language to the page.
     """
     parts = sentences(text)
     if not parts:
         return "und", 0.0, 0, {}
-    h = m.entropies([w for _, _, w in parts])
-    return _page(text, parts, h, m)
+    return _page(text, parts, m.entropies([p[3] for p in parts]), m, frozenset(gone or ()))
 
 
-def _page(text: str, parts: list, h: np.ndarray, m: Model) -> tuple[str, float, int, dict[str, int]]:
-    n = [len(w) for _, _, w in parts]
+def _page(text: str, parts: list, h: np.ndarray, m: Model, gone: frozenset[int]) -> tuple[str, float, int, dict[str, int]]:
+    n = [p[4] for p in parts]
     pieces = len(text.split())
     best = _choose(h, n)
     known = sum(k for k, b in zip(n, best, strict=True) if b >= 0)
     if len(set(best[best >= 0].tolist())) > 1 or 2 * known < pieces:
-        keep, pieces = [], 0
-        for line in text.split("\n"):
-            if not line.lstrip().startswith("#") and not is_furniture(line):
-                pieces += len(line.split())
-        for a, _, _ in parts:
-            start = text.rfind("\n", 0, a) + 1
-            stop = text.find("\n", a)
-            line = text[start : stop if stop >= 0 else len(text)]
-            keep.append(not line.lstrip().startswith("#") and not is_furniture(line))
-        if any(keep):
-            index = np.flatnonzero(keep)
+        body = [k not in gone and not x.lstrip().startswith("#") for k, x in enumerate(text.split("\n"))]
+        pieces = sum(len(x.split()) for x, b in zip(text.split("\n"), body, strict=True) if b)
+        index = np.flatnonzero([body[p[2]] for p in parts])
+        if len(index):
             h, n = h[index], [n[k] for k in index]
             best = _choose(h, n)
         elif pieces:
@@ -228,8 +252,11 @@ def segments(text: str, m: Model) -> list[tuple[int, int, str, float]]:
     parts = sentences(text)
     if not parts:
         return [(0, len(text), "und", 0.0)] if text else []
-    h = m.entropies([w for _, _, w in parts])
-    n = [len(w) for _, _, w in parts]
+    return _segments(text, parts, m.entropies([p[3] for p in parts]), m)
+
+
+def _segments(text: str, parts: list, h: np.ndarray, m: Model) -> list[tuple[int, int, str, float]]:
+    n = [p[4] for p in parts]
     best = _choose(h, n)
     out = []
     for k in range(len(parts)):
@@ -261,62 +288,72 @@ def label_code(label: Column) -> Column:
 def fit(labels: DataFrame, bodies: DataFrame) -> Model:
     """The model from a bounded sample of labelled pages.
 
-    Of every language the SAMPLE_PAGES pages whose hashed file names come first are taken. Labels can be wrong, so
-    the seeds judge the sample first: only sentences clearly in the label's language are learned.
+    Of every language the SAMPLE_PAGES pages whose hashed file names come first are taken. Labels can be wrong, so the
+    seed texts judge the sample first: only sentences that clearly need fewest phrases in the label's language are
+    learned, of pages most of whose sentences do, and the seed text itself only where these are few.
     """
     known = labels.select("file", label_code(F.col("language")).alias("code")).where(F.col("code").isin(*LANGUAGES)).distinct()
     first = Window.partitionBy("code").orderBy(F.xxhash64("file"), "file")
-    files = known.withColumn("n", F.row_number().over(first)).where(F.col("n") <= SAMPLE_PAGES).select("file", "code")
+    files = known.withColumn("n", F.row_number().over(first)).where(F.col("n") <= SAMPLE_PAGES).select("file", "code", "n")
     # At most SAMPLE_PAGES rows a language, whatever the size of the tables.
-    sample = bodies.select("file", F.substring("text", 1, PAGE_CHARS).alias("text")).join(F.broadcast(files), "file").where("text IS NOT NULL").collect()
+    sample = bodies.select("file", F.substring("text", 1, PAGE_CHARS).alias("text")).join(F.broadcast(files), "file").where("text IS NOT NULL").distinct().collect()
     seed = Model(SEEDS)
-    texts = {}
-    for code in LANGUAGES:
-        k = seed.languages.index(code)
-        own, size = [], 0
-        for r in sorted((r for r in sample if r["code"] == code), key=lambda r: r["file"]):
-            parts = sentences(r["text"])
-            if not parts or size >= TRAIN_CHARS:
-                continue
-            h = seed.entropies([w for _, _, w in parts])
-            others = np.delete(h, k, axis=1).min(axis=1)
-            good = [" ".join(w) for (_, _, w), a, b in zip(parts, h[:, k], others, strict=True) if len(w) >= 5 and a < 0.97 * b]
-            mine, page = dict.fromkeys(good), []
-            for s in mine:
-                if s not in own and sum(map(len, page)) < TRAIN_CHARS // 8:
-                    page.append(s)
-            own += page
-            size += sum(map(len, page))
-        texts[code] = (" ".join(own) + " " + SEEDS[code])[: TRAIN_CHARS + len(SEEDS[code])]
-    return Model(texts)
+    pages: dict[str, list[list[str]]] = {c: [] for c in LANGUAGES}
+    for r in sorted(sample, key=lambda r: (r["n"], r["file"], r["text"])):
+        own = list(dict.fromkeys(p[3] for p in sentences(r["text"]) if p[4] >= 5))
+        if own:
+            h, k = seed.entropies(own), seed.languages.index(r["code"])
+            if 2 * int((h.argmin(axis=1) == k).sum()) < len(own):
+                continue  # most of the page isn't in the label's language
+            clear = h[:, k] < CLEAR * np.delete(h, k, axis=1).min(axis=1)
+            pages[r["code"]].append([s.strip() for s, x in zip(own, clear, strict=True) if x])
+    return Model({c: _learned(pages[c], c) for c in LANGUAGES})
+
+
+def _learned(pages: list[list[str]], code: str) -> str:
+    """The text learned of a language: different sentences of its pages, and its seeds where they are few."""
+    own: dict[str, None] = {}
+    size = 0
+    for page in pages:
+        part = 0
+        for s in page:
+            if s not in own and part < TRAIN_CHARS // 8 and size < TRAIN_CHARS:
+                own[s] = None
+                part += len(s) + 1
+                size += len(s) + 1
+    return (" ".join(own) + ("" if size >= ENOUGH_CHARS else " " + SEEDS[code])).strip()
 
 
 def page_languages(bodies: DataFrame, model: Model) -> DataFrame:
-    """(file, language, confidence, words) of every page with text; repeated rows give one row."""
+    """(file, language, confidence, words) of every page of ``bodies`` (file, source_url, text) with text; repeated rows give one row."""
     shared = bodies.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            files, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            files, texts, gone = (batch.column(k).to_pylist() for k in range(3))
             for at in range(0, len(files), 500):
-                m = _model(shared)
-                out = _pages(texts[at : at + 500], m)
-                yield pa.RecordBatch.from_arrays([pa.array(files[at : at + 500], pa.string()), *(pa.array(x) for x in zip(*out, strict=True))], names=["file", "language", "confidence", "words"])
+                part = slice(at, at + 500)
+                out = _pages(texts[part], gone[part], shared.value)
+                yield pa.RecordBatch.from_arrays([pa.array(files[part], pa.string()), *(pa.array(x) for x in zip(*out, strict=True))], names=["file", "language", "confidence", "words"])
 
-    return bodies.select("file", "text").where("file IS NOT NULL AND text IS NOT NULL").mapInArrow(run, "file string, language string, confidence double, words long").distinct()
+    rows = with_furniture(bodies.where("file IS NOT NULL AND text IS NOT NULL"), ["file"]).select("file", "text", "gone")
+    return spread(rows).mapInArrow(run, "file string, language string, confidence double, words long").distinct()
 
 
-def _pages(texts: list[str], m: Model) -> list[tuple[str, float, int]]:
+def _parsed(texts: list[str], m: Model) -> Iterator[tuple[list, np.ndarray]]:
+    """(sentences, entropies) of every text, all parsed at once."""
     parts = [sentences(t) for t in texts]
-    flat = [w for p in parts for _, _, w in p]
-    h = m.entropies(flat) if flat else None
-    out, at = [], 0
-    for text, p in zip(texts, parts, strict=True):
-        if p:
-            language, confidence, _, _ = _page(text, p, h[at : at + len(p)], m)
-            at += len(p)
-        else:
-            language, confidence = "und", 0.0
+    flat = [p[3] for ps in parts for p in ps]
+    h, at = m.entropies(flat) if flat else np.zeros((0, len(m.languages))), 0
+    for ps in parts:
+        yield ps, h[at : at + len(ps)]
+        at += len(ps)
+
+
+def _pages(texts: list[str], gone: list[list[int]], m: Model) -> list[tuple[str, float, int]]:
+    out = []
+    for text, aside, (parts, h) in zip(texts, gone, _parsed(texts, m), strict=True):
+        language, confidence = _page(text, parts, h, m, frozenset(aside))[:2] if parts else ("und", 0.0)
         out.append((language, round(confidence, 4), len(text.split())))
     return out
 
@@ -334,14 +371,19 @@ def wrong_labels(labels: DataFrame, bodies: DataFrame) -> DataFrame:
 def text_segments(chunks: DataFrame, model: Model) -> DataFrame:
     """(id, segment, start, end, language, confidence) of every stretch of every chunk; repeated rows count once."""
     shared = chunks.sparkSession.sparkContext.broadcast(model)
+    kinds = (pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.float64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            m = _model(shared)
-            rows = [(i, k, *s) for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for k, s in enumerate(segments(t, m))]
-            if rows:
-                kinds = (pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.float64())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["id", "segment", "start", "end", "language", "confidence"])
+            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for at in range(0, len(ids), 1000):
+                part = slice(at, at + 1000)
+                rows = []
+                for i, text, (parts, h) in zip(ids[part], texts[part], _parsed(texts[part], shared.value), strict=True):
+                    found = _segments(text, parts, h, shared.value) if parts else [(0, len(text), "und", 0.0)] if text else []
+                    rows += [(i, k, *s) for k, s in enumerate(found)]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["id", "segment", "start", "end", "language", "confidence"])
 
     schema = "id string, segment int, start int, end int, language string, confidence double"
-    return chunks.select("id", "text").where("text IS NOT NULL").mapInArrow(run, schema).distinct()
+    return spread(chunks.select("id", "text").where("text IS NOT NULL")).mapInArrow(run, schema).distinct()

@@ -1,122 +1,148 @@
-"""Main content of web pages, by removing the site's template.
+"""Main content of web pages, by removing the template of their site.
 
-A chunk is read as a shallow tree: blocks between blank lines or headings, lines within blocks, parts within
-lines. Every element has two hashes: of its exact key (letters and digits only) and of its shape, in which the
-parts that change from page to page are left out. Hashes are counted by distinct page for each host, and for the
-site above it; elements that recur across enough pages go. What may recur in the content itself (headings, rows
-of tables, list entries, sentences, numbers) goes only if its shape is one of page furniture.
+A text is read as a tree: sections under their headings, tables, and lines as leaves. Every subtree is hashed over
+its letters and digits, whatever its case and decoration; digit runs of a single line count as 0. Hashes are counted by distinct page for each
+host; subtrees on many pages of their host are template and go, wherever they stand. A heading goes only with its
+whole section and a row only with its whole table, so headings and rows that recur over different content stay.
+
+Lines of the template that differ from page to page have slots. Subtrees with slots are hashed with the slot left out
+by position: what opens or closes a line, or its delimiters alone. Such a hash is template if lines with it stand
+outside of the content, beyond template lines, on several pages and on a certain share of the pages on which they stand
+at an edge. The search repeats from the edges inward. Running titles of one long document are lines at the edges
+of its chunks that recur but for a number that is another each time.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
-from functools import cache
+from itertools import islice
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from florilege.llm.common import cut, host_of
-
-#: Pages of a site on which a furniture shape must recur, or chunks, for the running headers of one long page.
-SHAPE_PAGES, SHAPE_CHUNKS = 2, 3
-#: Pages, and share of the host's pages, on which an exact element must recur.
-EXACT_PAGES, EXACT_SHARE = 5, 0.02
-
-# Shapes of page furniture, over lines in lower case with single blanks and without decoration.
-SHAPES: dict[str, tuple[str, ...]] = {
-    "consent": (
-        r"(?:wir verwenden|wir nutzen|diese (?:seite|website) verwendet|we use|this (?:site|page) uses|nous utilisons|utilizamos|usamos|utilizziamo|wij gebruiken|używamy) .{0,60}(?:dateien|cookies?|files|fichiers|archivos|ficheros|file|bestanden|plików)\b",
-        r"(?:speicherung für|accept or refuse storage|storage for) .*",
-    ),
-    "skip": (
-        r"(?:zum inhalt springen|zur navigation|menü (?:öffnen|schließen)|direkt zu[rm] \p{L}+|skip to \p{L}+|jump to \p{L}+|(?:open|close) menu|aller au contenu|saltar al contenido|vai al contenuto|naar de inhoud|przejdź do treści)\b",
-    ),
-    "share": (
-        r"(?:folgen sie uns|follow (?:us|the .{1,40} on)|diese seite (?:teilen|drucken|empfehlen)|share this page|beitrag empfehlen|seite empfehlen|partager cette page)\b",
-    ),
-    "feedback": (r"war diese seite .*hilfreich", r"was this .{0,60}helpful", r"contact the web desk\b", r"newsletter\b.*(?:address|adresse|anmelden|subscribe|abonnieren)"),
-    "byline": (r"redaktion: .+stand \d", r"text und bilder:", r"text and pictures:", r"verantwortlich für den inhalt:", r"responsible for (?:the )?content"),
-    "legal": (
-        r"(?:©|\(c\)) ?\d{4}\b", r".*\b(?:alle rechte vorbehalten|all rights reserved)$", r"rechtlicher hinweis:", r"legal notice:", r"(?:druckversion erstellt|printed versions? of|print version)\b",
-        r"(?:impressum|imprint|contact|kontakt) ?[|·•/] ?(?:datenschutz|data protection|privacy|barrierefreiheit|accessibility|impressum|imprint)\b", r".*[|·] ?telefonzentrale ?[|·] ?anfahrt$",
-        r"[\p{L} .\-]{3,60}, [\p{L} .\-]{2,40}(?:gasse|straße|str\.|weg|platz|allee|ufer|lane|street|road|avenue|square) \d+ ?[a-z]?(?:, .{0,80})?$",
-    ),
-    "running": (r".{3,100}[,–|\-] (?:seite|page) \d+ (?:von|of) \d+$",),
-    "tags": (r"(?:schlagwörter|schlagworte|stichwörter|tags|keywords): ?\S.*",),
-    "teaser": (r"(?:verwandte seiten|lesen sie auch|siehe auch|meistgelesen|weitere beiträge|related pages|related articles|read also|see also|most read[\p{L} ]{0,20}): ?\S.*",),
-    "crumbs": (r"(?:sie sind hier|you are here)\b.*", r"(?:start|startseite|home) ?[›>»/] ?\S.*"),
-    "paging": (
-        r"(?:«|‹|<<) .+", r"(?:treffer|hits?) \d+ (?:von|of) \d+\b.*", r"(?:zurück zur liste|back to (?:the )?list)\b.*", r"(?:next|previous|nächster|voriger) (?:entry|page|eintrag|beitrag)\b.*",
-    ),
-    "login": (r"\[(?:anmelden|log ?in|sign in|register|registrieren|abmelden|log ?out)\b[^\]]*\]\(.*",),
-    "navlink": (r"(?:[-+•–] ?)?\[[^\]]+\]\(/[^)\s]*\)$",),
-    "menu": (r"[^|·/.!?;:]{2,50}(?: [|·] [^|·/.!?;:]{2,50}){3,}$", r"[^|·/.!?;:\d]{2,50}(?: / [^|·/.!?;:\d]{2,50}){3,}$"),
-}
-#: Lines of the content that may recur: headings, rows, entries, sentences, numbers.
-CONTENT = r"^\s*(?:#|\||[-*+•–] |\d+[.)] |[a-z]\) )|[.!?]\s*$|\t|;.*;|\S {3,}\S|^[^\p{L}]*$"
-
-
-#: Longest line that is looked at as furniture, and lines whose classes a task remembers at a time.
-MAX_LINE, REMEMBERED = 400, 100_000
-
-
-@cache
-def _patterns():
-    import regex
-
-    shapes = regex.compile("|".join(f"(?P<{name}>{'|'.join(p)})" for name, p in SHAPES.items()))
-    return shapes, regex.compile(CONTENT), regex.compile(r"^[ *_>]+|[ *_]+$"), regex.compile(r"[^\p{L}\p{N}]+"), regex.compile(r"\p{Nd}+")
-
-
-def classify(line: str) -> tuple[str | None, str | None]:
-    """(shape, key) of a line: the name of its furniture shape, or else the key under which it might recur.
-
-    Both are None for a line that is content by form.
+from florilege.llm.common import cut, host_of, spread
+
+#: Pages, and share of the host's pages, on which a subtree must recur.
+EXACT_PAGES, EXACT_SHARE = 5, 0.03
+#: Pages on which lines with one slot hash must stand beyond template lines, and their least share of the pages with such lines at an edge.
+OUTSIDE_PAGES, OUTSIDE_SHARE = 3, 0.04
+#: Times that slot hashes are learned; every time the edges have moved inward by what was learned before.
+ROUNDS = 3
+#: Chunks of one document that must share a running title, least share of different numbers in it, and its least words.
+RUNNING_CHUNKS, RUNNING_SHARE, RUNNING_WORDS = 5, 0.8, 3
+#: Slot hashes broadcast at once (32 MB); more are taken in several passes.
+BLOCK = 4_000_000
+#: Lines whose hashes a task remembers at a time.
+REMEMBERED = 100_000
+
+HEADING, ROW = re.compile(r"\s*(#{1,6})\s"), re.compile(r"\s*\|")
+DIGITS, OTHER = re.compile(r"\d+"), re.compile(r"[\W_]+")
+TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]|_")
+NAME = re.compile(r"[^\W\d_]{3}")
+WORDS = re.compile(r"\w[\w\s]*")
+EDGES = re.compile(r"^[\s*_>+•–\-]+|[\s*_]+$")
+#: Slot hashes of a line: the 2 or 3 tokens that open it, those that close it, and its delimiters.
+SLOTS = 5
+
+
+def _hash(*parts: str) -> int:
+    return xxhash.xxh64_intdigest("\n".join(parts)) - (1 << 63)
+
+
+def line_key(line: str) -> str:
+    """Letters and digits of a line in lower case, digit runs as 0, anything else as one blank."""
+    return OTHER.sub(" ", DIGITS.sub("0", line.lower())).strip()
+
+
+def slot_keys(line: str) -> list[str]:
+    """The line with its slots left out, as SLOTS strings; empty where too little is left to tell it by."""
+    one = EDGES.sub("", DIGITS.sub("0", line.lower()))
+    first = [m.group() for m in islice(TOKEN.finditer(one), 4)]
+    at = max(0, len(one) - 80)
+    last = TOKEN.findall(one, at)
+    if at and len(last) < 5:
+        last = TOKEN.findall(one)
+    out = [""] * SLOTS
+    for k in (2, 3):
+        if len(first) > k and NAME.search(x := " ".join(first[:k])):
+            out[k - 2] = f"{k} {x}"
+        if len(last) > k and NAME.search(x := " ".join(last[-k:])):
+            out[k] = f"-{k} {x}"
+    shape = WORDS.sub("*", one)
+    if len(shape) >= 5 and NAME.search(one):
+        out[4] = f"* {shape}"
+    return out
+
+
+def subtrees(lines: list[str]) -> tuple[list[int], list[int], list[tuple[int, int, str]]]:
+    """(line numbers, what, subtrees) of a text's filled lines: ``what`` is 1 for a heading, 2 for a row, else 0.
+
+    A subtree is its first and last filled line and its key.
     """
-    if len(line) > MAX_LINE or not line.strip():
-        return None, None
-    shapes, content, edges, other, digits = _patterns()
-    one = edges.sub("", " ".join(line.lower().split()))
-    m = shapes.match(one)
-    if m:
-        return m.lastgroup, None
-    if content.search(line):
-        return None, None
-    return None, other.sub(" ", digits.sub("0", one)).strip()
-
-
-def is_furniture(line: str) -> bool:
-    """Whether a line has a furniture shape."""
-    if len(line) > MAX_LINE or not line.strip():
-        return False
-    shapes, _, edges, _, _ = _patterns()
-    return shapes.match(edges.sub("", " ".join(line.lower().split()))) is not None
-
-
-def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    known: dict[str, tuple[str | None, str | None]] = {}
-    for batch in batches:
-        of, no, shapes, exact = [], [], [], []
-        for k, (text, host) in enumerate(zip(batch.column("text").to_pylist(), batch.column("host").to_pylist(), strict=True)):
-            for n, line in enumerate(text.split("\n")):
-                if len(line) > MAX_LINE:
-                    continue
-                found = known.get(line)
-                if found is None:
-                    if len(known) >= REMEMBERED:
-                        known.clear()
-                    found = known[line] = classify(line)
-                shape, key = found
-                if shape or key:
-                    of.append(k)
-                    no.append(n)
-                    shapes.append(shape)
-                    exact.append(None if shape else xxhash.xxh64_intdigest(f"{host} {key}") - (1 << 63))
-        if of:
-            kept = batch.drop_columns(["text"]).take(pa.array(of))
-            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(no, pa.int32()), pa.array(shapes, pa.string()), pa.array(exact, pa.int64())], names=[*kept.schema.names, "line_no", "shape", "exact"])
+    no = [k for k, x in enumerate(lines) if x.strip()]
+    what, heads = [], []
+    for i, k in enumerate(no):
+        head = HEADING.match(lines[k])
+        what.append(1 if head else 2 if ROW.match(lines[k]) else 0)
+        if head:
+            heads.append((i, len(head.group(1))))
+    out = [(i, i, key) for i, (k, w) in enumerate(zip(no, what, strict=True)) if w == 0 and NAME.search(key := line_key(lines[k]))]
+    inner = lambda i, j: "\n".join(OTHER.sub(" ", lines[k].lower()).strip() for k in no[i:j])
+    open_ = []
+    for i, level in [*heads, (len(no), 0)]:
+        while open_ and open_[-1][1] >= level:
+            j, _ = open_.pop()
+            if i - j > 1:
+                out.append((j, i - 1, "# " + inner(j, i)))
+        open_.append((i, level))
+    i = 0
+    while i < len(no):
+        j = i
+        while j < len(no) and what[j] == 2:
+            j += 1
+        if j - i > 1:
+            out.append((i, j - 1, "| " + inner(i, j)))
+        i = max(j, i + 1)
+    return no, what, out
+
+
+def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    known: dict[tuple[str, str], list[int]] = {}
+    ints, longs = pa.list_(pa.int32()), pa.list_(pa.int64())
+    for whole in batches:
+        for at in range(0, whole.num_rows, 2000):
+            batch = whole.slice(at, 2000)
+            cols: list[list] = [[] for _ in range(8)]
+            for text, host, site, page in zip(*(batch.column(c).to_pylist() for c in ("text", "host", "site", "page")), strict=True):
+                lines = text.split("\n")
+                no, what, trees = subtrees(lines)
+                slots: list[int] = []
+                for k, w in zip(no, what, strict=True):
+                    if w:
+                        slots += [0] * SLOTS
+                        continue
+                    found = known.get((site, lines[k]))
+                    if found is None:
+                        found = [_hash(site, x) if x else 0 for x in slot_keys(lines[k])]
+                        if len(lines[k]) <= 200:
+                            if len(known) >= REMEMBERED:
+                                known.clear()
+                            known[site, lines[k]] = found
+                    slots += found
+                running = []
+                for i in dict.fromkeys((0, len(no) - 1)) if no else ():
+                    if what[i] == 0 and (n := DIGITS.findall(lines[no[i]])) and len(NAME.findall(key := line_key(lines[no[i]]))) >= RUNNING_WORDS:
+                        running.append((i, _hash(str(page), key), _hash(*n)))
+                row = (no, what, slots, [_hash(host, t[2]) for t in trees], [t[0] for t in trees], [t[1] for t in trees], [x for r in running for x in r], xxhash.xxh64_intdigest(text) - (1 << 63))
+                for c, x in zip(cols, row, strict=True):
+                    c.append(x)
+            kept = batch.drop_columns(["text"])
+            kinds = (ints, ints, longs, longs, ints, ints, longs, pa.int64())
+            yield pa.RecordBatch.from_arrays([*kept.columns, *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=[*kept.schema.names, "no", "what", "slots", "eh", "ef", "et", "running", "th"])
 
 
 def site_of(host: Column) -> Column:
@@ -124,28 +150,166 @@ def site_of(host: Column) -> Column:
     return F.substring_index(host, ".", -2)
 
 
-def elements(df: DataFrame, keep: list[str]) -> DataFrame:
-    """(keep.., host, site, page, line_no, shape, exact): the lines that may be furniture, page as a hash.
+def trees(df: DataFrame, keep: list[str]) -> DataFrame:
+    """One row a text: (keep.., host, site, page, no, what, slots, eh, ef, et, running, th, rid).
 
-    Lines that are content by form and have no furniture shape can't go and are left out.
+    ``eh``, ``ef`` and ``et`` are the hash, first and last filled line of every subtree. Rows without text have none;
+    rows without a host are of one host.
     """
-    host = host_of(F.col("source_url"))
+    host = F.coalesce(host_of(F.col("source_url")), F.lit(""))
     rows = df.where("text IS NOT NULL").select(*keep, host.alias("host"), site_of(host).alias("site"), F.xxhash64("source_url").alias("page"), "text")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "text")
-    return rows.mapInArrow(_elements, f"{schema}, line_no int, shape string, exact long")
+    rows = spread(rows).mapInArrow(_trees, f"{schema}, no array<int>, what array<int>, slots array<long>, eh array<long>, ef array<int>, et array<int>, running array<long>, th long")
+    return rows.withColumn("rid", F.monotonically_increasing_id())
+
+
+def _recurring(tree: DataFrame, min_pages: int, min_share: float) -> DataFrame:
+    """(rid, ord): the filled lines of subtrees that recur on many pages of their host."""
+    found = tree.select("rid", "host", "page", F.explode(F.arrays_zip("eh", "ef", "et")).alias("x")).select("rid", "host", "page", "x.*")
+    # Distinct pages are counted in two steps, so no key's pages are ever in one task.
+    counts = found.select("eh", "host", "page").distinct().groupBy("eh", "host").agg(F.count(F.lit(1)).alias("pages")).where(F.col("pages") >= min_pages)
+    hosts = tree.select("host", "page").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("all"))
+    often = counts.join(hosts, "host").where(F.col("pages") >= F.col("all") * min_share).select("eh")
+    return found.select("rid", "eh", "ef", "et").join(often, "eh", "left_semi").select("rid", F.explode(F.sequence("ef", "et")).alias("ord"))
+
+
+def _running(tree: DataFrame) -> DataFrame:
+    """(rid, ord): running titles of long documents."""
+    edge = tree.where(F.size("running") > 0).select("rid", "th", F.explode(F.sequence(F.lit(0), F.size("running") - 1, F.lit(3))).alias("i"), "running")
+    edge = edge.select("rid", "th", *[F.expr(f"running[i + {k}]").alias(n) for k, n in enumerate(("ord", "key", "number"))])
+    once = edge.select("key", "th", "number").distinct()
+    numbers = once.select("key", "number").distinct().groupBy("key").agg(F.count(F.lit(1)).alias("numbers"))
+    texts = once.select("key", "th").distinct().groupBy("key").agg(F.count(F.lit(1)).alias("texts")).where(F.col("texts") >= RUNNING_CHUNKS)
+    titles = texts.join(numbers, "key").where(F.col("numbers") >= F.col("texts") * RUNNING_SHARE).select("key")
+    return edge.join(titles, "key", "left_semi").select("rid", F.col("ord").cast("int").alias("ord"))
+
+
+def _member(values: np.ndarray, among: np.ndarray) -> np.ndarray:
+    """Whether each value is among the sorted ones."""
+    if not len(among):
+        return np.zeros(values.shape, bool)
+    at = np.minimum(np.searchsorted(among, values), len(among) - 1)
+    return among[at] == values
+
+
+def edges(flag: list[bool]) -> tuple[int, int]:
+    """The first line from the top, and from the bottom the line after the last, that isn't flagged."""
+    a, b = 0, len(flag)
+    while a < b and flag[a]:
+        a += 1
+    while b > a and flag[b - 1]:
+        b -= 1
+    return a, b
+
+
+def outside(flag: list[bool], what: list[int]) -> list[tuple[int, bool]]:
+    """(line, whether it stands outside of the content) of the lines at an edge and of those just beyond flagged lines.
+
+    A line stands outside if the line on its inner side is flagged, content lies further in, and no heading opens a
+    section between it and that edge of the text.
+    """
+    n = len(flag)
+    a, b = edges(flag)
+    found = {i: False for i in ((a, b - 1) if a < b else ())}
+    heads = [i for i, w in enumerate(what) if w == 1]
+    first, last = (heads[0], heads[-1]) if heads else (n, -1)
+    for i in range(n):
+        if flag[i] or what[i]:
+            continue
+        j = i - 1
+        while j >= 0 and flag[j]:
+            j -= 1
+        below = 0 <= j < i - 1 and last < i
+        j = i + 1
+        while j < n and flag[j]:
+            j += 1
+        above = i + 1 < j < n and first > i
+        if below or above:
+            found[i] = True
+    return [(i, x) for i, x in found.items() if not what[i]]
+
+
+def _flags(batch: pa.RecordBatch, known: np.ndarray) -> Iterator[tuple[list[bool], list[int], np.ndarray]]:
+    """(flags, what, slot hashes) of every text, slot lines flagged as far as they are joined to an edge."""
+    for exact, what, slots in zip(*(batch.column(c).to_pylist() for c in ("exact", "what", "slots")), strict=True):
+        n = len(what)
+        hashes = np.array(slots, np.int64).reshape(n, SLOTS)
+        flag = np.zeros(n, bool)
+        if exact:
+            flag[exact] = True
+        if n and len(known):
+            either = flag | _member(hashes, known).any(axis=1)
+            a, b = edges(either.tolist())
+            flag[:a] = True
+            flag[b:] = True
+        yield flag.tolist(), what, hashes
+
+
+def _evidence(batches: Iterator[pa.RecordBatch], known: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        keys, pages, out = [], [], []
+        for page, (flag, what, hashes) in zip(batch.column("page").to_pylist(), _flags(batch, known), strict=True):
+            for i, x in outside(flag, what):
+                ks = [k for k in hashes[i].tolist() if k]
+                keys += ks
+                pages += [page] * len(ks)
+                out += [int(x)] * len(ks)
+        if keys:
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(pages, pa.int64()), pa.array(out, pa.int32())], names=["key", "page", "out"])
+
+
+def _marked(batches: Iterator[pa.RecordBatch], known: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        of, no = [], []
+        for k, ((flag, _, _), lines) in enumerate(zip(_flags(batch, known), batch.column("no").to_pylist(), strict=True)):
+            gone = [n for n, f in zip(lines, flag, strict=True) if f]
+            of += [k] * len(gone)
+            no += gone
+        if of:
+            kept = batch.drop_columns(["page", "no", "what", "slots", "exact"]).take(pa.array(of))
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(no, pa.int32())], names=[*kept.schema.names, "line_no"])
+
+
+def slot_hashes(rows: DataFrame, known: np.ndarray, pages: int, share: float) -> DataFrame:
+    """(key): hashes of lines with slots that stand outside of the content, given those known before."""
+    shared = rows.sparkSession.sparkContext.broadcast(known)
+    found = rows.select("page", "what", "slots", "exact").mapInArrow(lambda b: _evidence(b, shared.value), "key long, page long, out int")
+    once = found.groupBy("key", "page").agg(F.max("out").alias("out"))
+    counts = once.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("out").alias("out"))
+    return counts.where((F.col("out") >= pages) & (F.col("out") >= F.col("n") * share)).select("key")
+
+
+def furniture(df: DataFrame, keep: list[str], exact_pages: int = EXACT_PAGES, exact_share: float = EXACT_SHARE, rounds: int = ROUNDS) -> DataFrame:
+    """(keep.., line_no): the lines of page furniture. Rows without text have none; rows without host are one host.
+
+    Repeated rows count once. Slot hashes learned are broadcast up to BLOCK at a time; if there are more, none beyond
+    is learned in this run of the operator, which raises an error rather than dropping some.
+    """
+    tree = cut(trees(df, keep))
+    gone = _recurring(tree, exact_pages, exact_share).unionByName(_running(tree))
+    gone = gone.groupBy("rid").agg(F.collect_set("ord").alias("exact"))  # at most as many as a text has lines
+    rows = cut(tree.select(*keep, "rid", "page", "no", "what", "slots").join(gone, "rid", "left").drop("rid"))
+    known = np.empty(0, np.int64)
+    for _ in range(rounds):
+        new = cut(slot_hashes(rows, known, OUTSIDE_PAGES, OUTSIDE_SHARE))
+        if new.count() + len(known) > BLOCK:
+            raise ValueError(f"more than {BLOCK} slot hashes; run the operator by groups of sites")
+        more = np.array([r["key"] for r in new.collect()], np.int64)
+        if not len(more):
+            break
+        known = np.unique(np.concatenate([known, more]))
+    shared = df.sparkSession.sparkContext.broadcast(known)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keep).schema)
+    return rows.mapInArrow(lambda b: _marked(b, shared.value), f"{schema}, line_no int").distinct()
 
 
-def furniture(df: DataFrame, keep: list[str], shape_pages: int = SHAPE_PAGES, shape_chunks: int = SHAPE_CHUNKS, exact_pages: int = EXACT_PAGES, exact_share: float = EXACT_SHARE) -> DataFrame:
-    """(keep.., line_no): the lines of page furniture. Rows without text have none; rows without host are one site."""
-    lines = cut(elements(df, keep).withColumn("site", F.coalesce("site", F.lit(""))))
-    shapes = lines.where("shape IS NOT NULL").groupBy("site", "shape").agg(F.approx_count_distinct("page", 0.01).alias("pages"), F.approx_count_distinct(F.xxhash64(*keep), 0.01).alias("chunks")).where((F.col("pages") >= shape_pages) | (F.col("chunks") >= shape_chunks))
-    by_shape = lines.join(shapes.select("site", "shape"), ["site", "shape"], "left_semi")
-    other = lines.where("exact IS NOT NULL AND host IS NOT NULL")
-    counts = other.select("exact", "host", "page").distinct().groupBy("exact", "host").agg(F.count(F.lit(1)).alias("pages")).where(F.col("pages") >= exact_pages)
-    hosts = df.select(host_of(F.col("source_url")).alias("host"), F.xxhash64("source_url").alias("page")).distinct().groupBy("host").agg(F.count(F.lit(1)).alias("all"))
-    often = counts.join(hosts, "host").where(F.col("pages") >= F.col("all") * exact_share).select("exact")
-    by_exact = other.join(often, "exact", "left_semi")
-    return by_shape.select(*keep, "line_no").unionByName(by_exact.select(*keep, "line_no")).distinct()
+def with_furniture(df: DataFrame, keep: list[str]) -> DataFrame:
+    """(keep.., source_url, text, gone): every distinct row with the numbers of its furniture lines, or an empty array."""
+    rows = df.select(*keep, "source_url", "text").distinct()
+    key = [F.xxhash64("source_url", "text").alias("_a"), F.xxhash64("text", F.lit(1), "source_url").alias("_b")]
+    gone = furniture(rows.select(*key, "source_url", "text"), ["_a", "_b"]).groupBy("_a", "_b").agg(F.collect_set("line_no").alias("gone"))
+    joined = rows.select(*keep, "source_url", "text", *key).join(gone, ["_a", "_b"], "left")
+    return joined.select(*keep, "source_url", "text", F.coalesce("gone", F.array().cast("array<int>")).alias("gone"))
 
 
 def main_content(df: DataFrame) -> DataFrame:
@@ -153,10 +317,6 @@ def main_content(df: DataFrame) -> DataFrame:
 
     Line numbers are gathered per chunk, at most as many as it has lines. A chunk without text stays null.
     """
-    chunks = df.select("id", "source_url", "text").distinct()
-    gone = furniture(chunks, ["id"]).groupBy("id").agg(F.collect_set("line_no").alias("gone"))
-    none = F.array().cast("array<int>")
-    joined = chunks.join(gone, "id", "left").withColumn("gone", F.coalesce("gone", none))
     kept = F.filter(F.split("text", "\n", -1), lambda _, i: ~F.array_contains("gone", i))
     text = F.regexp_replace(F.regexp_replace(F.array_join(kept, "\n"), r"\n(?:[ \t]*\n){2,}", "\n\n"), r"(?U)^\s+|\s+$", "")
-    return joined.select("id", "source_url", text.alias("text"), F.size("gone").alias("removed"))
+    return with_furniture(df, ["id"]).select("id", "source_url", text.alias("text"), F.size("gone").alias("removed"))

@@ -11,6 +11,14 @@ from florilege.llm import language, leakage, maincontent, mixing, neardup, resid
 from florilege.llm.common import cut, table
 
 
+def _bodies(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "cleaned_body", "file", "source_url", "text")
+
+
+def _reasons(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "quality_assessment", "source_url", "reasons")
+
+
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     parts = split.split_oversized(table(spark, d, "hsh_vectors", "id", "text"), ["id"])
     return parts.where((F.col("n_pieces") > 1) & F.col("id").isNotNull()).select("id").distinct()
@@ -21,29 +29,29 @@ def p1_pieces(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return language.wrong_labels(table(spark, d, "quality_assessment", "file", "language"), table(spark, d, "cleaned_body", "file", "text"))
+    return language.wrong_labels(table(spark, d, "quality_assessment", "file", "language"), _bodies(spark, d))
 
 
 def p2_pages(spark: SparkSession, d: str) -> DataFrame:
-    labels, bodies = table(spark, d, "quality_assessment", "file", "language"), table(spark, d, "cleaned_body", "file", "text")
+    labels, bodies = table(spark, d, "quality_assessment", "file", "language"), _bodies(spark, d)
     return language.page_languages(bodies, language.fit(labels, bodies))
 
 
 def p2_segments(spark: SparkSession, d: str) -> DataFrame:
-    model = language.fit(table(spark, d, "quality_assessment", "file", "language"), table(spark, d, "cleaned_body", "file", "text"))
+    model = language.fit(table(spark, d, "quality_assessment", "file", "language"), _bodies(spark, d))
     return language.text_segments(table(spark, d, "hsh_vectors", "id", "text"), model)
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return residue.residue(table(spark, d, "hsh_vectors", "id", "text"), ["id"]).where("id IS NOT NULL").select("id").distinct()
+    return residue.residue(table(spark, d, "hsh_vectors", "id", "source_url", "text"), ["id"], _reasons(spark, d)).where("id IS NOT NULL").select("id").distinct()
 
 
 def p3_marked(spark: SparkSession, d: str) -> DataFrame:
-    return residue.marked(table(spark, d, "hsh_vectors", "id", "text"))
+    return residue.marked(table(spark, d, "hsh_vectors", "id", "source_url", "text"), _reasons(spark, d))
 
 
 def p3_kept(spark: SparkSession, d: str) -> DataFrame:
-    return residue.without_residue(table(spark, d, "hsh_vectors", "id", "source_url", "chunk_index", "text"))
+    return residue.without_residue(table(spark, d, "hsh_vectors", "id", "source_url", "chunk_index", "text"), _reasons(spark, d))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -71,11 +79,11 @@ def p6_content(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    return textstats.not_prose(table(spark, d, "cleaned_body", "file", "text"))
+    return textstats.not_prose(_bodies(spark, d), _reasons(spark, d))
 
 
 def p7_statistics(spark: SparkSession, d: str) -> DataFrame:
-    return textstats.statistics(table(spark, d, "cleaned_body", "file", "text"))
+    return textstats.statistics(_bodies(spark, d), _reasons(spark, d))
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:

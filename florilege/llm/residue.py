@@ -1,186 +1,251 @@
 """Template residue, filler and error pages, by aligning the records of a template.
 
-Units are the lines and sentences of a text that hold a cue. Units with the same opening, ending and length are
-records of one template; aligned token by token, positions where they differ are its slots and the rest its
-constants. A slot that still holds a variable name, a default or a blank is residue; constants that spell an error,
-maintenance or script notice make all records of the template residue.
+Lines with the same opening or ending are records of one template, what differs between them its slots. Templates are
+judged by their records: a template that makes up the whole body of most texts it stands in, and whose pages were noted
+as short or faulty far more often than others, is an error page, a notice or a stand-in text, and all its records are
+residue, noted or not. Slots that still hold the variable's name are told by the syntax of templates, slots left blank by
+their line. The words of filler text are learned too: they stand beside its best-known words and hardly anywhere else.
+Page furniture is left aside, so that a page whose only content is a notice counts as whole.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
-from functools import cache
+from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
+import regex
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from florilege.llm.common import cut
-
-# Literals (lower case) one of which stands in every text that the patterns below can match.
-CUES = (
-    "{", "[[", "@@", "###", "%", "__", "&lt;", "<", "«", "platzhalter]", "einfügen]",
-    "lorem", "ipsum", "amentis", "blindtext", "dummy", "mustertext", "placeholder", "sample text", "asdf", "qwert", "xxx", "todo", "tbd", "noch offen", "steht später", "folgt.", "your text",
-    "javascript", "skript", "script", "browser", "captcha",
-    "fehler", "error", "nicht gefunden", "not found", "nowhere", "nicht verfügbar", "verweigert", "denied", "forbidden", "berechtigung", "wartungsarbeiten", "maintenance", "abgeschaltet", "unavailable",
-    "abgelaufen", "expired", "fehlgeschlagen", "zeitüberschreitung", "exception", "undefined", "nicht geladen", "nicht angezeigt", "verschoben oder gelöscht", "existiert nicht", "went wrong", "something broke", "oops",
-    "failed to", "too many", "try again", "erneut", "gateway", ".java:", "erreur", "errore", "introuvable", "no encontrada", "non trovata", "niet gevonden", "nie znaleziono", "bulunamadı", "proxy/",
-)
+from florilege.llm.common import cut, spread
+from florilege.llm.maincontent import BLOCK, NAME, _member, line_key, slot_keys, with_furniture
+
 _NAME = r"[\p{L}][\p{L}\p{N}_.\-]*"
-#: Spans that stand for a value to be filled in.
-MARK = "|".join((
+# The syntax of slots in common template languages and forms.
+SLOT = "|".join((
     rf"\{{\{{\s*{_NAME}[^{{}}]*\}}\}}", rf"[$#]\{{\s*{_NAME}\s*\}}", rf"\{{%+-?\s*{_NAME}[^{{}}%]*%+\}}", rf"\{{\$\s*{_NAME}\s*\}}",
     rf"\[\[\s*{_NAME}\s*\]\]", rf"@@\s*{_NAME}\s*@@", rf"\#\#\#\s?{_NAME}\s?\#\#\#", rf"%%\s*{_NAME}\s*%%", r"(?<![\p{L}\p{N}%])%[\p{L}][\p{L}_]+%(?![\p{L}\p{N}%])",
-    r"(?<![\p{L}\p{N}_])__\p{L}[\p{L}\p{N}]*(?:_\p{L}[\p{L}\p{N}]*)*__(?![\p{L}\p{N}_])", rf"&lt;\s*{_NAME}\s*&gt;", rf"<!--\s*{_NAME}\s*-->", rf"«\p{{Ll}}[\p{{L}}_]+»",
+    r"(?<![\p{L}\p{N}_])__\p{L}[\p{L}\p{N}]*(?:_\p{L}[\p{L}\p{N}]*)*__(?![\p{L}\p{N}_])", rf"&lt;\s*{_NAME}\s*&gt;", rf"<!--\s*{_NAME}\s*-->", r"«\p{Ll}[\p{L}_]+»",
     r"<(?:bitte )?[\p{L} ]{1,40} (?:eintragen|einfügen|ergänzen|einsetzen)>", r"<(?:enter|insert) [\p{L} ]{1,40}>",
     r"\[(?:bitte |hier )*[\p{L} ]{1,40} (?:eintragen|einfügen|ergänzen|einsetzen)\]", r"\[(?:enter|insert|your) [\p{L} ]{1,40}\]", r"\[\p{L}[\p{L}_]*_(?:platzhalter|placeholder)\]",
 ))
-#: Words of filler text, in lower case.
-FILLER = (
-    "lorem ipsum dolor sit amet consectetur adipiscing elit sed eiusmod tempor incididunt labore magna aliqua "
-    "addis amentis cantis comsec dolur dumis facit fortan istal melius nemor nolat oratin parvel pretor quintor regul sabe sagit umbrel velar verum vivend"
-).split()
-#: Defaults left in slots and stand-in texts.
-DEFAULT = "|".join((
-    r"\b(?:dies|hier) ist (?:ein )?blindtext\b", r"\bblindtext für\b", r"\bbitte (?:vor der freigabe )?(?:ersetzen|löschen)\b", r"\bdummy (?:copy|text)\b", r"\breplace (?:it|this) before\b", r"\bplaceholder text\b", r"\bsample text\b",
-    r"\bhier steht (?:später|bald|demnächst) ", r"\byour text (?:goes )?here\b", r"^todo\b", r"^tbd\b", r"\binhalt noch offen\b", r"\bmustertext\b", r"\basdf\b", r"\bqwert[yz]?\b",
-    r"(?:^|\s)x{3,}\s+x{2,}(?:\s|$)", r"\b(?:text|bild|inhalt|beschreibung) folgt(?:\.|$| in kürze)", r"^null undefined\b", r"\bundefined nan\b",
-))
-#: Notices that scripts or a browser check are needed.
-SCRIPT = "|".join((
-    r"\b(?:enable|activate|turn on|switch on) (?:javascript|scripts?)\b", r"\b(?:activer|activez|active|habilite|attiva|attivare|schakel|włącz) javascript\b", r"\baktivieren sie (?:bitte )?(?:javascript|skripte)\b",
-    r"\bjavascript (?:ist (?:deaktiviert|erforderlich)|is (?:disabled|required|turned off))\b", r"\bunterstützt keine (?:skripte|javascript)\b", r"\bnur mit eingeschaltetem (?:javascript|skript)", r"\bbenötigt aktive skripte\b",
-    r"\brequires? (?:a )?(?:scripting|javascript)", r"^noscript\b", r"\bchecking your browser\b", r"\bihr browser wird geprüft\b", r"\bsolve (?:the|this) captcha\b",
-))
-#: Error and maintenance messages.
-ERROR = "|".join((
-    r"^fehler \d+\b", r"^(?:http )?error \d+\b", r"^\d+ (?:forbidden|not found)\b", r"^die seite (?:\S+ ){0,2}wurde nicht gefunden\b", r"\bpage not found\b", r"^seite nicht gefunden\b", r"\byou typed leads nowhere\b", r"\binterner serverfehler\b", r"\binternal server error\b",
-    r"^fehler beim laden\b", r"\bwird nicht geladen\b", r"\bkann nicht angezeigt werden\b", r"\bsitzung ist abgelaufen\b", r"\bsession (?:has |is )?expired\b", r"\bdatenbankverbindung fehlgeschlagen\b", r"\bzeitüberschreitung nach \d",
-    r"\b\p{L}+\.\p{L}[\p{L}.]*exception\b", r"^at [\p{L}\p{N}_.$]+\([\p{L}\p{N}_]+\.java:\d+\)", r"\bsomething (?:broke|went wrong)\b", r"^oops\b", r"\bseite wurde verschoben oder gelöscht\b", r"^der pfad (?:\S+ )?existiert nicht\b",
-    r"\binhalt ist (?:zurzeit|derzeit|momentan) nicht verfügbar\b", r"\bversuchen sie es in \d+ \p{L}+ erneut\b", r"^zugriff verweigert\b", r"^access denied\b", r"\bfehlt ihnen die berechtigung\b", r"^wartungsarbeiten\b", r"\bist bis \d+(?:[.:]\d+)? uhr abgeschaltet\b",
-    r"\bfailed to open stream\b", r"\btoo many requests\b", r"\btry again in \d+ (?:seconds|minutes)\b", r"\bbad gateway\b", r"\bgateway time-?out\b", r"\bservice unavailable\b", r"\bkeine treffer\.? null\b",
-    r"\bpage (?:\p{L}+ est )?introuvable\b", r"\bpágina no encontrada\b", r"\bpagina non trovata\b", r"\bpagina niet gevonden\b", r"\bnie znaleziono strony\b", r"\bsayfa bulunamadı\b",
-))
-BLANKS = re.compile(r"[ \t\xa0]{2,}")
-#: Least share of filler words in a unit of at least five words.
-FILLER_SHARE = 0.7
-
-
-@cache
-def _cues():
-    """Automaton that finds any cue in one pass over a text."""
-    import ahocorasick
-
-    out = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
-    for cue in CUES:
-        out.add_word(cue)
-    out.make_automaton()
-    return out
-
-
-def has_cue(text: str) -> bool:
-    """Whether any cue stands in a text, blanks counted once; without one no pattern can match."""
-    low = text.lower()
-    if "  " in low:
-        low = BLANKS.sub(" ", low)
-    return next(_cues().iter(low), None) is not None
+#: A slot left blank after its label.
+BLANK = r"^[\p{L}][\p{L} ]{1,40}: ?(?:_{3,}|\.{4,}|…{2,})$"
+#: One of these characters stands in whatever SLOT or BLANK matches.
+SIGNS = re.compile(r"[{\[@#%_&<«.…]")
+#: The best-known words of filler text.
+SEEDS = frozenset("lorem ipsum dolor sit amet consectetur adipiscing elit sed eiusmod tempor incididunt labore dolore magna aliqua".split())
+#: The two that stand in no other text.
+SURE = frozenset(("lorem", "ipsum"))
+#: Least share of filler words in a line, and its least words.
+FILLER_SHARE, FILLER_WORDS = 0.7, 5
+#: Lines in which a word must stand to be learned as filler, and least share of them that hold a sure word.
+LEARN_LINES, LEARN_SHARE = 3, 0.3
+#: Noted pages of a template, and least share of pages on which it makes up the body.
+NOTED_PAGES, WHOLE_SHARE = 3, 0.7
+#: Least evidence, in nats, that a template's pages are noted more often than pages are: e to the minus this bounds the chance.
+EVIDENCE = 8.0
+#: Most lines of a body that one record makes up.
+BODY_LINES = 3
+# Beginnings of the reasons by which an earlier run noted short and faulty pages.
+NOTES = r"^(?:fehlerseitenmuster|zu_wenig_text|viele_bildplatzhalter)"
+WORD = re.compile(r"[^\W\d_]{3,}")
+CODE = re.compile(r"`[^`]*`")
+HASH = re.compile(r"^\s*#+\s+")
+
+
+@dataclass
+class Model:
+    """Hashes of the templates that are residue, sorted, and the words of filler text."""
+
+    templates: np.ndarray = field(default_factory=lambda: np.empty(0, np.int64))
+    filler: frozenset[str] = SEEDS
+
+    def __post_init__(self) -> None:
+        self.known = frozenset(self.templates.tolist())
+
+
+_SLOT, _BLANK = regex.compile(f"(?i:{SLOT})"), regex.compile(BLANK)
+
+
+def template_keys(line: str) -> list[int]:
+    """Hashes of a line as a record: with the slot after its opening or before its ending left out, and whole."""
+    one = HASH.sub("", line)
+    keys = [k for k in slot_keys(one)[:4] if k]
+    if NAME.search(whole := line_key(one)):
+        keys.append(f"= {whole}")
+    return [xxhash.xxh64_intdigest(k) - (1 << 63) for k in keys]
+
+
+def kind_of(line: str, model: Model) -> str | None:
+    """field, blank, filler or notice for a line that is residue, else None."""
+    one = " ".join(line.split())
+    if SIGNS.search(one):
+        bare = CODE.sub("`", one)
+        if _SLOT.search(bare):
+            return "field"
+        if _BLANK.search(HASH.sub("", bare)):
+            return "blank"
+    if model.known and any(k in model.known for k in template_keys(line)):
+        return "notice"
+    words = WORD.findall(one.lower())
+    if len(words) >= FILLER_WORDS and sum(map(model.filler.__contains__, words)) >= FILLER_SHARE * len(words):
+        return "filler"
+    return None
+
+
+def body_lines(text: str, gone: list[int]) -> tuple[list[tuple[int, str]], bool]:
+    """The filled lines of a text beside furniture, and whether there are so few that one record makes up the body."""
+    aside = set(gone)
+    lines = [(k, x) for k, x in enumerate(text.split("\n")) if k not in aside and x.strip()]
+    return lines, sum(1 for _, x in lines if not HASH.match(x)) <= BODY_LINES
+
+
+def _noted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        keys, pages = [], []
+        for page, text, gone in zip(*(batch.column(c).to_pylist() for c in ("page", "text", "gone")), strict=True):
+            for _, line in body_lines(text, gone)[0]:
+                ks = template_keys(line)
+                keys += ks
+                pages += [page] * len(ks)
+        if keys:
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(pages, pa.int64())], names=["key", "page"])
+
+
+def _records(batches: Iterator[pa.RecordBatch], among: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """(key, page, whole) of the lines whose template may be residue."""
+    known: dict[str, list[int]] = {}
+    for batch in batches:
+        keys, pages, whole = [], [], []
+        for page, text, gone in zip(*(batch.column(c).to_pylist() for c in ("page", "text", "gone")), strict=True):
+            lines, alone = body_lines(text, gone)
+            flat, ends = [], [0]
+            for _, line in lines:
+                ks = known.get(line)
+                if ks is None:
+                    ks = template_keys(line)
+                    if len(line) <= 80:
+                        if len(known) >= 50_000:
+                            known.clear()
+                        known[line] = ks
+                flat += ks
+                ends.append(len(flat))
+            hit = np.array(flat, np.int64)
+            hit = hit[_member(hit, among)].tolist()
+            keys += hit
+            pages += [page] * len(hit)
+            whole += [int(alone)] * len(hit)
+        if keys:
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(pages, pa.int64()), pa.array(whole, pa.int32())], names=["key", "page", "whole"])
+
+
+def _word_lines(batches: Iterator[pa.RecordBatch], among: frozenset[str]) -> Iterator[pa.RecordBatch]:
+    """(word, n, sure) of the words asked for: lines with the word, and those of them with a sure word."""
+    n, sure = Counter(), Counter()
+    for batch in batches:
+        for text in batch.column("text").to_pylist():
+            if among.isdisjoint(WORD.findall(text.lower())):
+                continue
+            for line in text.lower().split("\n"):
+                words = set(WORD.findall(line))
+                found = words & among
+                n.update(found)
+                if words & SURE:
+                    sure.update(found)
+    if n:
+        yield pa.RecordBatch.from_arrays([pa.array(list(n)), pa.array(list(n.values()), pa.int64()), pa.array([sure[w] for w in n], pa.int64())], names=["word", "n", "sure"])
+
+
+def filler_words(rows: DataFrame) -> frozenset[str]:
+    """Words that stand beside a sure word of filler text in LEARN_SHARE of their lines, over all texts."""
+    lines = rows.where(F.lower("text").rlike("lorem|ipsum")).select(F.explode(F.split(F.lower("text"), "\n")).alias("line")).where(F.col("line").rlike(r"\b(?:lorem|ipsum)\b"))
+    words = lines.select(F.explode(F.array_distinct(F.regexp_extract_all("line", F.lit(r"\p{L}{3,}"), 0))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEARN_LINES).select("word")
+    words = cut(words)
+    if words.count() > 1_000_000:
+        raise ValueError("more than a million words beside filler words; filter the texts first")
+    among = frozenset(r["word"] for r in words.collect())
+    if not among:
+        return SEEDS
+    shared = rows.sparkSession.sparkContext.broadcast(among)
+    counts = rows.select("text").mapInArrow(lambda b: _word_lines(b, shared.value), "word string, n long, sure long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("sure").alias("sure"))
+    return SEEDS | {r["word"] for r in counts.where(F.col("sure") >= F.col("n") * LEARN_SHARE).select("word").collect()}
+
+
+def noted_pages(reasons: DataFrame, page: str = "source_url") -> DataFrame:
+    """(page): hashes of the pages for which short or faulty text was noted; null reasons note nothing."""
+    return reasons.where(F.exists(F.coalesce("reasons", F.array().cast("array<string>")), lambda r: r.rlike(NOTES)) & F.col(page).isNotNull()).select(F.xxhash64(page).alias("page")).distinct()
+
+
+def learn(rows: DataFrame, noted: DataFrame) -> Model:
+    """The model from (page, text, gone) of all texts and the pages noted; templates are counted over all texts.
+
+    Only templates on NOTED_PAGES noted pages are counted further; as broadcast they are at most BLOCK (32 MB).
+    """
+    first = spread(rows.join(noted, "page", "left_semi")).mapInArrow(_noted, "key long, page long").distinct()
+    first = cut(first.groupBy("key").agg(F.count(F.lit(1)).alias("noted")).where(F.col("noted") >= NOTED_PAGES))
+    if first.count() > BLOCK:
+        raise ValueError(f"more than {BLOCK} templates on noted pages; run the operator by groups of sites")
+    among = np.sort(np.array([r["key"] for r in first.select("key").collect()], np.int64))
+    shared = rows.sparkSession.sparkContext.broadcast(among)
+    every = rows.mapInArrow(lambda b: _records(b, shared.value), "key long, page long, whole int").groupBy("key", "page").agg(F.max("whole").alias("whole"))
+    every = every.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("whole").alias("whole")).join(first, "key")
+    total = rows.select("page").distinct().join(noted.withColumn("bad", F.lit(1)), "page", "left").agg((F.count("bad") / F.count(F.lit(1))).alias("rate"))
+    p, base = F.least(F.col("noted") / F.col("n"), F.lit(1.0)), F.col("rate")
+    none = F.lit(0.0)
+    evidence = F.col("n") * (p * F.log(p / base) + F.when(p < 1, (1 - p) * F.log((1 - p) / (1 - base))).otherwise(none))
+    every = every.crossJoin(F.broadcast(total))  # one row
+    bad = every.where((p > base) & (base < 1) & (evidence >= EVIDENCE) & (F.col("whole") >= F.col("n") * WHOLE_SHARE)).select("key")
+    return Model(np.sort(np.array([r["key"] for r in bad.collect()], np.int64)), filler_words(rows))
+
+
+def _marked(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        of, no, kinds = [], [], []
+        for k, (text, gone) in enumerate(zip(batch.column("text").to_pylist(), batch.column("gone").to_pylist(), strict=True)):
+            for n, line in body_lines(text, gone)[0]:
+                kind = kind_of(line, model)
+                if kind:
+                    of.append(k)
+                    no.append(n)
+                    kinds.append(kind)
+        if of:
+            kept = batch.drop_columns(["page", "text", "gone"]).take(pa.array(of))
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(no, pa.int32()), pa.array(kinds, pa.string())], names=[*kept.schema.names, "line_no", "kind"])
 
 
-def cued_lines(text: str) -> list[tuple[int, str]]:
-    """(line_no, line) of the lines with a cue."""
-    if not has_cue(text):
-        return []
-    return [(k, line) for k, line in enumerate(text.split("\n")) if has_cue(line)]
+def with_bodies(df: DataFrame, keep: list[str], page: str = "source_url") -> DataFrame:
+    """(keep.., page, text, gone) of every distinct row with text, written once: texts with their furniture's lines."""
+    rows = df.where("text IS NOT NULL").select(*keep, F.xxhash64(page).alias("page"), "source_url", "text")
+    return cut(with_furniture(rows, [*keep, "page"]).drop("source_url"))
 
 
-def _cued(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        of, no, lines = [], [], []
-        for k, text in enumerate(batch.column("text").to_pylist()):
-            for n, line in cued_lines(text):
-                of.append(k)
-                no.append(n)
-                lines.append(line)
-        if of:
-            kept = batch.drop_columns(["text"]).take(pa.array(of))
-            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(no, pa.int32()), pa.array(lines, pa.string())], names=[*kept.schema.names, "line_no", "line"])
+def residue(df: DataFrame, keep: list[str], reasons: DataFrame) -> DataFrame:
+    """(keep.., line_no, kind): the lines of ``df`` (source_url, text) that are residue: field, blank, filler or notice.
 
+    ``reasons`` (source_url, reasons) are the notes of an earlier run; without any, only fields, blanks and filler are
+    found. Null texts have none, repeated rows count once.
+    """
+    rows = with_bodies(df, keep)
+    model = learn(rows, noted_pages(reasons))
+    shared = df.sparkSession.sparkContext.broadcast(model)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keep).schema)
+    return rows.mapInArrow(lambda b: _marked(b, shared.value), f"{schema}, line_no int, kind string")
 
-def units(df: DataFrame, keep: list[str]) -> DataFrame:
-    """(keep.., line_no, unit): lines and sentences with a cue, marks written as one token, code spans left out.
 
-    Rows with null text give none. Every unit of every text is looked at; the cues only leave out what no pattern
-    can match.
-    """
-    rows = df.where("text IS NOT NULL").select(*keep, "text")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "text")
-    rows = rows.mapInArrow(_cued, f"{schema}, line_no int, line string")
-    line = F.regexp_replace("line", r"`[^`]*`", "`")
-    line = F.regexp_replace(line, rf"(?i)(?:{MARK})", " ⟦⟧ ")
-    rows = rows.withColumn("line", F.regexp_replace(F.lower(line), r"(?U)\s+", " "))
-    parts = F.concat(F.array("line"), F.split("line", r"(?<=[.!?;:])\s+"))
-    one = F.regexp_replace(F.col("unit"), r"^[\s*>#•+\-–]+|[\s*]+$", "")
-    return rows.select(*keep, "line_no", F.explode(F.array_distinct(parts)).alias("unit")).select(*keep, "line_no", one.alias("unit")).where("unit <> ''")
-
-
-def aligned(found: DataFrame) -> DataFrame:
-    """``found`` with ``constants``, ``values`` and ``support`` of each unit's template.
-
-    Only distinct units are aligned, so a unit repeated on a third of all rows weighs no more than any other; the
-    records of a template are compared by position counts, never gathered.
-    """
-    words = F.split(F.regexp_replace("unit", r"\p{N}+", "0"), " ")
-    n = F.size("w")
-    key = F.xxhash64(n, F.element_at("w", 1), F.element_at("w", F.least(n, F.lit(2))), F.element_at("w", F.greatest(n - 1, F.lit(1))), F.element_at("w", -1))
-    distinct = found.select("unit").distinct().withColumn("w", words).withColumn("template", key)
-    at = distinct.select("template", F.posexplode("w").alias("pos", "word"))
-    varied = at.groupBy("template", "pos").agg(F.min("word").alias("a"), F.max("word").alias("b")).where("a <> b")
-    slots = varied.groupBy("template").agg(F.collect_set("pos").alias("slots"))  # at most as many as a unit has words
-    support = distinct.groupBy("template").agg(F.count(F.lit(1)).alias("support"))
-    none = F.array().cast("array<int>")
-    known = distinct.join(support, "template").join(slots, "template", "left").withColumn("slots", F.coalesce("slots", none))
-    pick = lambda inside: F.filter("w", lambda x, i: F.array_contains("slots", i) == F.lit(inside))
-    known = known.select("unit", "support", F.array_join(pick(False), " ").alias("constants"), F.array_join(pick(True), " ").alias("values"))
-    return found.join(known, "unit")
-
-
-def residue(df: DataFrame, keep: list[str]) -> DataFrame:
-    """(keep.., line_no, kind, support): the units that are residue, ``kind`` being field, filler, script or error."""
-    words = F.split(F.regexp_replace("unit", r"[^\p{L} ]+", ""), r" +")
-    latin = F.size(F.filter(words, lambda w: w.isin(FILLER)))
-    filler = (F.size(words) >= 5) & (latin >= FILLER_SHARE * F.size(words))
-    kind = (
-        F.when(F.contains("unit", F.lit("⟦⟧")), "field")
-        .when(filler | F.col("unit").rlike(f"(?U)(?:{DEFAULT})"), "filler")
-        .when(F.col("constants").rlike(f"(?U)(?:{SCRIPT})"), "script")
-        .when(F.col("constants").rlike(f"(?U)(?:{ERROR})"), "error")
-    )
-    # The units are a small part of the text; they are used several times and written once.
-    return aligned(cut(units(df, keep))).withColumn("kind", kind).where("kind IS NOT NULL").select(*keep, "line_no", "kind", "support")
-
-
-def marked(df: DataFrame) -> DataFrame:
+def marked(df: DataFrame, reasons: DataFrame) -> DataFrame:
     """(id, kinds, lines, whole): every id with residue, its kinds, the residue's lines, and whether nothing else is there."""
-    rows = residue(df.select("id", "text"), ["id"]).groupBy("id").agg(F.array_join(F.array_sort(F.collect_set("kind")), "|").alias("kinds"), F.countDistinct("line_no").alias("lines"))
+    rows = residue(df.select("id", "source_url", "text"), ["id"], reasons).groupBy("id").agg(F.array_join(F.array_sort(F.collect_set("kind")), "|").alias("kinds"), F.countDistinct("line_no").alias("lines"))
     full = df.groupBy("id").agg(F.max(F.size(F.filter(F.split("text", "\n", -1), lambda x: F.trim(x) != ""))).alias("n"))
     return rows.join(full, "id").select("id", "kinds", "lines", (F.col("lines") >= F.col("n")).alias("whole"))
 
 
-def without_residue(df: DataFrame) -> DataFrame:
+def without_residue(df: DataFrame, reasons: DataFrame) -> DataFrame:
     """The rows of ``df`` whose id has no residue; rows without id or text stay."""
-    bad = residue(df.select("id", "text"), ["id"]).select("id").distinct()
+    bad = residue(df.select("id", "source_url", "text"), ["id"], reasons).select("id").distinct()
     return df.join(bad, "id", "left_anti")
-
-
-@cache
-def _lines():
-    import regex
-
-    return regex.compile(f"(?i)(?:{MARK})|(?:{DEFAULT})|(?:{SCRIPT})|(?:{ERROR})")
-
-
-def is_residue(line: str) -> bool:
-    """Whether a line matches by itself, for operators that leave residue aside."""
-    one = " ".join(line.replace("`", " ").split()).lower().lstrip("*>#•+-– ")
-    return has_cue(one) and _lines().search(one) is not None

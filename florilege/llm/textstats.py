@@ -1,8 +1,11 @@
 """Statistics of page texts, and prose told from lists, tables and debris.
 
-Tables are found by the vertical alignment of delimiters over neighbouring lines, lists by marks and runs of entries,
-debris by words that aren't words, numbers and codes, sentences by their words and punctuation. The indentation period
-and the autocorrelation of line lengths are output but don't decide. Page furniture and residue are left aside.
+Three signals of layout decide the kind of a run of lines, together with ratios of words, symbols and punctuation. Rows
+of a table have delimiters that stand under those of rows near them: at the same columns, or as many of them where they
+are written out. Entries of a list begin alike with a period: the autocorrelation of indents and marks over one to
+four lines is high. Entries without marks must have lengths that repeat: the likeness of line lengths at the best
+lag. Lines that hold sentences by their words and punctuation are prose whatever their layout, and lines of few
+word-like pieces or many symbols are debris. Page furniture and residue are left aside, as their operators find them.
 """
 
 from __future__ import annotations
@@ -15,20 +18,21 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from florilege.llm.maincontent import is_furniture
-from florilege.llm.residue import has_cue, is_residue
+from florilege.llm.common import spread
+from florilege.llm.residue import Model, kind_of, learn, noted_pages, with_bodies
 
-#: Share of the words that makes a page a list, a table or junk; least words of a sentence, most of an entry.
-MOST, SENTENCE_WORDS, ENTRY_WORDS = 0.5, 6, 9
-#: Lines of an aligned run, and of a run of unmarked entries.
+#: Share of the words that makes a page a list, a table or junk; least words of a sentence, most of an entry, and of a longer one.
+MOST, SENTENCE_WORDS, ENTRY_WORDS, LONG_ENTRY = 0.5, 6, 9, 14
+#: Lines of an aligned run, and of a run of entries.
 ROWS, ENTRIES = 2, 3
-#: Content lines before and after that a row of cells may stand under.
-ROWS_NEAR = 3
-#: Share of word-like pieces below which a line is debris.
-WORDLIKE = 0.5
-#: Share of sentence marks that makes a line a sentence without a look at its pieces.
-SURE = 0.15
+#: Content lines before and after that a row may stand under, and most words of its cells on average.
+ROWS_NEAR, CELL_WORDS = 3, 6
+#: Share of word-like pieces below which a line is debris, and share of symbols among its characters above which it is.
+WORDLIKE, SYMBOLS = 0.5, 0.35
+#: Least period of indents and marks, and least likeness of lengths, of a run of entries; lags tried.
+PERIOD, REGULAR, LAGS = 0.4, 0.45, range(1, 5)
 #: Lines whose features a task remembers at a time.
 REMEMBERED = 100_000
 
@@ -38,7 +42,7 @@ RULE = re.compile(r"^\s*\|?(?:\s*:?-{2,}:?\s*\|?)+\s*$")
 LINKS = re.compile(r"\[([^\]\n]*)\]\([^)\s]*\)|https?://\S+")
 GAP = re.compile(r"\S( {2,})(?=\S)")
 COLUMN = re.compile(r"(?<=\S)(?: {2,}| *\t[ \t]*)(?=\S)")
-END = re.compile(r"[.!?…:;][\"'”»)\]]*\s*(?:[\U0001F300-\U0001FAFF]\s*)?$")
+ENDS = frozenset(".!?…:;")
 LETTERS = re.compile(r"[^\W\d_]+")
 SYMBOL = re.compile(r"[^\w\s]+")
 VOWEL = re.compile(r"[aeiouyäöüáéíóúàèìòùâêîôûãõåæøœëïęąőűıAEIOUYÄÖÜÁÉÍÓÚÀÈÌÒÙÂÊÎÔÛÅÆØŒĘĄİI]")
@@ -86,25 +90,23 @@ def line_features(line: str) -> tuple:
     letters = LETTERS.findall(body.lower())
     marks = sum(map(SENTENCE_MARKS.__contains__, letters))
     counts = len(letters), sum(map(len, letters)), sum(map(COMMON.__contains__, letters)), sum(map(len, SYMBOL.findall(body)))
-    if len(pieces) >= SENTENCE_WORDS and marks >= max(2, SURE * len(pieces)) and len(pieces) <= 2 * len(letters) <= 3 * len(pieces) and counts[1] >= 3.2 * len(letters):
-        # So many function words stand in sentences only; the pieces needn't be looked at one by one.
-        like, codes = len(pieces), 0
-    else:
-        like = sum(map(_wordlike, pieces))
-        codes = sum(1 for p in pieces if NUMBER.match(p) or CODE.match(p))
-    if "|" in line and (n := line.strip().strip("|").count("|")) and line.lstrip().startswith("|"):
-        delimiter, cells = "|", n + 1
-    elif "\t" in line.strip():
-        delimiter, cells = "\t", len([c for c in line.strip().split("\t")])
-    elif (n := len(GAP.findall(line.strip()))) and not mark:
+    like = sum(map(_wordlike, pieces))
+    codes = 0 if like == len(pieces) and len(line) < 28 else sum(1 for p in pieces if (not p.isalpha() or len(p) >= 28) and (NUMBER.match(p) or CODE.match(p)))
+    filled = line.strip()
+    if "|" in line and filled.startswith("|"):
+        delimiter, cells = "|", filled.strip("|").count("|") + 1
+    elif "\t" in filled:
+        delimiter, cells = "\t", filled.count("\t") + 1
+    elif "  " in filled and (n := len(GAP.findall(filled))) and not mark:
         delimiter, cells = " ", n + 1
     elif ";" in line and (n := line.count("; ")):
         delimiter, cells = ";", n + 1
-    elif line.lstrip().startswith("|"):
-        delimiter, cells = "|", 1
     else:
         delimiter, cells = "", 1
-    return len(pieces), like, codes, marks, mark is not None, heading, END.search(line[-12:]) is not None, delimiter, cells, *counts
+    last = filled.rstrip("\"'”»)]")
+    if last and ord(last[-1]) > 0x1F2FF:
+        last = last[:-1].rstrip().rstrip("\"'”»)]")
+    return len(pieces), like, codes, marks, mark is not None, heading, last[-1:] in ENDS, delimiter, cells, *counts
 
 
 def _autocorrelation(values: list[int], lags: range) -> float:
@@ -126,22 +128,24 @@ STATS = (
 )
 
 
-def page_statistics(text: str, known: dict | None = None) -> tuple:
-    """The values of STATS for one text; ``kind`` is prose, list, table, junk, or empty if no content is left."""
-    known = {} if known is None else known
-    cued = has_cue(text)
+def page_statistics(text: str, gone: list[int] | None = None, model: Model | None = None, known: dict | None = None) -> tuple:
+    """The values of STATS for one text; ``kind`` is prose, list, table, junk, or empty if no content is left.
+
+    ``gone`` are the numbers of its furniture lines, and ``model`` tells residue.
+    """
+    known, aside, model = {} if known is None else known, frozenset(gone or ()), model or Model()
     lines = text.split("\n")
     words = text.split()
     furniture = residue = 0
     rows, indents, lengths, ended, filled, sums = [], [], [], 0, 0, []
-    for line in lines:
+    for no, line in enumerate(lines):
         if not line.strip():
             rows.append(None)
             continue
         filled += 1
         seen = known.get(line) if len(line) <= 300 else None
         if seen is None:
-            seen = ("f" if is_furniture(line) else "r" if cued and is_residue(line) else "", line_features(line))
+            seen = (kind_of(line, model), line_features(line))
             if len(line) <= 300:
                 if len(known) >= REMEMBERED:
                     known.clear()
@@ -149,17 +153,17 @@ def page_statistics(text: str, known: dict | None = None) -> tuple:
         what, f = seen
         ended += f[6]
         sums += f[9:]
-        if what == "f":
+        if no in aside:
             furniture += len(line.split())
             continue
-        if what == "r":
+        if what:
             residue += len(line.split())
             rows.append(None)
             continue
         rows.append((line, f))
         indents.append(len(line) - len(line.lstrip()))
         lengths.append(len(line))
-    kinds = _lines(rows)
+    kinds = line_kinds(rows)
     total = Counter()
     for row, kind in zip(rows, kinds, strict=True):
         if row is not None and kind:
@@ -176,7 +180,7 @@ def page_statistics(text: str, known: dict | None = None) -> tuple:
     return (
         len(words), filled, round(length_of / max(1, letters), 4), round(symbols / max(1, len(text)), 4), round(ended / max(1, filled), 4),
         round(common / max(1, letters), 4), tables, len(LINKS.findall(text)), sum(n for n in short.values() if n >= 3),
-        round(_autocorrelation(indents, range(1, 5)), 4), round(_autocorrelation(lengths, range(1, 4)), 4),
+        round(_autocorrelation(indents, LAGS), 4), round(_autocorrelation(lengths, range(1, 4)), 4),
         furniture, residue, total["prose"], total["list"], total["table"], total["junk"], kind,
     )
 
@@ -192,66 +196,74 @@ def _stands_under(line: str, other: str) -> bool:
     return bool(a and b) and (a <= b or b <= a)
 
 
-def _lines(rows: list) -> list[str]:
-    """Kind of every content line, by itself and by its neighbours; blank lines don't part neighbours."""
+def _aligned(row: tuple, other: tuple) -> bool:
+    """Whether the delimiters of two lines stand under each other; a row may lack cells that the other has."""
+    (line, f), (under, g) = row, other
+    if f[7] in ("\t", " ") and g[7] in ("\t", " ") and _stands_under(line, under):
+        return True
+    return f[7] == g[7] != "" and f[8] == g[8] >= 2
+
+
+def period(rows: list[tuple]) -> float:
+    """Share of lines that begin like the line before them at the best of LAGS: the same indent, and a mark or none."""
+    starts = [(len(line) - len(line.lstrip()), f[4]) for line, f in rows]
+    return max((sum(a == b for a, b in zip(starts, starts[k:], strict=False)) / (len(starts) - k) for k in LAGS if len(starts) > k), default=0.0)
+
+
+def regularity(rows: list[tuple]) -> float:
+    """Mean likeness of the lengths of lines at the best of LAGS: the shorter divided by the longer."""
+    n = [len(line.strip()) for line, _ in rows]
+    return max((sum(min(a, b) / max(a, b) for a, b in zip(n, n[k:], strict=False)) / (len(n) - k) for k in LAGS if len(n) > k), default=0.0)
+
+
+def line_kinds(rows: list) -> list[str]:
+    """Kind of every content line, by its section's layout and its own words; blank lines don't part neighbours."""
     out = [""] * len(rows)
-    entry = [False] * len(rows)
-    longer = [False] * len(rows)
     content = [k for k, row in enumerate(rows) if row is not None]
-    order = {k: i for i, k in enumerate(content)}
-    for k, row in enumerate(rows):
-        if row is None:
-            continue
-        line, (n, like, codes, marks, mark, heading, ended, delimiter, cells, *_) = row
+    maybe = set()
+    for i, k in enumerate(content):
+        line, (n, like, codes, marks, mark, heading, ended, delimiter, cells, letters, length, _, symbols) = rows[k]
         if heading or not n:
             continue
         if RULE.match(line):
             out[k] = "table" if delimiter == "|" else ""
             continue
-        if delimiter == "|":
-            out[k] = "table"
-        elif delimiter in ("\t", " ", ";") and cells >= 2:
-            # A row of cells needs a neighbour with as many cells, or one whose gaps stand under its own.
-            near = [rows[j] for j in (k - 1, k + 1) if 0 <= j < len(rows) and rows[j] is not None]
-            if any(r[1][7] == delimiter and r[1][8] == cells for r in near) and (delimiter != ";" or marks < 2):
+        if delimiter and n <= CELL_WORDS * cells and (delimiter == "|" or marks < 2):
+            near = (rows[j] for j in content[max(0, i - ROWS_NEAR) : i + ROWS_NEAR + 1] if j != k)
+            if any(_aligned(rows[k], r) for r in near):
                 out[k] = "table"
-            elif delimiter != ";" and marks < 2:
-                i = order[k]
-                around = [rows[j] for j in content[max(0, i - ROWS_NEAR) : i + ROWS_NEAR + 1] if j != k]
-                if any(r[1][7] in ("\t", " ") and _stands_under(line, r[0]) for r in around):
-                    out[k] = "table"
-        if out[k]:
-            continue
+                continue
         sentence = n >= SENTENCE_WORDS and (marks >= 2 or (ended and like >= 0.7 * n)) and like >= WORDLIKE * n
         if sentence or (ended and n >= 4 and marks and like >= 0.7 * n):
             out[k] = "prose"
-        elif like < WORDLIKE * (n - (0 if codes == n else min(codes, 1))) or codes > 0.6 * n:
+        elif like < WORDLIKE * (n - (0 if codes == n else min(codes, 1))) or codes > 0.6 * n or symbols > SYMBOLS * len(line):
             out[k] = "junk"
-        elif n > 14 and like >= 0.7 * n and not mark:
-            out[k] = "prose"
-        elif mark or n <= ENTRY_WORDS:
-            out[k] = "list"
-            entry[k] = not mark
-        else:
+        elif n > LONG_ENTRY and not mark:
             out[k] = "prose" if like >= 0.7 * n else "junk"
-            longer[k] = out[k] == "prose" and n <= 14
-    # Unmarked short lines are entries only in a run; alone they are captions or names. So are lines of up to 14 words
-    # that end in no stop and have hardly a function word; alone they are prose.
+        else:
+            maybe.add(k)
     k = 0
     while k < len(content):
-        if not (entry[content[k]] or longer[content[k]]):
+        if content[k] not in maybe:
             k += 1
             continue
         j = k
-        while j < len(content) and (entry[content[j]] or longer[content[j]] or out[content[j]] == "list"):
+        while j < len(content) and content[j] in maybe:
             j += 1
         run = content[k:j]
-        listed = len(run) >= ENTRIES or (k and out[content[k - 1]] == "list")
+        lines = [rows[i] for i in run]
+        marked = sum(f[4] for _, f in lines)
+        after = k > 0 and out[content[k - 1]] == "list"
+        # A list begins alike with a period, and where no marks show it, its entries have lengths that repeat.
+        listed = period(lines) >= PERIOD and (marked >= 0.5 * len(run) or regularity(lines) >= REGULAR) if len(run) >= ENTRIES else after
         for i in run:
-            if longer[i] and listed:
+            n, like, mark = rows[i][1][0], rows[i][1][1], rows[i][1][4]
+            if listed or (mark and len(run) < ENTRIES):
                 out[i] = "list"
-            elif entry[i] and not listed:
-                out[i] = "short"
+            elif n <= ENTRY_WORDS:
+                out[i] = "short"  # captions and names
+            else:
+                out[i] = "prose" if like >= 0.7 * n else "junk"
         k = j
     return out
 
@@ -268,25 +280,31 @@ def _tables(rows: list, kinds: list[str]) -> int:
     return runs
 
 
-def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _statistics(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
     known: dict = {}
     kinds = {"long": pa.int64(), "double": pa.float64(), "string": pa.string()}
     for batch in batches:
         for at in range(0, batch.num_rows, 1000):
             part = batch.slice(at, 1000)
-            values = list(zip(*(page_statistics(t, known) for t in part.column("text").to_pylist()), strict=True))
-            kept = part.drop_columns(["text"])
+            pairs = zip(part.column("text").to_pylist(), part.column("gone").to_pylist(), strict=True)
+            values = list(zip(*(page_statistics(t, g, model, known) for t, g in pairs), strict=True))
+            kept = part.drop_columns(["text", "gone"])
             arrays = [pa.array(v, kinds[k]) for v, (_, k) in zip(values, STATS, strict=True)]
             yield pa.RecordBatch.from_arrays([*kept.columns, *arrays], names=[*kept.schema.names, *(n for n, _ in STATS)])
 
 
-def statistics(bodies: DataFrame) -> DataFrame:
-    """(file, STATS..) of every file with text, repeated rows once. A null file name is one of its own."""
-    rows = bodies.where("text IS NOT NULL").select("file", "text")
-    return rows.mapInArrow(_statistics, "file string, " + ", ".join(f"{n} {k}" for n, k in STATS)).distinct()
+def statistics(bodies: DataFrame, reasons: DataFrame) -> DataFrame:
+    """(file, STATS..) of every file of ``bodies`` (file, source_url, text) with text, repeated rows once.
+
+    ``reasons`` (source_url, reasons) are notes that help to tell residue. A null file name is one of its own.
+    """
+    rows = with_bodies(bodies, ["file"])
+    shared = bodies.sparkSession.sparkContext.broadcast(learn(rows, noted_pages(reasons)))
+    rows = spread(rows.select("file", "text", "gone"))
+    return rows.mapInArrow(lambda b: _statistics(b, shared.value), "file string, " + ", ".join(f"{n} {k}" for n, k in STATS)).distinct()
 
 
-def not_prose(bodies: DataFrame) -> DataFrame:
+def not_prose(bodies: DataFrame, reasons: DataFrame) -> DataFrame:
     """(file, kind): files whose main content is a list, a table or junk; pages without content are none."""
-    rows = statistics(bodies)
-    return rows.where(rows["kind"].isin("list", "table", "junk") & rows["file"].isNotNull()).select("file", "kind").distinct()
+    rows = statistics(bodies, reasons)
+    return rows.where(F.col("kind").isin("list", "table", "junk") & F.col("file").isNotNull()).select("file", "kind").distinct()

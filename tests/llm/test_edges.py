@@ -42,7 +42,7 @@ def test_split(spark, chunks):
 
 
 def test_language(spark, chunks):
-    bodies = chunks.select(F.col("id").alias("file"), "text", "key", "n")
+    bodies = chunks.select(F.col("id").alias("file"), "source_url", "text", "key", "n")
     labels = spark.createDataFrame([("a", None), ("b", "en"), ("b", "en"), (None, "de"), ("z", "fr"), ("e", "")], "file string, language string").withColumn("text", F.lit(1))
     found = {tuple(r) for r in language.wrong_labels(labels, bodies).collect()}
     assert found == {("b", "de")}
@@ -57,9 +57,11 @@ def test_language(spark, chunks):
 def test_residue(spark, chunks):
     more = chunks.unionByName(spark.createDataFrame([("r", None, None, None, None, "Guten Tag {{name}}")] * 2, SCHEMA), allowMissingColumns=True)
     full, empty = both(spark, more)
-    assert [tuple(r) for r in residue.marked(full).collect()] == [("r", "field", 1, True)]
-    assert residue.without_residue(full).where("id = 'r'").count() == 0 and residue.without_residue(full).count() == len(CHUNKS)
-    assert residue.residue(empty, ["id"]).count() == residue.marked(empty).count() == 0
+    notes = spark.createDataFrame([("https://h.example/1", None), (None, ["zu_wenig_text:3"]), ("https://h.example/1", ["x", None])], "source_url string, reasons array<string>").withColumn("page", F.lit(1))
+    assert [tuple(r) for r in residue.marked(full, notes).collect()] == [("r", "field", 1, True)]
+    kept = residue.without_residue(full, notes)
+    assert kept.where("id = 'r'").count() == 0 and kept.count() == len(CHUNKS)
+    assert residue.residue(empty, ["id"], notes.limit(0)).count() == residue.marked(empty, notes).count() == 0
 
 
 def test_near_duplicates(spark, chunks):
@@ -88,11 +90,12 @@ def test_main_content(spark, chunks):
 
 
 def test_statistics(spark, chunks):
-    bodies = chunks.select(F.col("id").alias("file"), "text", "key")
+    bodies = chunks.select(F.col("id").alias("file"), "source_url", "text", "key")
     full, empty = both(spark, bodies)
-    rows = {r["file"]: r for r in textstats.statistics(full).collect()}
+    notes = spark.createDataFrame([], "source_url string, reasons array<string>")
+    rows = {r["file"]: r for r in textstats.statistics(full, notes).collect()}
     assert rows["b"]["kind"] == "prose" and rows["f"]["kind"] == "empty" and rows["f"]["words"] == 0 and "c" not in rows
-    assert textstats.not_prose(empty).count() == 0 and None not in {r["file"] for r in textstats.not_prose(full).collect()}
+    assert textstats.not_prose(empty, notes).count() == 0 and None not in {r["file"] for r in textstats.not_prose(full, notes).collect()}
 
 
 def test_leakage(spark, documents):
