@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from florilege.config import RetrievalConfig
+from florilege.config import RetrievalConfig, SiteConfig
 from florilege.functions import ids, questions
 from florilege.functions import text as T
 from florilege.operators import chunks, glossary, retrieval
@@ -220,7 +220,7 @@ def _sql() -> dict[str, str]:
     word = lambda body: rf"regexp_extract_all(regexp_replace(upper(query), '[^A-Z0-9-]+', '  ', 'g') || ' ', '(?:^|[ -])({body})[ -]', 1)"
     codes = f"list_filter({word('[A-Z]{1,5}-?[0-9]{1,4}[A-Z]?')}, lambda x: NOT regexp_matches(x, '(?i)^(?:f|fak|fakultaet|fakultät|faculty)(?:[1-5]|i{{1,3}}|iv|v)$'))"
     abbr = f"list_filter({word('[A-Z]{2,8}')}, lambda x: x IN ({', '.join(map(S.lit, questions.KNOWN))}))"
-    hints = ", ".join(f"CASE WHEN contains(t, {S.lit(h)}) THEN {S.lit(f)} END" for h, f in retrieval.FACULTY_HINTS)
+    hints = ", ".join(f"CASE WHEN contains(t, {S.lit(h)}) THEN {S.lit(f)} END" for h, f in retrieval.faculty_hints(SiteConfig().domain))
     search = "concat_ws(' ', " + ", ".join(f"nullif({c}, '')" for c in ("title", "section_heading", "text", "source_url", "document_kind", "source_family", "document_group", "faculty")) + ")"
     swap = "list_bool_or(list_transform(range(1, length(a.w)), lambda i: a.w[1:i - 1] || a.w[i + 1:i + 1] || a.w[i:i] || a.w[i + 2:length(a.w)] = b.w))"
     words = "SELECT unnest(regexp_extract_all(lower(text), '[a-z]{{4,}}')) AS w FROM {} WHERE text IS NOT NULL"
