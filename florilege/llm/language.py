@@ -336,8 +336,8 @@ def page_languages(bodies: DataFrame, model: Model) -> DataFrame:
                 out = _pages(texts[part], gone[part], shared.value)
                 yield pa.RecordBatch.from_arrays([pa.array(files[part], pa.string()), *(pa.array(x) for x in zip(*out, strict=True))], names=["file", "language", "confidence", "words"])
 
-    rows = with_furniture(bodies.where("file IS NOT NULL AND text IS NOT NULL"), ["file"]).select("file", "text", "gone")
-    return spread(rows).mapInArrow(run, "file string, language string, confidence double, words long").distinct()
+    rows = with_furniture(bodies.where("file IS NOT NULL"), ["file"])
+    return rows.mapInArrow(run, "file string, language string, confidence double, words long").distinct()
 
 
 def _parsed(texts: list[str], m: Model) -> Iterator[tuple[list, np.ndarray]]:

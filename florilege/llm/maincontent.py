@@ -16,7 +16,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -31,22 +30,20 @@ EXACT_PAGES, EXACT_SHARE = 5, 0.03
 #: Pages on which lines with one slot hash must stand beyond template lines, and their least share of the pages with such lines at an edge.
 OUTSIDE_PAGES, OUTSIDE_SHARE = 3, 0.04
 #: Times that slot hashes are learned; every time the edges have moved inward by what was learned before.
-ROUNDS = 3
+ROUNDS = 2
 #: Chunks of one document that must share a running title, least share of different numbers in it, and its least words.
 RUNNING_CHUNKS, RUNNING_SHARE, RUNNING_WORDS = 5, 0.8, 3
 #: Slot hashes broadcast at once (32 MB); more are taken in several passes.
 BLOCK = 4_000_000
-#: Lines whose hashes a task remembers at a time.
-REMEMBERED = 100_000
 
 HEADING, ROW = re.compile(r"\s*(#{1,6})\s"), re.compile(r"\s*\|")
 DIGITS, OTHER = re.compile(r"\d+"), re.compile(r"[\W_]+")
-TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]|_")
 NAME = re.compile(r"[^\W\d_]{3}")
 WORDS = re.compile(r"\w[\w\s]*")
-EDGES = re.compile(r"^[\s*_>+•–\-]+|[\s*_]+$")
-#: Slot hashes of a line: the 2 or 3 tokens that open it, those that close it, and its delimiters.
-SLOTS = 5
+#: Decoration and marks before and after a line.
+LEFT, RIGHT = " \t\r\xa0*_>+•–-", " \t\r\xa0*_"
+#: Most slot hashes of a line: the 1 to 3 pieces that open it, the 2 or 3 that close it, and its delimiters.
+SLOTS = 6
 
 
 def _hash(*parts: str) -> int:
@@ -58,23 +55,24 @@ def line_key(line: str) -> str:
     return OTHER.sub(" ", DIGITS.sub("0", line.lower())).strip()
 
 
-def slot_keys(line: str) -> list[str]:
-    """The line with its slots left out, as SLOTS strings; empty where too little is left to tell it by."""
-    one = EDGES.sub("", DIGITS.sub("0", line.lower()))
-    first = [m.group() for m in islice(TOKEN.finditer(one), 4)]
-    at = max(0, len(one) - 80)
-    last = TOKEN.findall(one, at)
-    if at and len(last) < 5:
-        last = TOKEN.findall(one)
-    out = [""] * SLOTS
-    for k in (2, 3):
-        if len(first) > k and NAME.search(x := " ".join(first[:k])):
-            out[k - 2] = f"{k} {x}"
-        if len(last) > k and NAME.search(x := " ".join(last[-k:])):
-            out[k] = f"-{k} {x}"
-    shape = WORDS.sub("*", one)
-    if len(shape) >= 5 and NAME.search(one):
-        out[4] = f"* {shape}"
+def slot_keys(line: str, shape: bool = True) -> list[str]:
+    """The line with its slots left out, at most SLOTS strings, none where too little is left to tell it by."""
+    one = line.lstrip(LEFT).rstrip(RIGHT)
+    first, last = one.split(None, 3), one.rsplit(None, 3)
+    n, out = len(first), []
+    if n > 1:
+        opening = DIGITS.sub("0", " ".join(first[:3]).lower()).split(" ")
+        closing = opening if n <= 3 else DIGITS.sub("0", " ".join(last[-3:]).lower()).split(" ")
+        if not opening[0][-1].isalnum() and NAME.search(opening[0]):
+            out.append(f"1 {opening[0]}")
+        for k in (2, 3):
+            if n > k:
+                if NAME.search(x := " ".join(opening[:k])):
+                    out.append(f"{k} {x}")
+                if NAME.search(x := " ".join(closing[-k:])):
+                    out.append(f"-{k} {x}")
+    if shape and one and not (one[0].isalnum() and (one[-1].isalnum() or one[-1] in ".!?:;")) and NAME.search(one):
+        out.append(f"* {WORDS.sub('*', one)}")
     return out
 
 
@@ -83,14 +81,19 @@ def subtrees(lines: list[str]) -> tuple[list[int], list[int], list[tuple[int, in
 
     A subtree is its first and last filled line and its key.
     """
-    no = [k for k, x in enumerate(lines) if x.strip()]
-    what, heads = [], []
-    for i, k in enumerate(no):
-        head = HEADING.match(lines[k])
-        what.append(1 if head else 2 if ROW.match(lines[k]) else 0)
-        if head:
-            heads.append((i, len(head.group(1))))
-    out = [(i, i, key) for i, (k, w) in enumerate(zip(no, what, strict=True)) if w == 0 and NAME.search(key := line_key(lines[k]))]
+    no, what, heads, out = [], [], [], []
+    for k, line in enumerate(lines):
+        if not line or line.isspace():
+            continue
+        w = kind(line)
+        if w == 0:
+            key = line_key(line)
+            if NAME.search(key):
+                out.append((len(no), len(no), key))
+        elif w == 1:
+            heads.append((len(no), len(HEADING.match(line).group(1))))
+        no.append(k)
+        what.append(w)
     inner = lambda i, j: "\n".join(OTHER.sub(" ", lines[k].lower()).strip() for k in no[i:j])
     open_ = []
     for i, level in [*heads, (len(no), 0)]:
@@ -110,39 +113,32 @@ def subtrees(lines: list[str]) -> tuple[list[int], list[int], list[tuple[int, in
     return no, what, out
 
 
+def kind(line: str) -> int:
+    """1 for a heading, 2 for a row of a table, else 0."""
+    start = line.lstrip()[:1]
+    return 2 if start == "|" else 1 if start == "#" and HEADING.match(line) else 0
+
+
 def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    known: dict[tuple[str, str], list[int]] = {}
     ints, longs = pa.list_(pa.int32()), pa.list_(pa.int64())
     for whole in batches:
         for at in range(0, whole.num_rows, 2000):
             batch = whole.slice(at, 2000)
-            cols: list[list] = [[] for _ in range(8)]
-            for text, host, site, page in zip(*(batch.column(c).to_pylist() for c in ("text", "host", "site", "page")), strict=True):
+            cols: list[list] = [[] for _ in range(4)]
+            for text, host, page in zip(*(batch.column(c).to_pylist() for c in ("text", "host", "page")), strict=True):
                 lines = text.split("\n")
                 no, what, trees = subtrees(lines)
-                slots: list[int] = []
-                for k, w in zip(no, what, strict=True):
-                    if w:
-                        slots += [0] * SLOTS
-                        continue
-                    found = known.get((site, lines[k]))
-                    if found is None:
-                        found = [_hash(site, x) if x else 0 for x in slot_keys(lines[k])]
-                        if len(lines[k]) <= 200:
-                            if len(known) >= REMEMBERED:
-                                known.clear()
-                            known[site, lines[k]] = found
-                    slots += found
                 running = []
                 for i in dict.fromkeys((0, len(no) - 1)) if no else ():
                     if what[i] == 0 and (n := DIGITS.findall(lines[no[i]])) and len(NAME.findall(key := line_key(lines[no[i]]))) >= RUNNING_WORDS:
-                        running.append((i, _hash(str(page), key), _hash(*n)))
-                row = (no, what, slots, [_hash(host, t[2]) for t in trees], [t[0] for t in trees], [t[1] for t in trees], [x for r in running for x in r], xxhash.xxh64_intdigest(text) - (1 << 63))
+                        running += (i, _hash(str(page), key), _hash(*n))
+                head = f"{host}\n"
+                row = ([xxhash.xxh64_intdigest(head + t[2]) - (1 << 63) for t in trees], [t[0] for t in trees], [t[1] for t in trees], running)
                 for c, x in zip(cols, row, strict=True):
                     c.append(x)
             kept = batch.drop_columns(["text"])
-            kinds = (ints, ints, longs, longs, ints, ints, longs, pa.int64())
-            yield pa.RecordBatch.from_arrays([*kept.columns, *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=[*kept.schema.names, "no", "what", "slots", "eh", "ef", "et", "running", "th"])
+            kinds = (longs, ints, ints, longs)
+            yield pa.RecordBatch.from_arrays([*kept.columns, *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=[*kept.schema.names, "eh", "ef", "et", "running"])
 
 
 def site_of(host: Column) -> Column:
@@ -150,38 +146,31 @@ def site_of(host: Column) -> Column:
     return F.substring_index(host, ".", -2)
 
 
-def trees(df: DataFrame, keep: list[str]) -> DataFrame:
-    """One row a text: (keep.., host, site, page, no, what, slots, eh, ef, et, running, th, rid).
-
-    ``eh``, ``ef`` and ``et`` are the hash, first and last filled line of every subtree. Rows without text have none;
-    rows without a host are of one host.
-    """
-    host = F.coalesce(host_of(F.col("source_url")), F.lit(""))
-    rows = df.where("text IS NOT NULL").select(*keep, host.alias("host"), site_of(host).alias("site"), F.xxhash64("source_url").alias("page"), "text")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "text")
-    rows = spread(rows).mapInArrow(_trees, f"{schema}, no array<int>, what array<int>, slots array<long>, eh array<long>, ef array<int>, et array<int>, running array<long>, th long")
-    return rows.withColumn("rid", F.monotonically_increasing_id())
+def trees(rows: DataFrame) -> DataFrame:
+    """(ta, tb, host, page, eh, ef, et, running) of (ta, tb, host, page, text): hash, first and last line of every subtree."""
+    kinds = "ta long, tb long, host string, page long, eh array<long>, ef array<int>, et array<int>, running array<long>"
+    return spread(rows.select("ta", "tb", "host", "page", "text")).mapInArrow(_trees, kinds)
 
 
 def _recurring(tree: DataFrame, min_pages: int, min_share: float) -> DataFrame:
-    """(rid, ord): the filled lines of subtrees that recur on many pages of their host."""
-    found = tree.select("rid", "host", "page", F.explode(F.arrays_zip("eh", "ef", "et")).alias("x")).select("rid", "host", "page", "x.*")
+    """(ta, tb, ord): the filled lines of subtrees that recur on many pages of their host."""
+    found = tree.select("ta", "tb", "host", "page", F.explode(F.arrays_zip("eh", "ef", "et")).alias("x")).select("ta", "tb", "host", "page", "x.*")
     # Distinct pages are counted in two steps, so no key's pages are ever in one task.
     counts = found.select("eh", "host", "page").distinct().groupBy("eh", "host").agg(F.count(F.lit(1)).alias("pages")).where(F.col("pages") >= min_pages)
     hosts = tree.select("host", "page").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("all"))
     often = counts.join(hosts, "host").where(F.col("pages") >= F.col("all") * min_share).select("eh")
-    return found.select("rid", "eh", "ef", "et").join(often, "eh", "left_semi").select("rid", F.explode(F.sequence("ef", "et")).alias("ord"))
+    return found.select("ta", "tb", "eh", "ef", "et").join(often, "eh", "left_semi").select("ta", "tb", F.explode(F.sequence("ef", "et")).alias("ord"))
 
 
 def _running(tree: DataFrame) -> DataFrame:
-    """(rid, ord): running titles of long documents."""
-    edge = tree.where(F.size("running") > 0).select("rid", "th", F.explode(F.sequence(F.lit(0), F.size("running") - 1, F.lit(3))).alias("i"), "running")
-    edge = edge.select("rid", "th", *[F.expr(f"running[i + {k}]").alias(n) for k, n in enumerate(("ord", "key", "number"))])
-    once = edge.select("key", "th", "number").distinct()
+    """(ta, tb, ord): running titles of long documents."""
+    edge = tree.where(F.size("running") > 0).select("ta", "tb", F.explode(F.sequence(F.lit(0), F.size("running") - 1, F.lit(3))).alias("i"), "running")
+    edge = edge.select("ta", "tb", *[F.expr(f"running[i + {k}]").alias(n) for k, n in enumerate(("ord", "key", "number"))])
+    once = edge.select("key", "ta", "number").distinct()
     numbers = once.select("key", "number").distinct().groupBy("key").agg(F.count(F.lit(1)).alias("numbers"))
-    texts = once.select("key", "th").distinct().groupBy("key").agg(F.count(F.lit(1)).alias("texts")).where(F.col("texts") >= RUNNING_CHUNKS)
+    texts = once.select("key", "ta").distinct().groupBy("key").agg(F.count(F.lit(1)).alias("texts")).where(F.col("texts") >= RUNNING_CHUNKS)
     titles = texts.join(numbers, "key").where(F.col("numbers") >= F.col("texts") * RUNNING_SHARE).select("key")
-    return edge.join(titles, "key", "left_semi").select("rid", F.col("ord").cast("int").alias("ord"))
+    return edge.join(titles, "key", "left_semi").select("ta", "tb", F.col("ord").cast("int").alias("ord"))
 
 
 def _member(values: np.ndarray, among: np.ndarray) -> np.ndarray:
@@ -202,55 +191,74 @@ def edges(flag: list[bool]) -> tuple[int, int]:
     return a, b
 
 
-def outside(flag: list[bool], what: list[int]) -> list[tuple[int, bool]]:
-    """(line, whether it stands outside of the content) of the lines at an edge and of those just beyond flagged lines.
-
-    A line stands outside if the line on its inner side is flagged, content lies further in, and no heading opens a
-    section between it and that edge of the text.
-    """
-    n = len(flag)
-    a, b = edges(flag)
-    found = {i: False for i in ((a, b - 1) if a < b else ())}
-    heads = [i for i, w in enumerate(what) if w == 1]
-    first, last = (heads[0], heads[-1]) if heads else (n, -1)
-    for i in range(n):
-        if flag[i] or what[i]:
-            continue
-        j = i - 1
-        while j >= 0 and flag[j]:
-            j -= 1
-        below = 0 <= j < i - 1 and last < i
-        j = i + 1
-        while j < n and flag[j]:
-            j += 1
-        above = i + 1 < j < n and first > i
-        if below or above:
-            found[i] = True
-    return [(i, x) for i, x in found.items() if not what[i]]
-
-
-def _flags(batch: pa.RecordBatch, known: np.ndarray) -> Iterator[tuple[list[bool], list[int], np.ndarray]]:
-    """(flags, what, slot hashes) of every text, slot lines flagged as far as they are joined to an edge."""
-    for exact, what, slots in zip(*(batch.column(c).to_pylist() for c in ("exact", "what", "slots")), strict=True):
-        n = len(what)
-        hashes = np.array(slots, np.int64).reshape(n, SLOTS)
-        flag = np.zeros(n, bool)
-        if exact:
-            flag[exact] = True
-        if n and len(known):
-            either = flag | _member(hashes, known).any(axis=1)
-            a, b = edges(either.tolist())
-            flag[:a] = True
-            flag[b:] = True
-        yield flag.tolist(), what, hashes
+class Page:
+    """A text's filled lines with flags; slot hashes are made only of the lines that are asked for."""
+
+    def __init__(self, text: str, site: str, exact: list[int] | None, known: np.ndarray) -> None:
+        self.lines = text.split("\n")
+        self.no = [k for k, x in enumerate(self.lines) if x and not x.isspace()]
+        self.site, n = site, len(self.no)
+        self.flag = [False] * n
+        for i in exact or ():
+            self.flag[i] = True
+        a, b = edges(self.flag)
+        if len(known):
+            # Slot lines are flagged as far as they are joined to an edge.
+            while a < b and (self.flag[a] or self.has(a, known)):
+                self.flag[a] = True
+                a += 1
+            while b > a and (self.flag[b - 1] or self.has(b - 1, known)):
+                self.flag[b - 1] = True
+                b -= 1
+        self.a, self.b = a, b
+
+    def what(self, i: int) -> int:
+        return kind(self.lines[self.no[i]])
+
+    def slots(self, i: int) -> list[int]:
+        return [] if self.what(i) else [_hash(self.site, x) for x in slot_keys(self.lines[self.no[i]])]
+
+    def has(self, i: int, known: np.ndarray) -> bool:
+        return bool(_member(np.array(self.slots(i), np.int64), known).any())
+
+    def outside(self) -> dict[int, bool]:
+        """Whether it stands outside of the content, for the lines at an edge and those just beyond flagged lines.
+
+        A line stands outside if the line on its inner side is flagged, content lies further in, and no heading opens
+        a section between it and that edge of the text.
+        """
+        flag, n, a, b = self.flag, len(self.flag), self.a, self.b
+        found = {i: False for i in ((a, b - 1) if a < b else ())}
+        if not any(flag):
+            return found
+        heads = [i for i in range(n) if not flag[i] and self.what(i) == 1]
+        first, last = (heads[0], heads[-1]) if heads else (n, -1)
+        inner = n  # the nearest line further down that isn't flagged
+        for i in range(n - 1, -1, -1):
+            if not flag[i]:
+                if i + 1 < inner < n and first > i:
+                    found[i] = True
+                inner = i
+        inner = -1
+        for i in range(n):
+            if not flag[i]:
+                if -1 < inner < i - 1 and last < i:
+                    found[i] = True
+                inner = i
+        return found
+
+
+def _texts(batch: pa.RecordBatch, known: np.ndarray) -> Iterator[Page]:
+    for text, site, exact in zip(*(batch.column(c).to_pylist() for c in ("text", "site", "exact")), strict=True):
+        yield Page(text, site, exact, known)
 
 
 def _evidence(batches: Iterator[pa.RecordBatch], known: np.ndarray) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keys, pages, out = [], [], []
-        for page, (flag, what, hashes) in zip(batch.column("page").to_pylist(), _flags(batch, known), strict=True):
-            for i, x in outside(flag, what):
-                ks = [k for k in hashes[i].tolist() if k]
+        for page, text in zip(batch.column("page").to_pylist(), _texts(batch, known), strict=True):
+            for i, x in text.outside().items():
+                ks = text.slots(i)
                 keys += ks
                 pages += [page] * len(ks)
                 out += [int(x)] * len(ks)
@@ -260,63 +268,58 @@ def _evidence(batches: Iterator[pa.RecordBatch], known: np.ndarray) -> Iterator[
 
 def _marked(batches: Iterator[pa.RecordBatch], known: np.ndarray) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        of, no = [], []
-        for k, ((flag, _, _), lines) in enumerate(zip(_flags(batch, known), batch.column("no").to_pylist(), strict=True)):
-            gone = [n for n, f in zip(lines, flag, strict=True) if f]
-            of += [k] * len(gone)
-            no += gone
-        if of:
-            kept = batch.drop_columns(["page", "no", "what", "slots", "exact"]).take(pa.array(of))
-            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(no, pa.int32())], names=[*kept.schema.names, "line_no"])
+        gone = [[n for n, f in zip(text.no, text.flag, strict=True) if f] for text in _texts(batch, known)]
+        kept = batch.drop_columns(["site", "page", "exact"])
+        yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(gone, pa.list_(pa.int32()))], names=[*kept.schema.names, "gone"])
 
 
 def slot_hashes(rows: DataFrame, known: np.ndarray, pages: int, share: float) -> DataFrame:
     """(key): hashes of lines with slots that stand outside of the content, given those known before."""
     shared = rows.sparkSession.sparkContext.broadcast(known)
-    found = rows.select("page", "what", "slots", "exact").mapInArrow(lambda b: _evidence(b, shared.value), "key long, page long, out int")
+    found = rows.select("page", "site", "text", "exact").mapInArrow(lambda b: _evidence(b, shared.value), "key long, page long, out int")
     once = found.groupBy("key", "page").agg(F.max("out").alias("out"))
     counts = once.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("out").alias("out"))
     return counts.where((F.col("out") >= pages) & (F.col("out") >= F.col("n") * share)).select("key")
 
 
-def furniture(df: DataFrame, keep: list[str], exact_pages: int = EXACT_PAGES, exact_share: float = EXACT_SHARE, rounds: int = ROUNDS) -> DataFrame:
-    """(keep.., line_no): the lines of page furniture. Rows without text have none; rows without host are one host.
+def with_furniture(df: DataFrame, keep: list[str], exact_pages: int = EXACT_PAGES, exact_share: float = EXACT_SHARE, rounds: int = ROUNDS) -> DataFrame:
+    """(keep.., text, gone): the rows of ``df`` (source_url, text) that have text, with the numbers of their furniture lines.
 
-    Repeated rows count once. Slot hashes learned are broadcast up to BLOCK at a time; if there are more, none beyond
-    is learned in this run of the operator, which raises an error rather than dropping some.
+    Rows without host are one host; repeated rows are repeated. The slot hashes learned are broadcast, at most BLOCK of
+    them; if there are more, the operator raises an error rather than dropping some.
     """
-    tree = cut(trees(df, keep))
+    host = F.coalesce(host_of(F.col("source_url")), F.lit(""))
+    rows = df.where("text IS NOT NULL").select(*keep, host.alias("host"), site_of(host).alias("site"), F.xxhash64("source_url").alias("page"), F.xxhash64("source_url", "text").alias("ta"), F.xxhash64("text", F.lit(1), "source_url").alias("tb"), "text")
+    tree = cut(trees(rows))
     gone = _recurring(tree, exact_pages, exact_share).unionByName(_running(tree))
-    gone = gone.groupBy("rid").agg(F.collect_set("ord").alias("exact"))  # at most as many as a text has lines
-    rows = cut(tree.select(*keep, "rid", "page", "no", "what", "slots").join(gone, "rid", "left").drop("rid"))
+    gone = gone.groupBy("ta", "tb").agg(F.collect_set("ord").alias("exact"))  # at most as many as a text has lines
+    rows = cut(rows.join(gone, ["ta", "tb"], "left").select(*keep, "site", "page", "text", "exact"))
     known = np.empty(0, np.int64)
     for _ in range(rounds):
         new = cut(slot_hashes(rows, known, OUTSIDE_PAGES, OUTSIDE_SHARE))
         if new.count() + len(known) > BLOCK:
             raise ValueError(f"more than {BLOCK} slot hashes; run the operator by groups of sites")
-        more = np.array([r["key"] for r in new.collect()], np.int64)
+        more = np.setdiff1d(np.array([r["key"] for r in new.collect()], np.int64), known)
         if not len(more):
             break
-        known = np.unique(np.concatenate([known, more]))
+        known = np.union1d(known, more)
     shared = df.sparkSession.sparkContext.broadcast(known)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keep).schema)
-    return rows.mapInArrow(lambda b: _marked(b, shared.value), f"{schema}, line_no int").distinct()
+    return rows.mapInArrow(lambda b: _marked(b, shared.value), f"{schema}{', ' if keep else ''}text string, gone array<int>")
 
 
-def with_furniture(df: DataFrame, keep: list[str]) -> DataFrame:
-    """(keep.., source_url, text, gone): every distinct row with the numbers of its furniture lines, or an empty array."""
-    rows = df.select(*keep, "source_url", "text").distinct()
-    key = [F.xxhash64("source_url", "text").alias("_a"), F.xxhash64("text", F.lit(1), "source_url").alias("_b")]
-    gone = furniture(rows.select(*key, "source_url", "text"), ["_a", "_b"]).groupBy("_a", "_b").agg(F.collect_set("line_no").alias("gone"))
-    joined = rows.select(*keep, "source_url", "text", *key).join(gone, ["_a", "_b"], "left")
-    return joined.select(*keep, "source_url", "text", F.coalesce("gone", F.array().cast("array<int>")).alias("gone"))
+def furniture(df: DataFrame, keep: list[str], **options) -> DataFrame:
+    """(keep.., line_no): the lines of page furniture. Rows without text have none; repeated rows count once."""
+    return with_furniture(df, keep, **options).select(*keep, F.explode("gone").alias("line_no")).distinct()
 
 
 def main_content(df: DataFrame) -> DataFrame:
     """(id, source_url, text, removed): every distinct chunk without page furniture; blank runs become one blank line.
 
-    Line numbers are gathered per chunk, at most as many as it has lines. A chunk without text stays null.
+    A chunk without text stays null.
     """
     kept = F.filter(F.split("text", "\n", -1), lambda _, i: ~F.array_contains("gone", i))
     text = F.regexp_replace(F.regexp_replace(F.array_join(kept, "\n"), r"\n(?:[ \t]*\n){2,}", "\n\n"), r"(?U)^\s+|\s+$", "")
-    return with_furniture(df, ["id"]).select("id", "source_url", text.alias("text"), F.size("gone").alias("removed"))
+    url = df.select("id", F.col("source_url").alias("url"), "source_url", "text")
+    full = with_furniture(url, ["id", "url"]).select("id", F.col("url").alias("source_url"), text.alias("text"), F.size("gone").alias("removed"))
+    return full.unionByName(df.where("text IS NULL").select("id", "source_url", "text", F.lit(0).alias("removed"))).distinct()

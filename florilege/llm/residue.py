@@ -13,7 +13,6 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from florilege.llm.common import cut, spread
+from florilege.llm.common import cut
 from florilege.llm.maincontent import BLOCK, NAME, _member, line_key, slot_keys, with_furniture
 
 _NAME = r"[\p{L}][\p{L}\p{N}_.\-]*"
@@ -36,8 +35,8 @@ SLOT = "|".join((
 ))
 #: A slot left blank after its label.
 BLANK = r"^[\p{L}][\p{L} ]{1,40}: ?(?:_{3,}|\.{4,}|…{2,})$"
-#: One of these characters stands in whatever SLOT or BLANK matches.
-SIGNS = re.compile(r"[{\[@#%_&<«.…]")
+#: One of these characters stands in whatever SLOT matches, and one of those at the end of what BLANK matches.
+SIGNS, ENDS = re.compile(r"[{\[@#%_&<«]"), ("___", "....", "……")
 #: The best-known words of filler text.
 SEEDS = frozenset("lorem ipsum dolor sit amet consectetur adipiscing elit sed eiusmod tempor incididunt labore dolore magna aliqua".split())
 #: The two that stand in no other text.
@@ -59,43 +58,24 @@ CODE = re.compile(r"`[^`]*`")
 HASH = re.compile(r"^\s*#+\s+")
 
 
-@dataclass
-class Model:
-    """Hashes of the templates that are residue, sorted, and the words of filler text."""
-
-    templates: np.ndarray = field(default_factory=lambda: np.empty(0, np.int64))
-    filler: frozenset[str] = SEEDS
-
-    def __post_init__(self) -> None:
-        self.known = frozenset(self.templates.tolist())
-
-
 _SLOT, _BLANK = regex.compile(f"(?i:{SLOT})"), regex.compile(BLANK)
 
 
 def template_keys(line: str) -> list[int]:
-    """Hashes of a line as a record: with the slot after its opening or before its ending left out, and whole."""
-    one = HASH.sub("", line)
-    keys = [k for k in slot_keys(one)[:4] if k]
-    if NAME.search(whole := line_key(one)):
+    """Hashes of a line as a record: with the slot after its opening or before its ending left out, and whole if it's short."""
+    one = HASH.sub("", line) if "#" in line else line
+    keys = slot_keys(one, shape=False)
+    if len(keys) < 4 and NAME.search(whole := line_key(one)):
         keys.append(f"= {whole}")
     return [xxhash.xxh64_intdigest(k) - (1 << 63) for k in keys]
 
 
-def kind_of(line: str, model: Model) -> str | None:
-    """field, blank, filler or notice for a line that is residue, else None."""
-    one = " ".join(line.split())
-    if SIGNS.search(one):
-        bare = CODE.sub("`", one)
-        if _SLOT.search(bare):
-            return "field"
-        if _BLANK.search(HASH.sub("", bare)):
-            return "blank"
-    if model.known and any(k in model.known for k in template_keys(line)):
-        return "notice"
-    words = WORD.findall(one.lower())
-    if len(words) >= FILLER_WORDS and sum(map(model.filler.__contains__, words)) >= FILLER_SHARE * len(words):
-        return "filler"
+def syntax_of(line: str) -> str | None:
+    """field or blank for a line with a slot that holds a variable's name or nothing, else None."""
+    if SIGNS.search(line) and _SLOT.search(CODE.sub("`", " ".join(line.split()))):
+        return "field"
+    if line.rstrip().endswith(ENDS) and _BLANK.search(HASH.sub("", " ".join(line.split()))):
+        return "blank"
     return None
 
 
@@ -106,11 +86,15 @@ def body_lines(text: str, gone: list[int]) -> tuple[list[tuple[int, str]], bool]
     return lines, sum(1 for _, x in lines if not HASH.match(x)) <= BODY_LINES
 
 
-def _noted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _noted(batches: Iterator[pa.RecordBatch], noted: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+    """(key, page) of the records that make up the body of a page, of the pages noted if they are given."""
     for batch in batches:
         keys, pages = [], []
+        if noted is not None:
+            batch = batch.filter(pa.array(_member(batch.column("page").to_numpy(zero_copy_only=False), noted)))
         for page, text, gone in zip(*(batch.column(c).to_pylist() for c in ("page", "text", "gone")), strict=True):
-            for _, line in body_lines(text, gone)[0]:
+            lines, alone = body_lines(text, gone)
+            for _, line in lines if alone else ():
                 ks = template_keys(line)
                 keys += ks
                 pages += [page] * len(ks)
@@ -118,63 +102,68 @@ def _noted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(pages, pa.int64())], names=["key", "page"])
 
 
-def _records(batches: Iterator[pa.RecordBatch], among: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """(key, page, whole) of the lines whose template may be residue."""
-    known: dict[str, list[int]] = {}
-    for batch in batches:
-        keys, pages, whole = [], [], []
-        for page, text, gone in zip(*(batch.column(c).to_pylist() for c in ("page", "text", "gone")), strict=True):
-            lines, alone = body_lines(text, gone)
-            flat, ends = [], [0]
-            for _, line in lines:
-                ks = known.get(line)
-                if ks is None:
-                    ks = template_keys(line)
-                    if len(line) <= 80:
-                        if len(known) >= 50_000:
-                            known.clear()
-                        known[line] = ks
-                flat += ks
-                ends.append(len(flat))
-            hit = np.array(flat, np.int64)
-            hit = hit[_member(hit, among)].tolist()
-            keys += hit
-            pages += [page] * len(hit)
-            whole += [int(alone)] * len(hit)
-        if keys:
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(pages, pa.int64()), pa.array(whole, pa.int32())], names=["key", "page", "whole"])
-
+def _records(batches: Iterator[pa.RecordBatch], among: np.ndarray, words: frozenset[str]) -> Iterator[pa.RecordBatch]:
+    """(rid, page, line_no, key, whole, kind, words, n, sure).
 
-def _word_lines(batches: Iterator[pa.RecordBatch], among: frozenset[str]) -> Iterator[pa.RecordBatch]:
-    """(word, n, sure) of the words asked for: lines with the word, and those of them with a sure word."""
+    One row for each record whose template may be residue (key), each slot or blank and each line that may be filler (kind and
+    the words asked for in it, with how many words it has), and the counts of lines of the words asked for (words, n, sure).
+    """
+    either = words | SEEDS
     n, sure = Counter(), Counter()
     for batch in batches:
-        for text in batch.column("text").to_pylist():
-            if among.isdisjoint(WORD.findall(text.lower())):
-                continue
-            for line in text.lower().split("\n"):
-                words = set(WORD.findall(line))
-                found = words & among
-                n.update(found)
-                if words & SURE:
-                    sure.update(found)
+        flat, of, no, alone, marks = [], [], [], [], []
+        for k, (text, gone) in enumerate(zip(batch.column("text").to_pylist(), batch.column("gone").to_pylist(), strict=True)):
+            lines, one = body_lines(text, gone)
+            alone.append(int(one))
+            some = not either.isdisjoint(WORD.findall(text.lower()))
+            for at, line in lines:
+                ks = template_keys(line)
+                flat += ks
+                of += [k] * len(ks)
+                no += [at] * len(ks)
+                kind = syntax_of(line)
+                if kind:
+                    marks.append((k, at, kind, None, None))
+                if some:
+                    every = WORD.findall(line.lower())
+                    here = words.intersection(every)
+                    n.update(here)
+                    if not SURE.isdisjoint(every):
+                        sure.update(here)
+                    found = [w for w in every if w in either]
+                    if len(every) >= FILLER_WORDS and len(found) >= FILLER_SHARE * len(every):
+                        marks.append((k, at, "filler", found, len(every)))
+        hit = np.array(flat, np.int64)
+        at = np.flatnonzero(_member(hit, among))
+        rows = np.r_[np.array(of, np.int64)[at], np.array([m[0] for m in marks], np.int64)]
+        if len(rows):
+            m = len(marks)
+            cols = [batch.column(c).take(pa.array(rows)) for c in ("rid", "page")]
+            cols.append(pa.array(np.r_[np.array(no, np.int64)[at], np.array([x[1] for x in marks], np.int64)].astype(np.int32)))
+            cols.append(pa.concat_arrays([pa.array(hit[at]), pa.nulls(m, pa.int64())]))
+            cols.append(pa.array(np.array(alone, np.int32)[rows]))
+            cols.append(pa.concat_arrays([pa.nulls(len(at), pa.string()), pa.array([x[2] for x in marks], pa.string())]))
+            cols.append(pa.concat_arrays([pa.nulls(len(at), pa.list_(pa.string())), pa.array([x[3] for x in marks], pa.list_(pa.string()))]))
+            cols += [pa.concat_arrays([pa.nulls(len(at), pa.int64()), pa.array([x[4] for x in marks], pa.int64())]), pa.nulls(len(rows), pa.int64())]
+            yield pa.RecordBatch.from_arrays(cols, names=RECORD)
     if n:
-        yield pa.RecordBatch.from_arrays([pa.array(list(n)), pa.array(list(n.values()), pa.int64()), pa.array([sure[w] for w in n], pa.int64())], names=["word", "n", "sure"])
+        m = len(n)
+        none = [pa.nulls(m, t) for t in (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.string())]
+        yield pa.RecordBatch.from_arrays([*none, pa.array([[w] for w in n]), pa.array(list(n.values()), pa.int64()), pa.array([sure[w] for w in n], pa.int64())], names=RECORD)
+
+
+RECORD = ["rid", "page", "line_no", "key", "whole", "kind", "words", "n", "sure"]
+RECORD_TYPES = "rid long, page long, line_no int, key long, whole int, kind string, words array<string>, n long, sure long"
 
 
-def filler_words(rows: DataFrame) -> frozenset[str]:
-    """Words that stand beside a sure word of filler text in LEARN_SHARE of their lines, over all texts."""
+def filler_candidates(rows: DataFrame) -> frozenset[str]:
+    """Words that stand in LEARN_LINES lines with a sure word of filler text."""
     lines = rows.where(F.lower("text").rlike("lorem|ipsum")).select(F.explode(F.split(F.lower("text"), "\n")).alias("line")).where(F.col("line").rlike(r"\b(?:lorem|ipsum)\b"))
     words = lines.select(F.explode(F.array_distinct(F.regexp_extract_all("line", F.lit(r"\p{L}{3,}"), 0))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEARN_LINES).select("word")
     words = cut(words)
     if words.count() > 1_000_000:
         raise ValueError("more than a million words beside filler words; filter the texts first")
-    among = frozenset(r["word"] for r in words.collect())
-    if not among:
-        return SEEDS
-    shared = rows.sparkSession.sparkContext.broadcast(among)
-    counts = rows.select("text").mapInArrow(lambda b: _word_lines(b, shared.value), "word string, n long, sure long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("sure").alias("sure"))
-    return SEEDS | {r["word"] for r in counts.where(F.col("sure") >= F.col("n") * LEARN_SHARE).select("word").collect()}
+    return frozenset(r["word"] for r in words.collect())
 
 
 def noted_pages(reasons: DataFrame, page: str = "source_url") -> DataFrame:
@@ -182,47 +171,44 @@ def noted_pages(reasons: DataFrame, page: str = "source_url") -> DataFrame:
     return reasons.where(F.exists(F.coalesce("reasons", F.array().cast("array<string>")), lambda r: r.rlike(NOTES)) & F.col(page).isNotNull()).select(F.xxhash64(page).alias("page")).distinct()
 
 
-def learn(rows: DataFrame, noted: DataFrame) -> Model:
-    """The model from (page, text, gone) of all texts and the pages noted; templates are counted over all texts.
+def with_bodies(df: DataFrame, keep: list[str]) -> DataFrame:
+    """(keep.., rid, page, text, gone) of every row with text, written once: texts with their furniture's lines."""
+    rows = with_furniture(df.select(*keep, F.xxhash64("source_url").alias("_page"), "source_url", "text"), [*keep, "_page"])
+    return cut(rows.withColumnRenamed("_page", "page").withColumn("rid", F.monotonically_increasing_id()))
 
-    Only templates on NOTED_PAGES noted pages are counted further; as broadcast they are at most BLOCK (32 MB).
+
+def residue_lines(rows: DataFrame, noted: DataFrame) -> DataFrame:
+    """(rid, line_no, kind) of the residue in (rid, page, text, gone), given the pages noted; all texts are counted.
+
+    Templates are judged further only if they make up the body of NOTED_PAGES noted pages; as broadcast they are at most BLOCK (32 MB).
     """
-    first = spread(rows.join(noted, "page", "left_semi")).mapInArrow(_noted, "key long, page long").distinct()
+    noted, narrow = cut(noted), rows.select("page", "text", "gone")
+    if noted.count() <= BLOCK:
+        # Few enough to be known to every task: the texts stay where they are.
+        pages = rows.sparkSession.sparkContext.broadcast(np.sort(np.array([r["page"] for r in noted.collect()], np.int64)))
+        first = narrow.mapInArrow(lambda b: _noted(b, pages.value), "key long, page long").distinct()
+    else:
+        first = narrow.join(noted, "page", "left_semi").mapInArrow(lambda b: _noted(b, None), "key long, page long").distinct()
     first = cut(first.groupBy("key").agg(F.count(F.lit(1)).alias("noted")).where(F.col("noted") >= NOTED_PAGES))
     if first.count() > BLOCK:
         raise ValueError(f"more than {BLOCK} templates on noted pages; run the operator by groups of sites")
     among = np.sort(np.array([r["key"] for r in first.select("key").collect()], np.int64))
-    shared = rows.sparkSession.sparkContext.broadcast(among)
-    every = rows.mapInArrow(lambda b: _records(b, shared.value), "key long, page long, whole int").groupBy("key", "page").agg(F.max("whole").alias("whole"))
+    shared = rows.sparkSession.sparkContext.broadcast((among, filler_candidates(rows)))
+    found = cut(rows.select("rid", "page", "text", "gone").mapInArrow(lambda b: _records(b, *shared.value), RECORD_TYPES))
+    every = found.where("key IS NOT NULL").groupBy("key", "page").agg(F.max("whole").alias("whole"))
     every = every.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("whole").alias("whole")).join(first, "key")
     total = rows.select("page").distinct().join(noted.withColumn("bad", F.lit(1)), "page", "left").agg((F.count("bad") / F.count(F.lit(1))).alias("rate"))
     p, base = F.least(F.col("noted") / F.col("n"), F.lit(1.0)), F.col("rate")
-    none = F.lit(0.0)
-    evidence = F.col("n") * (p * F.log(p / base) + F.when(p < 1, (1 - p) * F.log((1 - p) / (1 - base))).otherwise(none))
+    evidence = F.col("n") * (p * F.log(p / base) + F.when(p < 1, (1 - p) * F.log((1 - p) / (1 - base))).otherwise(F.lit(0.0)))
     every = every.crossJoin(F.broadcast(total))  # one row
     bad = every.where((p > base) & (base < 1) & (evidence >= EVIDENCE) & (F.col("whole") >= F.col("n") * WHOLE_SHARE)).select("key")
-    return Model(np.sort(np.array([r["key"] for r in bad.collect()], np.int64)), filler_words(rows))
-
-
-def _marked(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        of, no, kinds = [], [], []
-        for k, (text, gone) in enumerate(zip(batch.column("text").to_pylist(), batch.column("gone").to_pylist(), strict=True)):
-            for n, line in body_lines(text, gone)[0]:
-                kind = kind_of(line, model)
-                if kind:
-                    of.append(k)
-                    no.append(n)
-                    kinds.append(kind)
-        if of:
-            kept = batch.drop_columns(["page", "text", "gone"]).take(pa.array(of))
-            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(no, pa.int32()), pa.array(kinds, pa.string())], names=[*kept.schema.names, "line_no", "kind"])
-
-
-def with_bodies(df: DataFrame, keep: list[str], page: str = "source_url") -> DataFrame:
-    """(keep.., page, text, gone) of every distinct row with text, written once: texts with their furniture's lines."""
-    rows = df.where("text IS NOT NULL").select(*keep, F.xxhash64(page).alias("page"), "source_url", "text")
-    return cut(with_furniture(rows, [*keep, "page"]).drop("source_url"))
+    notices = found.where("key IS NOT NULL").join(bad, "key", "left_semi").select("rid", "line_no", F.lit("notice").alias("kind"))
+    words = found.where("kind IS NULL AND key IS NULL").select(F.col("words")[0].alias("word"), "n", "sure").groupBy("word").agg(F.sum("n").alias("n"), F.sum("sure").alias("sure"))
+    words = words.where(F.col("sure") >= F.col("n") * LEARN_SHARE).select("word").unionByName(rows.sparkSession.createDataFrame([(w,) for w in sorted(SEEDS)], "word string")).distinct()
+    lines = found.where("kind = 'filler'").select("rid", "line_no", "n", F.explode("words").alias("word")).join(words, "word", "left_semi")
+    filler = lines.groupBy("rid", "line_no").agg(F.count(F.lit(1)).alias("k"), F.max("n").alias("n")).where(F.col("k") >= F.col("n") * FILLER_SHARE).select("rid", "line_no", F.lit("filler").alias("kind"))
+    syntax = found.where("kind IN ('field', 'blank')").select("rid", "line_no", "kind")
+    return notices.unionByName(filler).unionByName(syntax).distinct()
 
 
 def residue(df: DataFrame, keep: list[str], reasons: DataFrame) -> DataFrame:
@@ -232,10 +218,8 @@ def residue(df: DataFrame, keep: list[str], reasons: DataFrame) -> DataFrame:
     found. Null texts have none, repeated rows count once.
     """
     rows = with_bodies(df, keep)
-    model = learn(rows, noted_pages(reasons))
-    shared = df.sparkSession.sparkContext.broadcast(model)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keep).schema)
-    return rows.mapInArrow(lambda b: _marked(b, shared.value), f"{schema}, line_no int, kind string")
+    # The residue is a small part of the lines; only keys are joined, never texts.
+    return rows.select("rid", *keep).join(residue_lines(rows, noted_pages(reasons)), "rid").select(*keep, "line_no", "kind").distinct()
 
 
 def marked(df: DataFrame, reasons: DataFrame) -> DataFrame:

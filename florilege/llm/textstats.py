@@ -20,8 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from florilege.llm.common import spread
-from florilege.llm.residue import Model, kind_of, learn, noted_pages, with_bodies
+from florilege.llm.common import cut, spread
+from florilege.llm.residue import noted_pages, residue_lines, with_bodies
 
 #: Share of the words that makes a page a list, a table or junk; least words of a sentence, most of an entry, and of a longer one.
 MOST, SENTENCE_WORDS, ENTRY_WORDS, LONG_ENTRY = 0.5, 6, 9, 14
@@ -33,6 +33,8 @@ ROWS_NEAR, CELL_WORDS = 3, 6
 WORDLIKE, SYMBOLS = 0.5, 0.35
 #: Least period of indents and marks, and least likeness of lengths, of a run of entries; lags tried.
 PERIOD, REGULAR, LAGS = 0.4, 0.45, range(1, 5)
+#: Lines of residue up to which they are broadcast (some 50 MB); beyond, they are joined to their texts.
+RESIDUE_LINES = 500_000
 #: Lines whose features a task remembers at a time.
 REMEMBERED = 100_000
 
@@ -128,12 +130,12 @@ STATS = (
 )
 
 
-def page_statistics(text: str, gone: list[int] | None = None, model: Model | None = None, known: dict | None = None) -> tuple:
+def page_statistics(text: str, gone: list[int] | None = None, bad: list[int] | None = None, known: dict | None = None) -> tuple:
     """The values of STATS for one text; ``kind`` is prose, list, table, junk, or empty if no content is left.
 
-    ``gone`` are the numbers of its furniture lines, and ``model`` tells residue.
+    ``gone`` are the numbers of its furniture lines, ``bad`` those of residue.
     """
-    known, aside, model = {} if known is None else known, frozenset(gone or ()), model or Model()
+    known, aside, bad = {} if known is None else known, frozenset(gone or ()), frozenset(bad or ())
     lines = text.split("\n")
     words = text.split()
     furniture = residue = 0
@@ -143,20 +145,19 @@ def page_statistics(text: str, gone: list[int] | None = None, model: Model | Non
             rows.append(None)
             continue
         filled += 1
-        seen = known.get(line) if len(line) <= 300 else None
-        if seen is None:
-            seen = (kind_of(line, model), line_features(line))
+        f = known.get(line)
+        if f is None:
+            f = line_features(line)
             if len(line) <= 300:
                 if len(known) >= REMEMBERED:
                     known.clear()
-                known[line] = seen
-        what, f = seen
+                known[line] = f
         ended += f[6]
         sums += f[9:]
         if no in aside:
             furniture += len(line.split())
             continue
-        if what:
+        if no in bad:
             residue += len(line.split())
             rows.append(None)
             continue
@@ -280,17 +281,17 @@ def _tables(rows: list, kinds: list[str]) -> int:
     return runs
 
 
-def _statistics(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
+def _statistics(batches: Iterator[pa.RecordBatch], residue: dict[int, list[int]]) -> Iterator[pa.RecordBatch]:
     known: dict = {}
     kinds = {"long": pa.int64(), "double": pa.float64(), "string": pa.string()}
     for batch in batches:
         for at in range(0, batch.num_rows, 1000):
             part = batch.slice(at, 1000)
-            pairs = zip(part.column("text").to_pylist(), part.column("gone").to_pylist(), strict=True)
-            values = list(zip(*(page_statistics(t, g, model, known) for t, g in pairs), strict=True))
-            kept = part.drop_columns(["text", "gone"])
+            bad = part.column("bad").to_pylist() if "bad" in part.schema.names else map(residue.get, part.column("rid").to_pylist())
+            triples = zip(part.column("text").to_pylist(), part.column("gone").to_pylist(), bad, strict=True)
+            values = list(zip(*(page_statistics(*x, known) for x in triples), strict=True))
             arrays = [pa.array(v, kinds[k]) for v, (_, k) in zip(values, STATS, strict=True)]
-            yield pa.RecordBatch.from_arrays([*kept.columns, *arrays], names=[*kept.schema.names, *(n for n, _ in STATS)])
+            yield pa.RecordBatch.from_arrays([part.column("file"), *arrays], names=["file", *(n for n, _ in STATS)])
 
 
 def statistics(bodies: DataFrame, reasons: DataFrame) -> DataFrame:
@@ -299,9 +300,16 @@ def statistics(bodies: DataFrame, reasons: DataFrame) -> DataFrame:
     ``reasons`` (source_url, reasons) are notes that help to tell residue. A null file name is one of its own.
     """
     rows = with_bodies(bodies, ["file"])
-    shared = bodies.sparkSession.sparkContext.broadcast(learn(rows, noted_pages(reasons)))
-    rows = spread(rows.select("file", "text", "gone"))
-    return rows.mapInArrow(lambda b: _statistics(b, shared.value), "file string, " + ", ".join(f"{n} {k}" for n, k in STATS)).distinct()
+    bad = cut(residue_lines(rows, noted_pages(reasons)).select("rid", "line_no").distinct())
+    lines: dict[int, list[int]] = {}
+    rows = rows.select("file", "rid", "text", "gone")
+    if bad.count() <= RESIDUE_LINES:
+        for r in bad.collect():
+            lines.setdefault(r["rid"], []).append(r["line_no"])
+    else:
+        rows = rows.join(bad.groupBy("rid").agg(F.collect_set("line_no").alias("bad")), "rid", "left")  # at most as many as a text has lines
+    shared = bodies.sparkSession.sparkContext.broadcast(lines)
+    return spread(rows).mapInArrow(lambda b: _statistics(b, shared.value), "file string, " + ", ".join(f"{n} {k}" for n, k in STATS)).distinct()
 
 
 def not_prose(bodies: DataFrame, reasons: DataFrame) -> DataFrame:

@@ -101,14 +101,11 @@ CONTENT = (
 )
 
 
-def test_slots_and_filler_without_any_notes():
-    model = residue.Model()
-    assert all(residue.kind_of(t, model) for t in RESIDUE)
-    assert not any(residue.kind_of(t, model) for t in CONTENT)
-
-
-def test_signs_stand_in_whatever_the_slot_patterns_match():
-    assert all(residue.SIGNS.search(t) for t in RESIDUE if residue._SLOT.search(t) or residue._BLANK.search(t))
+def test_slots_and_filler_without_any_notes(spark):
+    rows = [(f"r{k}", "https://a.example/1", t) for k, t in enumerate(RESIDUE)] + [(f"c{k}", "https://a.example/2", t) for k, t in enumerate(CONTENT)] + [("m", None, "Ein Satz.\n" + RESIDUE[0] + "\nNoch einer.")]
+    found = residue.residue(spark.createDataFrame(rows, "id string, source_url string, text string"), ["id"], spark.createDataFrame([], "source_url string, reasons array<string>"))
+    assert {r["id"] for r in found.select("id").distinct().collect()} == {f"r{k}" for k in range(len(RESIDUE))} | {"m"}
+    assert all(residue.SIGNS.search(t) or t.endswith(residue.ENDS) for t in RESIDUE if residue._SLOT.search(t) or residue._BLANK.search(t))
 
 
 #: Phrases of no list in the operator: notices of an invented tongue, and content with the same openings all over.
@@ -142,10 +139,9 @@ def test_notices_are_learned_from_their_templates(spark):
 def test_filler_words_are_learned(spark):
     rng = random.Random(1)
     words = "orin valut semper dakor mivan telis".split()
-    rows = [(str(k), "https://a.example/x", " ".join(rng.choices([*words, "lorem"], k=9))) for k in range(40)] + [("c", "https://a.example/y", "Die Leitung prüft semper den Plan der Woche.")]
-    model = residue.learn(residue.with_bodies(spark.createDataFrame(rows, "id string, source_url string, text string"), ["id"]), residue.noted_pages(spark.createDataFrame([], "source_url string, reasons array<string>")))
-    assert set(words) <= model.filler and "leitung" not in model.filler
-    assert residue.kind_of("valut telis orin dakor mivan", model) == "filler"
+    rows = [(str(k), "https://a.example/x", " ".join(rng.choices([*words, "lorem"], k=9))) for k in range(40)] + [("c", "https://a.example/y", "Die Leitung prüft semper den Plan der Woche."), ("d", "https://a.example/z", "valut telis orin dakor mivan")]
+    found = residue.residue(spark.createDataFrame(rows, "id string, source_url string, text string"), ["id"], spark.createDataFrame([], "source_url string, reasons array<string>")).collect()
+    assert {(r["id"], r["kind"]) for r in found} == {(str(k), "filler") for k in range(40)} | {("d", "filler")}
 
 
 # --- 4 ----------------------------------------------------------------------------------------------------------------
@@ -272,7 +268,7 @@ PAGES = {
 
 @pytest.mark.parametrize("kind", PAGES)
 def test_kinds(kind):
-    out = dict(zip([n for n, _ in textstats.STATS], textstats.page_statistics(PAGES[kind]), strict=True))
+    out = dict(zip([n for n, _ in textstats.STATS], textstats.page_statistics(PAGES[kind], [], [0] if kind == "empty" else None), strict=True))
     assert out["kind"] == kind
     assert out["words"] == len(PAGES[kind].split())
     assert out["tables"] == (kind == "table")
