@@ -197,11 +197,11 @@ def residue_lines(rows: DataFrame, noted: DataFrame) -> DataFrame:
     found = cut(rows.select("rid", "page", "text", "gone").mapInArrow(lambda b: _records(b, *shared.value), RECORD_TYPES))
     every = found.where("key IS NOT NULL").groupBy("key", "page").agg(F.max("whole").alias("whole"))
     every = every.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("whole").alias("whole")).join(first, "key")
-    total = rows.select("page").distinct().join(noted.withColumn("bad", F.lit(1)), "page", "left").agg((F.count("bad") / F.count(F.lit(1))).alias("rate"))
-    p, base = F.least(F.col("noted") / F.col("n"), F.lit(1.0)), F.col("rate")
+    total = rows.select("page").distinct().join(noted.withColumn("bad", F.lit(1)), "page", "left").agg((F.count("bad") / F.greatest(F.count(F.lit(1)), F.lit(1))).alias("rate"))
+    p, base = F.least(F.col("noted") / F.col("n"), F.lit(1.0)), F.least(F.greatest("rate", F.lit(1e-9)), F.lit(1 - 1e-9))
     evidence = F.col("n") * (p * F.log(p / base) + F.when(p < 1, (1 - p) * F.log((1 - p) / (1 - base))).otherwise(F.lit(0.0)))
     every = every.crossJoin(F.broadcast(total))  # one row
-    bad = every.where((p > base) & (base < 1) & (evidence >= EVIDENCE) & (F.col("whole") >= F.col("n") * WHOLE_SHARE)).select("key")
+    bad = every.where((p > base) & (evidence >= EVIDENCE) & (F.col("whole") >= F.col("n") * WHOLE_SHARE)).select("key")
     notices = found.where("key IS NOT NULL").join(bad, "key", "left_semi").select("rid", "line_no", F.lit("notice").alias("kind"))
     words = found.where("kind IS NULL AND key IS NULL").select(F.col("words")[0].alias("word"), "n", "sure").groupBy("word").agg(F.sum("n").alias("n"), F.sum("sure").alias("sure"))
     words = words.where(F.col("sure") >= F.col("n") * LEARN_SHARE).select("word").unionByName(rows.sparkSession.createDataFrame([(w,) for w in sorted(SEEDS)], "word string")).distinct()
