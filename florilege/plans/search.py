@@ -42,9 +42,7 @@ def _queries(rows: DataFrame) -> DataFrame:
 
 
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
-    items = table(spark, d, "benchmark", "item_id", "text")
-    index = retrieval.postings(table(spark, d, "documents", "doc_id", "text"), "doc_id", "text", only=retrieval.terms(items, "item_id", "text"))
-    return retrieval.bm25(index, items, "doc_id", "item_id", "text", K)
+    return retrieval.bm25_topk(table(spark, d, "documents", "doc_id", "text"), table(spark, d, "benchmark", "item_id", "text"), "doc_id", "item_id", "text", K)
 
 
 def bm25_weights(spark: SparkSession, d: str) -> DataFrame:

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from florilege.functions import questions
-from florilege.operators import chunks, glossary, retrieval
+from florilege.operators import blocks, chunks, glossary, retrieval
 from florilege.plans import guided
 
 DOCS = [(1, "Ferry ticket office opens"), (2, "ticket ticket ticket"), (3, None), (4, ""), (5, "opens the ferry at noon with a ticket")]
@@ -158,3 +158,16 @@ def test_guided_search(spark):
     assert [r["id"] for r in out if r["query_id"] == 1][0] == "a" and sum(r["query_id"] == 1 for r in out) == 2
     plan = guided.planned_action(spark.createDataFrame([("Was ist K90?", [], []), ("heute offen?", [], []), ("Unterschied", ["Fakultät I"], []), ("x", [], [])], "query string, detected_faculties array<string>, present_faculties array<string>"))
     assert [r["requested_action"] for r in plan.collect()] == ["full_section", "", "new_search", ""]
+
+
+def test_bm25_without_an_index_shuffles_no_postings(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    text = lambda n: " ".join(f"Wort{i}" for i in rng.integers(0, 60, n))
+    docs = spark.createDataFrame([(i, text(int(rng.integers(1, 40)))) for i in range(90)] + [(90, None), (91, ""), (92, "x !")], "id long, text string").repartition(3)
+    queries = spark.createDataFrame([(i, text(8)) for i in range(12)] + [(12, None), (13, "fremd")], "q long, text string")
+    want = sorted(retrieval.bm25(retrieval.postings(docs, "id", "text"), queries, "id", "q", "text", 4).collect())
+    monkeypatch.setattr(blocks, "BLOCK_CHARS", 500)  # two blocks of queries
+    monkeypatch.setattr(blocks, "WAITING", 5)
+    got = retrieval.bm25_topk(docs, queries, "id", "q", "text", 4)
+    assert sorted(got.collect()) == want
+    assert "Join" not in (plan := got._jdf.queryExecution().optimizedPlan().toString()) and plan.count("MapInArrow") == 2
