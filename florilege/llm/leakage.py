@@ -9,7 +9,9 @@ longest common subsequence, and answers.
 A run of 13 words has 12 neighbouring terms that all belong to the benchmark, so where only runs are asked for, a
 passage without such a stretch is no candidate; that bound keeps most passages out of the matrix product and loses
 nothing. Words in order with gaps break at most two terms for each word left out, so paraphrases have a bound of
-their own (_least_terms). Runs and answers that stand whole are looked up too, whatever their cosine.
+their own (_least_terms). Retrieval finds runs as it finds paraphrases: near pairs are compared word by word. As no
+cosine is sure to be reached by a run among foreign words, runs and answers that stand whole are looked up besides;
+``look_up`` switches that off to measure what retrieval finds alone.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ RUN, WIDTH, STEP = 13, 26, 13
 RANK, OVERSAMPLE, POWER = 96, 16, 2
 #: Words by which a benchmark passage may be moved so that it begins as the corpus passage does.
 SHIFT = STEP // 2
-#: Least cosine of a candidate; runs and answers that stand whole don't need it. tests/llm/test_leakage.py has its recall.
+#: Least cosine of a candidate; runs and answers that stand whole are looked up besides. tests/llm/test_leakage.py has its recall.
 MIN_COSINE = 0.3
 #: Words of the shortest answer.
 ANSWER = 4
@@ -149,14 +151,15 @@ def _ids(text: str, words: dict[str, int]) -> np.ndarray:
 
 
 def latent_basis(items: DataFrame, words: dict[str, int], terms: np.ndarray, idf: np.ndarray, rank: int = RANK) -> np.ndarray:
-    """Right singular directions of the benchmark's passage-term matrix, by randomised subspace iteration.
+    """Right singular directions of the benchmark's passage-term matrix, by randomised SVD.
 
-    Every partition multiplies its own passages; the driver gets one terms x (rank + oversample) sum a partition.
+    Every partition multiplies its own passages; the driver gets one terms x (rank + oversample) sum a partition. The
+    last product gives the small matrix whose eigenvectors turn the subspace into singular directions, largest first.
     """
     size = min(rank + OVERSAMPLE, max(1, len(terms)))
     q = np.random.default_rng(20).standard_normal((len(terms), size)).astype(np.float32)
     sc = items.sparkSession.sparkContext
-    for _ in range(POWER):
+    for step in range(POWER + 1):
         shared = sc.broadcast((words, terms, idf, q))
 
         def product(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
@@ -172,8 +175,12 @@ def latent_basis(items: DataFrame, words: dict[str, int], terms: np.ndarray, idf
             yield pd.DataFrame({"part": [out.astype(np.float32).tobytes()]})
 
         parts = [np.frombuffer(r[0], np.float32).reshape(q.shape) for r in items.select("text").coalesce(4).mapInPandas(product, "part binary").collect()]
-        total = np.sum(parts, axis=0, dtype=np.float64) if parts else q.astype(np.float64)
-        q = np.linalg.qr(total)[0].astype(np.float32)
+        total = np.sum(parts, axis=0, dtype=np.float64) if parts else np.zeros_like(q, np.float64)
+        if step < POWER:
+            q = np.linalg.qr(total)[0].astype(np.float32)
+        else:
+            small = q.T.astype(np.float64) @ total
+            q = (q @ np.linalg.eigh((small + small.T) / 2)[1][:, ::-1]).astype(np.float32)
         shared.unpersist()
     return q[:, : min(rank, size)]
 
@@ -288,6 +295,43 @@ def _common_near(a: np.ndarray, b: np.ndarray, least: int) -> np.ndarray:
     return np.where(out >= least, out, 0)
 
 
+def _words(q: int, at: list[int], xs: list[np.ndarray]) -> np.ndarray:
+    """Words of a corpus passage, -2 beyond the end."""
+    x = xs[q][at[q] : at[q] + WIDTH]
+    return np.pad(x, (0, WIDTH - len(x)), constant_values=-2)
+
+
+def _share_run(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether the passages of each row pair have a run of neighbouring words in common; negative words never match."""
+    out = np.zeros(len(a), bool)
+    # A run takes in one of the two middle words.
+    half = WIDTH // 2
+    near = np.flatnonzero(((a[:, half - 1 : half] == b) & (b >= 0)).any(axis=1) | ((a[:, half : half + 1] == b) & (b >= 0)).any(axis=1))
+    a, b = a[near].astype(np.int32), b[near].astype(np.int32)
+    match = np.zeros((len(near), WIDTH + RUN), np.uint32)  # bit i at j: word i of a is word j of b
+    for i in range(WIDTH):
+        match[:, :WIDTH] |= ((a[:, i : i + 1] == b) & (b >= 0)).astype(np.uint32) << np.uint32(i)
+    after = lambda x, n: np.pad(x[:, n:], ((0, 0), (0, n))) >> np.uint32(n)
+    two = match & after(match, 1)
+    four = two & after(two, 2)
+    out[near] = (four & after(four, 4) & after(four, 8) & after(match, RUN - 1)).any(axis=1)
+    return out
+
+
+def _shared_runs(p: np.ndarray, k: np.ndarray, at: list[int], xs: list[np.ndarray], m: Model) -> set[tuple[int, int]]:
+    """(passage, item) of the near pairs that share a run, compared word by word."""
+    out = set()
+    if not len(p):
+        return out
+    used, row = np.unique(p, return_inverse=True)
+    words = np.array([_words(q, at, xs) for q in used.tolist()])
+    for c in range(0, len(p), PAIRS):
+        a, b = p[c : c + PAIRS], k[c : c + PAIRS]
+        found = _share_run(words[row[c : c + PAIRS]], m.passage_words[b, SHIFT : SHIFT + WIDTH])
+        out |= set(zip(a[found].tolist(), m.passage_item[b[found]].tolist(), strict=True))
+    return out
+
+
 def _runs(ids: np.ndarray, m: Model) -> list[tuple[int, int]]:
     """(where, item) of every run of a document that stands in an item."""
     h = _hashes(ids)
@@ -308,11 +352,12 @@ def _answers(ids: np.ndarray, m: Model) -> list[tuple[int, int, int]]:
     return out
 
 
-def _search(batches: Iterator[pd.DataFrame], m: Model, min_cosine: float, least_common: int | None, runs_only: bool) -> Iterator[pd.DataFrame]:
+def _search(batches: Iterator[pd.DataFrame], m: Model, min_cosine: float, least_common: int | None, runs_only: bool, look_up: bool = True) -> Iterator[pd.DataFrame]:
     """(doc_id, item_id, cosine, run, common, answers) of candidates, the best of each document and item."""
     least = _least_terms(least_common)
     for batch in batches:
         docs, at, xs, seen, n = [], [], [], [], 0
+        stretches = []  # whether a passage can hold a run
         whole = []  # passage, item, words of the run and number of answers, of what stands whole
         out = []
 
@@ -322,7 +367,8 @@ def _search(batches: Iterator[pd.DataFrame], m: Model, min_cosine: float, least_
                 row, term = (np.concatenate(x) for x in zip(*seen, strict=True))
                 p, k = (np.empty(0, int), np.empty(0, int)) if runs_only else _near(row, term, n, m, least)
                 # Only passages that can be part of a result go into the matrix product.
-                kept = np.unique(np.concatenate([p, np.array([x[0] for x in whole], int)]))
+                runs = np.flatnonzero(np.concatenate(stretches))
+                kept = np.unique(np.concatenate([p, runs, np.array([x[0] for x in whole], int)]))
                 if len(kept):
                     place = np.full(n, -1)
                     place[kept] = np.arange(len(kept))
@@ -335,12 +381,15 @@ def _search(batches: Iterator[pd.DataFrame], m: Model, min_cosine: float, least_
                     p, k = p[close], k[close]
                     if len(p):
                         out.append(_compared(p, k, cos[place[p], k], docs, at, xs, m, least_common))
+                    close = np.nonzero(cos[place[runs]] >= min_cosine)
+                    known = {x[:2] for x in whole if x[2]}
+                    whole.extend((q, i, RUN, 0) for q, i in _shared_runs(runs[close[0]], close[1], at, xs, m) - known)
                     if whole:
                         p, item, run, answers = (np.array(x) for x in zip(*whole, strict=True))
                         best = [cos[place[q], m.passage_item == i].max() for q, i in zip(p, item, strict=True)]
                         out.append(pd.DataFrame({"doc_id": [docs[q] for q in p], "item_id": item, "cosine": np.array(best, float), "run": run, "common": run, "answers": answers}))
             n = 0
-            for x in (docs, at, xs, seen, whole):
+            for x in (docs, at, xs, seen, stretches, whole):
                 x.clear()
 
         for doc, text in zip(batch["doc_id"], batch["text"], strict=True):
@@ -352,14 +401,14 @@ def _search(batches: Iterator[pd.DataFrame], m: Model, min_cosine: float, least_
             ok = stretch = _stretches(found, starts)
             answers = []
             if not runs_only:
-                answers = _answers(ids, m)
+                answers = _answers(ids, m) if look_up else []
                 first = np.concatenate([[0], np.cumsum(found >= 0)])
                 ok = first[np.minimum(starts + WIDTH - 1, len(found))] - first[np.minimum(starts, len(found))] >= least
                 ok[[min(i // STEP, len(starts) - 1) for i, _, _ in answers]] = True
             good = starts[ok]
             if not len(good):
                 continue
-            hits = {(i // STEP * STEP, item): (RUN, 0) for i, item in (_runs(ids, m) if stretch.any() else ())}
+            hits = {(i // STEP * STEP, item): (RUN, 0) for i, item in (_runs(ids, m) if look_up and stretch.any() else ())}
             numbers = {}
             for i, item, k in answers:
                 numbers.setdefault(item, (min(i // STEP, len(starts) - 1) * STEP, set()))[1].add(k)
@@ -371,6 +420,7 @@ def _search(batches: Iterator[pd.DataFrame], m: Model, min_cosine: float, least_
                 t = padded[part[:, None] + np.arange(WIDTH - 1)]
                 row, place = np.nonzero(t >= 0)
                 seen.append((row + n, t[row, place]))
+                stretches.append(stretch[ok][k : k + ROWS])
                 docs += [doc] * len(part)
                 at += part.tolist()
                 xs += [ids] * len(part)
@@ -390,7 +440,7 @@ def _compared(p, k, cos, docs, at, xs, m: Model, least_common: int | None) -> pd
     """Candidates, with ``least_common`` only those whose longest common subsequence has so many words."""
     common = np.zeros(len(p), np.int64)
     if least_common is not None:
-        passage = {q: np.pad(x := xs[q][at[q] : at[q] + WIDTH], (0, WIDTH - len(x)), constant_values=-2) for q in np.unique(p)}
+        passage = {q: _words(q, at, xs) for q in np.unique(p)}
         for c in range(0, len(p), PAIRS):
             part = slice(c, c + PAIRS)
             common[part] = _common_near(np.array([passage[q] for q in p[part]]), m.passage_words[k[part]], max(1, least_common))
@@ -406,12 +456,12 @@ def _blocks(items: DataFrame, block_chars: int) -> list[DataFrame]:
     return [items.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k) if n > 1 else items for k in range(n)]
 
 
-def leaks(docs: DataFrame, items: DataFrame, min_cosine: float = MIN_COSINE, rank: int = RANK, least_common: int | None = None, runs_only: bool = False, block_chars: int = BLOCK_CHARS) -> DataFrame:
+def leaks(docs: DataFrame, items: DataFrame, min_cosine: float = MIN_COSINE, rank: int = RANK, least_common: int | None = None, runs_only: bool = False, block_chars: int = BLOCK_CHARS, look_up: bool = True) -> DataFrame:
     """(doc_id, item_id, cosine, run, common, answers): candidates of latent retrieval with their checks.
 
     ``run`` is 13 if a run of 13 words is shared, else 0; ``common`` is the longest common subsequence of two passages,
     if ``least_common`` is set, and then of so many words at least, or 0 beside a run or an answer; ``answers`` is the number of the item's answers that stand
-    whole in the document. With ``runs_only`` only shared runs are looked for. Null ids and null or empty texts never match; repeated rows count once.
+    whole in the document. With ``runs_only`` only shared runs are sought. Without ``look_up`` retrieval alone decides. Null ids and null or empty texts never match; repeated rows count once.
     """
     docs, items = docs.select("doc_id", "text"), items.select("item_id", "text")
     out = None
@@ -419,7 +469,7 @@ def leaks(docs: DataFrame, items: DataFrame, min_cosine: float = MIN_COSINE, ran
         shared = docs.sparkSession.sparkContext.broadcast(fit(docs, block, rank))
 
         def search(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            return _search(batches, shared.value, min_cosine, least_common, runs_only)
+            return _search(batches, shared.value, min_cosine, least_common, runs_only, look_up)
 
         part = docs.mapInPandas(search, "doc_id long, item_id long, cosine double, run long, common long, answers long")
         out = part if out is None else out.unionByName(part)

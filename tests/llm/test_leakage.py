@@ -68,3 +68,41 @@ def test_runs_are_found_whatever_their_cosine(spark, benchmark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     found = {tuple(r) for r in leakage.leaked(docs, items, min_cosine=0.99).collect()}
     assert {(n, item) for n, (item, _) in enumerate(words)} <= found
+
+
+def test_retrieval_alone_finds_the_runs(spark, small, benchmark):
+    items, words = benchmark
+    docs = spark.createDataFrame([(n, " ".join(["davor"] * (n % 29) + w[n : n + 26] + ["danach"] * 9)) for n, (_, w) in enumerate(words)], "doc_id long, text string")
+    alone = {tuple(r) for r in leakage.leaked(docs, items, look_up=False).collect()}
+    assert {(n, item) for n, (item, _) in enumerate(words)} <= alone
+    assert alone == {tuple(r) for r in leakage.leaked(docs, items).collect()}
+
+
+def test_shared_runs_against_a_plain_search():
+    rng = np.random.default_rng(7)
+    a = rng.integers(-2, 40, (400, leakage.WIDTH))
+    b = rng.integers(-1, 40, (400, leakage.WIDTH))
+    for n, (x, y) in enumerate(zip(a, b, strict=True)):
+        size, i, j = 11 + n % 4, n % 12, (n * 7) % 12
+        y[j : j + size] = x[i : i + size]
+    runs = lambda x: {tuple(w) for w in np.lib.stride_tricks.sliding_window_view(x, leakage.RUN).tolist() if min(w) >= 0}
+    want = [bool(runs(x) & runs(y)) for x, y in zip(a, b, strict=True)]
+    assert leakage._share_run(a, b).tolist() == want and 0 < sum(want) < 400
+
+
+def test_the_basis_has_the_singular_directions(spark, benchmark):
+    items, words = benchmark
+    vocabulary = {w: k for k, w in enumerate(sorted({x for _, ws in words for x in ws}))}
+    ids = [np.array([vocabulary[x] for x in ws]) for _, ws in words]
+    terms = np.unique(np.concatenate([leakage._codes(x, len(vocabulary)) for x in ids]))
+    idf = np.ones(len(terms))
+    basis = leakage.latent_basis(items, vocabulary, terms, idf, 6)
+    dense = []
+    for x in ids:
+        starts = list(leakage._starts(len(x)))
+        row, term, w = leakage._weights(leakage._lookup(leakage._codes(x, len(vocabulary)), terms), starts, idf)
+        part = np.zeros((len(starts), len(terms)))
+        part[row, term] = w
+        dense.append(part)
+    got, want = np.linalg.norm(np.concatenate(dense) @ basis, axis=0), np.linalg.svd(np.concatenate(dense), compute_uv=False)[:6]
+    assert (np.diff(got) <= 1e-3).all() and got == pytest.approx(want, rel=0.05)
