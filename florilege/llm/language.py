@@ -2,8 +2,9 @@
 
 For every language a suffix automaton is built over labelled text. A sentence is cut greedily into the longest
 phrases, across its words, that stand in the labelled text; the number of phrases times the logarithm of that text's length,
-per character, estimates the cross entropy, and the language that needs least wins. All sentences of a batch are
-parsed at once, a character at a time, against the automata of all languages.
+per character, estimates the cross entropy, and the language that needs least wins. Texts are cut into sentences and words
+as arrays of code points, and all sentences of a block of texts are parsed at once, a character at a time, against the
+automata of all languages.
 """
 
 from __future__ import annotations
@@ -11,12 +12,14 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from florilege.llm import codes
 from florilege.llm.common import spread
 from florilege.llm.maincontent import with_furniture
 
@@ -51,7 +54,11 @@ SEEDS = {
 }
 LETTERS = re.compile(r"[^\W\d_]+")
 ADDRESS = re.compile(r"\]\([^)\s]*\)|https?://\S+|www\.\S+|\S+@\S+\.\w+")
+#: The same where no @ stands.
+LINK = re.compile(r"\]\([^)\s]*\)|https?://\S+|www\.\S+")
 END = re.compile(r"[.!?;:]+[\"'”»)\]]*\s+|\n+")
+#: What ends a sentence before white space, and what may stand between.
+STOPS, CLOSING = codes.codes(".!?;:"), codes.codes("\"'”»)]")
 
 
 def automaton(text: str) -> dict[int, int]:
@@ -105,7 +112,8 @@ class Model:
     Its size is bounded by the learned text: at most two states for each of its characters, times its alphabet.
     """
 
-    STATE = (1 << 28) - 1
+    BITS, CODES = 29, 0x3000
+    STATE = (1 << BITS) - 1
 
     def __init__(self, texts: dict[str, str]) -> None:
         self.languages = tuple(sorted(texts))
@@ -113,61 +121,78 @@ class Model:
         moves = [automaton(f" {texts[x]} ") for x in self.languages]
         alphabet = sorted({c for x in self.languages for c in f" {texts[x]}"})
         self.width = len(alphabet) + 1
-        self.code = np.zeros(0x3000, np.uint8 if self.width < 256 else np.uint16)
+        self.code = np.zeros(self.CODES + 1, np.int32)  # the last stands for all characters beyond
         for k, c in enumerate(alphabet):
-            if ord(c) < len(self.code):
+            if ord(c) < self.CODES:
                 self.code[ord(c)] = k + 1
-        roots, tables, first = [], [], 0
+        roots, tables, first, unit = [], [], 0, 1 << self.BITS
         for m in moves:
             size = 1 + max((max(k >> 21, t) for k, t in m.items()), default=0)
             table = np.full((size, self.width), -1, np.int64)
             for k, t in m.items():
-                if (k & 0x1FFFFF) < len(self.code):
-                    table[k >> 21, self.code[k & 0x1FFFFF]] = t + first
+                if (k & 0x1FFFFF) < self.CODES:
+                    table[k >> 21, self.code[k & 0x1FFFFF]] = (t + first) * self.width
             table[:, 0] = -1
-            root = np.where(table[0] < 0, first + (1 << 28), table[0])  # an unknown character is a phrase
-            rest = np.where(table[1:] < 0, root + (1 << 28), table[1:])
+            root = np.where(table[0] < 0, first * self.width + unit, table[0])  # an unknown character is a phrase
+            rest = np.where(table[1:] < 0, root + unit, table[1:])
             tables += [root[None], rest]
-            roots.append(first)
+            roots.append(first * self.width)
             first += size
+        if first * self.width > self.STATE:
+            raise ValueError("the learned text has too many different characters")
         self.roots = np.array(roots, np.int32)
         self.table = np.concatenate(tables).astype(np.int32).ravel()
 
     def phrases(self, texts: list[str]) -> np.ndarray:
         """Phrases of every text in every language."""
-        data = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
-        codes = np.where(data < len(self.code), self.code[np.minimum(data, len(self.code) - 1)], 0).astype(np.int32)
-        size = np.array([len(t) for t in texts])
-        first = np.r_[0, np.cumsum(size)[:-1]]
+        size = np.array([len(t) for t in texts], np.int64)
+        return self._phrases(codes.codes("".join(texts)), np.cumsum(size) - size, size)
+
+    def _phrases(self, data: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Phrases of the pieces of ``data`` that begin at ``first``; states are kept as places in the table."""
+        char = self.code.take(data, mode="clip")
         order = np.argsort(-size, kind="stable")
         start, left = first[order], size[order]
-        n = len(texts)
+        n = len(size)
         state = np.broadcast_to(self.roots, (n, len(self.roots))).copy()
         count = np.zeros((n, len(self.roots)), np.int32)
-        for k in range(int(left[0]) if n else 0):
-            n = np.searchsorted(-left, -k, "left")  # texts longer than k
-            to = self.table.take(state[:n] * self.width + codes[start[:n] + k][:, None])
-            count[:n] += to >> 28
-            np.bitwise_and(to, self.STATE, out=state[:n])
+        longer = np.searchsorted(-left, -np.arange(int(left[0]) if n else 0), "left")  # texts longer than k
+        for k, n in enumerate(longer.tolist()):
+            now = state[:n]
+            now += char.take(start[:n] + k)[:, None]
+            to = self.table.take(now)
+            np.bitwise_and(to, self.STATE, out=now)
+            to >>= self.BITS
+            count[:n] += to
         out = np.empty_like(count)
         out[order] = count + (state != self.roots)
         return out
 
     def entropies(self, sentences: list[str]) -> np.ndarray:
         """Bits a character of every sentence, its words parted by single blanks, in every language."""
-        pieces, of = [], []
-        for k, s in enumerate(sentences):
-            while len(s) > PIECE_CHARS:
-                at = s.rfind(" ", 1, PIECE_CHARS)
-                at = at if at > 0 else PIECE_CHARS
-                pieces.append(s[:at])
-                of.append(k)
-                s = s[at:]
-            pieces.append(s)
-            of.append(k)
-        total = np.zeros((len(sentences), len(self.languages)))
-        np.add.at(total, of, self.phrases(pieces))
-        return total * self.bits / np.array([max(1, len(s) - 1) for s in sentences])[:, None]
+        size = np.array([len(s) for s in sentences], np.int64)
+        return self._entropies(codes.codes("".join(sentences)), np.cumsum(size) - size, size)
+
+    def _entropies(self, data: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+        at, of, n = first, np.arange(len(size)), size
+        long = np.flatnonzero(size > PIECE_CHARS)
+        if len(long):
+            more = []
+            n = size.copy()
+            for k in long.tolist():
+                begin, left = int(first[k]), int(size[k])
+                while left > PIECE_CHARS:
+                    blank = np.flatnonzero(data[begin + 1 : begin + PIECE_CHARS] == 32)
+                    cut = int(blank[-1]) + 1 if len(blank) else PIECE_CHARS
+                    more.append((k, begin, cut))
+                    begin, left = begin + cut, left - cut
+                more.append((k, begin, left))
+            short = np.flatnonzero(size <= PIECE_CHARS)
+            more = np.array(more, np.int64).reshape(-1, 3)
+            of, at, n = np.r_[short, more[:, 0]], np.r_[first[short], more[:, 1]], np.r_[size[short], more[:, 2]]
+        total = np.zeros((len(size), len(self.languages)))
+        np.add.at(total, of, self._phrases(data, at, n))
+        return total * self.bits / np.maximum(1, size - 1)[:, None]
 
 
 def sentences(text: str) -> list[tuple[int, int, int, str, int]]:
@@ -190,18 +215,84 @@ def sentences(text: str) -> list[tuple[int, int, int, str, int]]:
     return out
 
 
-def _choose(h: np.ndarray, n: list[int], window: int = 6) -> np.ndarray:
-    """Language of every sentence, -1 if unknown. Sentences of few words take the side of their neighbours."""
+class Parts(NamedTuple):
+    """Sentences of many texts: text, start, line, words and their number, as ``sentences`` has them.
+
+    The words of a sentence are ``size`` of the code points ``data``, from ``first``.
+    """
+
+    text: np.ndarray
+    start: np.ndarray
+    line: np.ndarray
+    n: np.ndarray
+    data: np.ndarray
+    first: np.ndarray
+    size: np.ndarray
+
+
+def split(texts: list[str]) -> Parts:
+    """The sentences of all texts at once."""
+    whole = "\0".join(texts)
+    low, kind, after = codes.read(whole)
+    length = np.array([len(t) for t in texts], np.int64) + 1
+    begin = np.cumsum(length) - length  # of the texts
+    lines = np.flatnonzero(low == 10)
+    # A run of white space parts sentences at its end if a stop stands before it, else after its last line break.
+    turn = np.diff((kind & codes.SPACE).astype(np.int8), prepend=0, append=0)
+    starts, ends = np.flatnonzero(turn > 0), np.flatnonzero(turn < 0)
+    before, last = starts - 1, lines[np.searchsorted(lines, ends) - 1] if len(lines) else np.full(len(ends), -1)
+    while True:
+        quoted = np.flatnonzero((before >= 0) & np.isin(low[before], CLOSING)) if len(before) else before
+        if not len(quoted):
+            break
+        before[quoted] -= 1
+    stop = (before >= 0) & np.isin(low[before], STOPS) if len(before) else np.zeros(0, bool)
+    bounds = np.unique(np.r_[begin, ends[stop], last[~stop & (last >= starts) & (last < ends)] + 1])
+    part_of = lambda at: np.searchsorted(bounds, at, "right") - 1
+    letter = (kind & codes.LETTER) > 0
+    if "/" in whole or "@" in whole:
+        mail = low == 64
+        odd, mailed = np.unique(part_of(np.flatnonzero(mail | (low == 47)))), set(part_of(np.flatnonzero(mail)).tolist())
+        upto = np.r_[bounds[1:], len(low)]
+        spans = [(int(bounds[k]), m) for k in odd.tolist() for m in (ADDRESS if k in mailed else LINK).finditer(whole[bounds[k] : upto[k]])]
+        spans = [(a + m.start(), a + m.end()) for a, m in spans]
+        for a, b in spans:
+            letter[a:b] = False
+        if "Σ" in whole and spans:  # a word ends before an address
+            low = codes.read("".join(whole[a:b] + " " * (c - b) for a, b, c in zip([0, *(b for _, b in spans)], [*(a for a, _ in spans), len(whole)], [*(b for _, b in spans), len(whole)], strict=True)))[0]
+    at = np.flatnonzero(letter)
+    new = codes.starts(letter, after)[at]
+    words = np.flatnonzero(new)
+    own = part_of(at[words])  # part of every word
+    head = np.flatnonzero(np.diff(own, prepend=-1))  # first word of every part that has any
+    part = own[head]
+    n = np.diff(head, append=len(words))
+    index = np.zeros(len(at), np.int32)
+    index[words[head[1:]]] = 1
+    # Before every word and after a part's last one there is a blank.
+    place = np.arange(len(at)) + np.cumsum(new) + np.cumsum(index)
+    data = np.full(len(at) + len(words) + len(part), 32, np.uint32)
+    data[place] = low[at]
+    first = place[words[head]] - 1
+    text = np.searchsorted(begin, bounds[part], "right") - 1
+    line = np.searchsorted(lines, bounds[part]) - np.searchsorted(lines, begin[text])
+    return Parts(text, bounds[part] - begin[text], line, n, data, first, np.diff(first, append=len(data)))
+
+
+def _choose(h: np.ndarray, n: np.ndarray, text: np.ndarray, window: int = 6) -> np.ndarray:
+    """Language of every sentence, -1 if unknown. Sentences of few words take the side of their neighbours in their text."""
     best = h.argmin(axis=1)
     two = np.partition(h, 1, axis=1)[:, :2] if h.shape[1] > 1 else np.c_[h, h + 1]
     best = np.where(two[:, 0] > MAX_ENTROPY, -1, best)
-    unsure = (np.array(n) < window) & ((two[:, 1] - two[:, 0]) < 0.25 * two[:, 1])
-    sure = np.flatnonzero(~unsure & (best >= 0))
-    if len(sure):
-        for k in np.flatnonzero(unsure):
-            near = sure[np.argmin(np.abs(sure - k))]
-            if best[k] >= 0:
-                best[k] = best[near]
+    unsure = (n < window) & ((two[:, 1] - two[:, 0]) < 0.25 * two[:, 1])
+    sure, ask = np.flatnonzero(~unsure & (best >= 0)), np.flatnonzero(unsure & (best >= 0))
+    if len(sure) and len(ask):
+        at = np.searchsorted(sure, ask)
+        before, behind = sure[np.maximum(at - 1, 0)], sure[np.minimum(at, len(sure) - 1)]
+        far = len(n) + 1
+        back = np.where((at > 0) & (text[before] == text[ask]), ask - before, far)
+        on = np.where((at < len(sure)) & (text[behind] == text[ask]), behind - ask, far)
+        best[ask] = np.where(np.minimum(back, on) == far, best[ask], best[np.where(back <= on, before, behind)])
     return best
 
 
@@ -210,69 +301,86 @@ def page_language(text: str, m: Model, gone: list[int] | None = None) -> tuple[s
 
     Headings and the lines ``gone`` (page furniture) are left aside where they might add a language to the page.
     """
-    parts = sentences(text)
-    if not parts:
-        return "und", 0.0, 0, {}
-    return _page(text, parts, m.entropies([p[3] for p in parts]), m, frozenset(gone or ()))
-
-
-def _page(text: str, parts: list, h: np.ndarray, m: Model, gone: frozenset[int]) -> tuple[str, float, int, dict[str, int]]:
-    n = [p[4] for p in parts]
-    pieces = len(text.split())
-    best = _choose(h, n)
-    known = sum(k for k, b in zip(n, best, strict=True) if b >= 0)
-    if len(set(best[best >= 0].tolist())) > 1 or 2 * known < pieces:
-        body = [k not in gone and not x.lstrip().startswith("#") for k, x in enumerate(text.split("\n"))]
-        pieces = sum(len(x.split()) for x, b in zip(text.split("\n"), body, strict=True) if b)
-        index = np.flatnonzero([body[p[2]] for p in parts])
-        if len(index):
-            h, n = h[index], [n[k] for k in index]
-            best = _choose(h, n)
-        elif pieces:
-            return "und", 0.0, int(sum(n)), {}
-    n = np.array(n)
-    by = {m.languages[k]: int(n[best == k].sum()) for k in set(best[best >= 0].tolist())}
-    total = sum(by.values())
-    if not total or total < KNOWN_SHARE * max(pieces, int(n.sum())):
-        return "und", 0.0, int(n.sum()), by
-    order = sorted(by, key=lambda x: (-by[x], x))
-    first = m.languages.index(order[0])
-    own = best == first
-    mean = np.average(h[own], axis=0, weights=n[own])
-    others = np.delete(mean, first)
-    sure = 1 - mean[first] / others.min() if len(others) else 1.0
-    confidence = float(np.clip(sure * 2, 0, 1) * by[order[0]] / total)
-    if len(order) > 1 and by[order[1]] >= MIXED_SHARE * total:
-        return "mixed", float(np.clip(sure * 2, 0, 1) * (by[order[0]] + by[order[1]]) / total), int(n.sum()), by
-    return order[0], confidence, int(n.sum()), by
+    language, confidence, _, words, by = _judged([text], [gone or []], m)
+    return language[0], float(confidence[0]), int(words[0]), {m.languages[k]: int(by[0, k]) for k in np.flatnonzero(by[0])}
+
+
+def _judged(texts: list[str], gone: list[list[int]], m: Model) -> tuple[list[str], np.ndarray, list[int], np.ndarray, np.ndarray]:
+    """(language, confidence, words between white space, words of its sentences, words by language) of every text."""
+    parts = split(texts)
+    text, n, h = parts.text, parts.n, m._entropies(parts.data, parts.first, parts.size)
+    k, total = len(texts), len(m.languages)
+    best = _choose(h, n, text)
+
+    def counts() -> np.ndarray:
+        at = np.flatnonzero(best >= 0)
+        return np.bincount(text[at] * total + best[at], n[at], k * total).astype(np.int64).reshape(k, total)
+
+    every, by = [len(x.split()) for x in texts], counts()
+    pieces = np.array(every, np.int64)
+    mixed = ((by > 0).sum(axis=1) > 1) | (2 * by.sum(axis=1) < pieces)
+    mixed &= np.bincount(text, minlength=k) > 0
+    kept, none = np.ones(len(n), bool), np.zeros(k, bool)
+    bounds = np.searchsorted(text, np.arange(k + 1)).tolist()
+    for i in np.flatnonzero(mixed).tolist():
+        lines, aside = texts[i].split("\n"), set(gone[i])
+        body = [j not in aside and not x.lstrip().startswith("#") for j, x in enumerate(lines)]
+        pieces[i] = sum(len(x.split()) for x, b in zip(lines, body, strict=True) if b)
+        own = slice(bounds[i], bounds[i + 1])
+        stay = np.array(body)[parts.line[own]]
+        if stay.any():
+            kept[own] = stay
+        else:
+            none[i] = pieces[i] > 0
+    if not kept.all():
+        text, n, h = text[kept], n[kept], h[kept]
+        best = _choose(h, n, text)
+        by = counts()
+    by[none] = 0
+    words = np.bincount(text, n, k).astype(np.int64)
+    all_ = by.sum(axis=1)
+    first = by.argmax(axis=1)
+    und = (all_ == 0) | (all_ < KNOWN_SHARE * np.maximum(pieces, words))
+    own = np.flatnonzero(best == first[text])
+    mean = np.stack([np.bincount(text[own], h[own, j] * n[own], k) for j in range(total)], axis=1) / np.maximum(1, np.bincount(text[own], n[own], k))[:, None]
+    rows = np.arange(k)
+    most = by[rows, first]
+    least, rest = mean[rows, first].copy(), by.copy()
+    mean[rows, first] = np.inf
+    rest[rows, first] = -1
+    with np.errstate(divide="ignore", invalid="ignore"):
+        sure = np.clip(2 * (1 - least / mean.min(axis=1)) if total > 1 else np.full(k, 2.0), 0, 1)
+        second = rest.max(axis=1)
+        two = (second > 0) & (second >= MIXED_SHARE * all_)
+        confidence = np.where(und, 0.0, sure * np.where(two, most + second, most) / all_)
+    language = ["und" if u else "mixed" if t else m.languages[f] for u, t, f in zip(und.tolist(), two.tolist(), first.tolist(), strict=True)]
+    return language, confidence, every, words, by
 
 
 def segments(text: str, m: Model) -> list[tuple[int, int, str, float]]:
     """(start, end, language, confidence) of the stretches of a text in one language; they cover it without gap."""
-    parts = sentences(text)
-    if not parts:
-        return [(0, len(text), "und", 0.0)] if text else []
-    return _segments(text, parts, m.entropies([p[3] for p in parts]), m)
-
-
-def _segments(text: str, parts: list, h: np.ndarray, m: Model) -> list[tuple[int, int, str, float]]:
-    n = [p[4] for p in parts]
-    best = _choose(h, n)
-    out = []
-    for k in range(len(parts)):
-        if k and best[k] == best[k - 1]:
-            out[-1].append(k)
-        else:
-            out.append([k])
-    rows = []
-    for x, group in enumerate(out):
-        start = 0 if x == 0 else parts[group[0]][0]
-        end = parts[out[x + 1][0]][0] if x + 1 < len(out) else len(text)
-        code = best[group[0]]
-        mean = np.average(h[group], axis=0, weights=[n[k] for k in group])
-        sure = 0.0 if code < 0 else float(np.clip(2 * (1 - mean[code] / np.delete(mean, code).min()), 0, 1))
-        rows.append((start, end, "und" if code < 0 else m.languages[code], round(sure, 4)))
-    return rows
+    return _segmented([text], m)[0]
+
+
+def _segmented(texts: list[str], m: Model) -> list[list[tuple[int, int, str, float]]]:
+    """The stretches of every text."""
+    parts = split(texts)
+    h = m._entropies(parts.data, parts.first, parts.size)
+    best = _choose(h, parts.n, parts.text)
+    out, bounds, starts = [], np.searchsorted(parts.text, np.arange(len(texts) + 1)).tolist(), parts.start.tolist()
+    for text, a, b in zip(texts, bounds[:-1], bounds[1:], strict=True):
+        if a == b:
+            out.append([(0, len(text), "und", 0.0)] if text else [])
+            continue
+        groups = [a, *(np.flatnonzero(np.diff(best[a:b])) + a + 1).tolist(), b]
+        rows = []
+        for i, j in zip(groups, groups[1:], strict=False):
+            code = best[i]
+            mean = np.average(h[i:j], axis=0, weights=parts.n[i:j])
+            sure = 0.0 if code < 0 else float(np.clip(2 * (1 - mean[code] / np.delete(mean, code).min()), 0, 1))
+            rows.append((0 if i == a else starts[i], len(text) if j == b else starts[j], "und" if code < 0 else m.languages[code], round(sure, 4)))
+        out.append(rows)
+    return out
 
 
 def label_code(label: Column) -> Column:
@@ -331,31 +439,16 @@ def page_languages(bodies: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             files, texts, gone = (batch.column(k).to_pylist() for k in range(3))
-            for at in range(0, len(files), 500):
-                part = slice(at, at + 500)
+            for part in codes.blocks(texts):
                 out = _pages(texts[part], gone[part], shared.value)
                 yield pa.RecordBatch.from_arrays([pa.array(files[part], pa.string()), *(pa.array(x) for x in zip(*out, strict=True))], names=["file", "language", "confidence", "words"])
 
-    rows = with_furniture(bodies.where("file IS NOT NULL"), ["file"])
-    return rows.mapInArrow(run, "file string, language string, confidence double, words long").distinct()
-
-
-def _parsed(texts: list[str], m: Model) -> Iterator[tuple[list, np.ndarray]]:
-    """(sentences, entropies) of every text, all parsed at once."""
-    parts = [sentences(t) for t in texts]
-    flat = [p[3] for ps in parts for p in ps]
-    h, at = m.entropies(flat) if flat else np.zeros((0, len(m.languages))), 0
-    for ps in parts:
-        yield ps, h[at : at + len(ps)]
-        at += len(ps)
+    return with_furniture(bodies.where("file IS NOT NULL"), ["file"], then=(run, "file string, language string, confidence double, words long")).distinct()
 
 
 def _pages(texts: list[str], gone: list[list[int]], m: Model) -> list[tuple[str, float, int]]:
-    out = []
-    for text, aside, (parts, h) in zip(texts, gone, _parsed(texts, m), strict=True):
-        language, confidence = _page(text, parts, h, m, frozenset(aside))[:2] if parts else ("und", 0.0)
-        out.append((language, round(confidence, 4), len(text.split())))
-    return out
+    language, confidence, words = _judged(texts, gone, m)[:3]
+    return [(x, round(c, 4), n) for x, c, n in zip(language, confidence.tolist(), words, strict=True)]
 
 
 def wrong_labels(labels: DataFrame, bodies: DataFrame) -> DataFrame:
@@ -376,12 +469,9 @@ def text_segments(chunks: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for at in range(0, len(ids), 1000):
-                part = slice(at, at + 1000)
-                rows = []
-                for i, text, (parts, h) in zip(ids[part], texts[part], _parsed(texts[part], shared.value), strict=True):
-                    found = _segments(text, parts, h, shared.value) if parts else [(0, len(text), "und", 0.0)] if text else []
-                    rows += [(i, k, *s) for k, s in enumerate(found)]
+            for part in codes.blocks(texts):
+                found = zip(ids[part], _segmented(texts[part], shared.value), strict=True)
+                rows = [(i, k, *s) for i, stretches in found for k, s in enumerate(stretches)]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["id", "segment", "start", "end", "language", "confidence"])
 

@@ -15,7 +15,8 @@ of its chunks that recur but for a number that is another each time.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from florilege.llm import codes
 from florilege.llm.common import cut, host_of, spread
 
 #: Pages, and share of the host's pages, on which a subtree must recur.
@@ -44,6 +46,8 @@ WORDS = re.compile(r"\w[\w\s]*")
 LEFT, RIGHT = " \t\r\xa0*_>+•–-", " \t\r\xa0*_"
 #: Most slot hashes of a line: the 1 to 3 pieces that open it, the 2 or 3 that close it, and its delimiters.
 SLOTS = 6
+#: Lines whose slot hashes a task remembers at a time, and the longest of them.
+REMEMBERED, SHORT = 50_000, 300
 
 
 def _hash(*parts: str) -> int:
@@ -76,25 +80,27 @@ def slot_keys(line: str, shape: bool = True) -> list[str]:
     return out
 
 
-def subtrees(lines: list[str]) -> tuple[list[int], list[int], list[tuple[int, int, str]]]:
+def subtrees(lines: list[str], keys: list[str], plain: list[str] | None) -> tuple[list[int], list[int], list[tuple[int, int, str]]]:
     """(line numbers, what, subtrees) of a text's filled lines: ``what`` is 1 for a heading, 2 for a row, else 0.
 
-    A subtree is its first and last filled line and its key.
+    ``keys`` are the line keys, ``plain`` those with digits as they are, None for a text without headings and rows. A
+    subtree is its first and last filled line and its key.
     """
     no, what, heads, out = [], [], [], []
-    for k, line in enumerate(lines):
-        if not line or line.isspace():
+    for k, key in enumerate(keys):
+        if not key and (not (line := lines[k]) or line.isspace()):
             continue
-        w = kind(line)
+        w = kind(lines[k]) if plain else 0
         if w == 0:
-            key = line_key(line)
             if NAME.search(key):
                 out.append((len(no), len(no), key))
         elif w == 1:
-            heads.append((len(no), len(HEADING.match(line).group(1))))
+            heads.append((len(no), len(HEADING.match(lines[k]).group(1))))
         no.append(k)
         what.append(w)
-    inner = lambda i, j: "\n".join(OTHER.sub(" ", lines[k].lower()).strip() for k in no[i:j])
+    if not plain:
+        return no, what, out
+    inner = lambda i, j: "\n".join([plain[k] for k in no[i:j]])
     open_ = []
     for i, level in [*heads, (len(no), 0)]:
         while open_ and open_[-1][1] >= level:
@@ -102,7 +108,7 @@ def subtrees(lines: list[str]) -> tuple[list[int], list[int], list[tuple[int, in
             if i - j > 1:
                 out.append((j, i - 1, "# " + inner(j, i)))
         open_.append((i, level))
-    i = 0
+    i = what.index(2) if 2 in what else len(no)
     while i < len(no):
         j = i
         while j < len(no) and what[j] == 2:
@@ -122,20 +128,26 @@ def kind(line: str) -> int:
 def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     ints, longs = pa.list_(pa.int32()), pa.list_(pa.int64())
     for whole in batches:
-        for at in range(0, whole.num_rows, 2000):
-            batch = whole.slice(at, 2000)
+        every = whole.column("text").to_pylist()
+        for part in codes.blocks(every):
+            batch, texts = whole.slice(part.start, part.stop - part.start), every[part]
             cols: list[list] = [[] for _ in range(4)]
-            for text, host, page in zip(*(batch.column(c).to_pylist() for c in ("text", "host", "page")), strict=True):
+            keys = codes.line_keys("\n".join(texts))
+            marked = ["#" in t or "|" in t for t in texts]
+            plain = codes.line_keys("\n".join(t for t, x in zip(texts, marked, strict=True) if x), digits=False)
+            at = plain_at = 0
+            for text, host, page, x in zip(texts, *(batch.column(c).to_pylist() for c in ("host", "page")), marked, strict=True):
                 lines = text.split("\n")
-                no, what, trees = subtrees(lines)
+                own = keys[at : (at := at + len(lines))]
+                no, what, trees = subtrees(lines, own, plain[plain_at : (plain_at := plain_at + len(lines))] if x else None)
                 running = []
                 for i in dict.fromkeys((0, len(no) - 1)) if no else ():
-                    if what[i] == 0 and (n := DIGITS.findall(lines[no[i]])) and len(NAME.findall(key := line_key(lines[no[i]]))) >= RUNNING_WORDS:
+                    if what[i] == 0 and (n := DIGITS.findall(lines[no[i]])) and len(NAME.findall(key := own[no[i]])) >= RUNNING_WORDS:
                         running += (i, _hash(str(page), key), _hash(*n))
                 head = f"{host}\n"
                 row = ([xxhash.xxh64_intdigest(head + t[2]) - (1 << 63) for t in trees], [t[0] for t in trees], [t[1] for t in trees], running)
-                for c, x in zip(cols, row, strict=True):
-                    c.append(x)
+                for c, v in zip(cols, row, strict=True):
+                    c.append(v)
             kept = batch.drop_columns(["text"])
             kinds = (longs, ints, ints, longs)
             yield pa.RecordBatch.from_arrays([*kept.columns, *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=[*kept.schema.names, "eh", "ef", "et", "running"])
@@ -191,35 +203,59 @@ def edges(flag: list[bool]) -> tuple[int, int]:
     return a, b
 
 
+class Among:
+    """A sorted array of hashes that is asked for single ones; most that aren't in it are told by a table of their last bits."""
+
+    def __init__(self, known: np.ndarray) -> None:
+        self.known, self.mask = known, (1 << max(12, int(len(known)).bit_length() + 3)) - 1
+        there = np.zeros(self.mask + 1, bool)
+        there[known & self.mask] = True
+        self.there = there.tobytes()
+
+    def __len__(self) -> int:
+        return len(self.known)
+
+    def any(self, keys: tuple[int, ...]) -> bool:
+        for k in keys:
+            if self.there[k & self.mask] and self.known[min(int(np.searchsorted(self.known, k)), len(self.known) - 1)] == k:
+                return True
+        return False
+
+
+def _slots(site: str, line: str) -> tuple[int, ...]:
+    return tuple([_hash(site, x) for x in slot_keys(line)])
+
+
+_slots_again = lru_cache(maxsize=REMEMBERED)(_slots)
+
+
 class Page:
     """A text's filled lines with flags; slot hashes are made only of the lines that are asked for."""
 
-    def __init__(self, text: str, site: str, exact: list[int] | None, known: np.ndarray) -> None:
+    def __init__(self, text: str, site: str, exact: list[int] | None, known: Among) -> None:
         self.lines = text.split("\n")
         self.no = [k for k, x in enumerate(self.lines) if x and not x.isspace()]
-        self.site, n = site, len(self.no)
+        self.site, self.marks, n = site, ("#" in text, "|" in text), len(self.no)
         self.flag = [False] * n
         for i in exact or ():
             self.flag[i] = True
         a, b = edges(self.flag)
         if len(known):
             # Slot lines are flagged as far as they are joined to an edge.
-            while a < b and (self.flag[a] or self.has(a, known)):
+            while a < b and (self.flag[a] or known.any(self.slots(a))):
                 self.flag[a] = True
                 a += 1
-            while b > a and (self.flag[b - 1] or self.has(b - 1, known)):
+            while b > a and (self.flag[b - 1] or known.any(self.slots(b - 1))):
                 self.flag[b - 1] = True
                 b -= 1
         self.a, self.b = a, b
 
     def what(self, i: int) -> int:
-        return kind(self.lines[self.no[i]])
-
-    def slots(self, i: int) -> list[int]:
-        return [] if self.what(i) else [_hash(self.site, x) for x in slot_keys(self.lines[self.no[i]])]
+        return kind(self.lines[self.no[i]]) if any(self.marks) else 0
 
-    def has(self, i: int, known: np.ndarray) -> bool:
-        return bool(_member(np.array(self.slots(i), np.int64), known).any())
+    def slots(self, i: int) -> tuple[int, ...]:
+        line = self.lines[self.no[i]]
+        return () if self.what(i) else _slots_again(self.site, line) if len(line) <= SHORT else _slots(self.site, line)
 
     def outside(self) -> dict[int, bool]:
         """Whether it stands outside of the content, for the lines at an edge and those just beyond flagged lines.
@@ -231,7 +267,7 @@ class Page:
         found = {i: False for i in ((a, b - 1) if a < b else ())}
         if not any(flag):
             return found
-        heads = [i for i in range(n) if not flag[i] and self.what(i) == 1]
+        heads = [i for i in range(n) if not flag[i] and self.what(i) == 1] if self.marks[0] else []
         first, last = (heads[0], heads[-1]) if heads else (n, -1)
         inner = n  # the nearest line further down that isn't flagged
         for i in range(n - 1, -1, -1):
@@ -248,15 +284,16 @@ class Page:
         return found
 
 
-def _texts(batch: pa.RecordBatch, known: np.ndarray) -> Iterator[Page]:
+def _texts(batch: pa.RecordBatch, known: Among) -> Iterator[Page]:
     for text, site, exact in zip(*(batch.column(c).to_pylist() for c in ("text", "site", "exact")), strict=True):
         yield Page(text, site, exact, known)
 
 
 def _evidence(batches: Iterator[pa.RecordBatch], known: np.ndarray) -> Iterator[pa.RecordBatch]:
+    among = Among(known)
     for batch in batches:
         keys, pages, out = [], [], []
-        for page, text in zip(batch.column("page").to_pylist(), _texts(batch, known), strict=True):
+        for page, text in zip(batch.column("page").to_pylist(), _texts(batch, among), strict=True):
             for i, x in text.outside().items():
                 ks = text.slots(i)
                 keys += ks
@@ -267,8 +304,9 @@ def _evidence(batches: Iterator[pa.RecordBatch], known: np.ndarray) -> Iterator[
 
 
 def _marked(batches: Iterator[pa.RecordBatch], known: np.ndarray) -> Iterator[pa.RecordBatch]:
+    among = Among(known)
     for batch in batches:
-        gone = [[n for n, f in zip(text.no, text.flag, strict=True) if f] for text in _texts(batch, known)]
+        gone = [[n for n, f in zip(text.no, text.flag, strict=True) if f] for text in _texts(batch, among)]
         kept = batch.drop_columns(["site", "page", "exact"])
         yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(gone, pa.list_(pa.int32()))], names=[*kept.schema.names, "gone"])
 
@@ -282,11 +320,12 @@ def slot_hashes(rows: DataFrame, known: np.ndarray, pages: int, share: float) ->
     return counts.where((F.col("out") >= pages) & (F.col("out") >= F.col("n") * share)).select("key")
 
 
-def with_furniture(df: DataFrame, keep: list[str], exact_pages: int = EXACT_PAGES, exact_share: float = EXACT_SHARE, rounds: int = ROUNDS) -> DataFrame:
+def with_furniture(df: DataFrame, keep: list[str], exact_pages: int = EXACT_PAGES, exact_share: float = EXACT_SHARE, rounds: int = ROUNDS, then: tuple[Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], str] | None = None) -> DataFrame:
     """(keep.., text, gone): the rows of ``df`` (source_url, text) that have text, with the numbers of their furniture lines.
 
     Rows without host are one host; repeated rows are repeated. The slot hashes learned are broadcast, at most BLOCK of
-    them; if there are more, the operator raises an error rather than dropping some.
+    them; if there are more, the operator raises an error rather than dropping some. With ``then``, a function of the batches and the
+    schema of what it yields, that is returned, made in the same pass.
     """
     host = F.coalesce(host_of(F.col("source_url")), F.lit(""))
     rows = df.where("text IS NOT NULL").select(*keep, host.alias("host"), site_of(host).alias("site"), F.xxhash64("source_url").alias("page"), F.xxhash64("source_url", "text").alias("ta"), F.xxhash64("text", F.lit(1), "source_url").alias("tb"), "text")
@@ -304,6 +343,8 @@ def with_furniture(df: DataFrame, keep: list[str], exact_pages: int = EXACT_PAGE
             break
         known = np.union1d(known, more)
     shared = df.sparkSession.sparkContext.broadcast(known)
+    if then:
+        return rows.select(*keep, "site", "page", "text", "exact").mapInArrow(lambda b: then[0](_marked(b, shared.value)), then[1])
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keep).schema)
     return rows.mapInArrow(lambda b: _marked(b, shared.value), f"{schema}{', ' if keep else ''}text string, gone array<int>")
 
