@@ -65,26 +65,60 @@ def starts(word: np.ndarray, after: np.ndarray) -> np.ndarray:
     return first
 
 
+def _spaced(data: np.ndarray, blank: np.ndarray) -> np.ndarray:
+    """``data`` with a blank before the words that begin where flagged and don't open a line."""
+    blank[:1] = False
+    blank[1:] &= data[:-1] != 10
+    out = np.full(len(data) + np.count_nonzero(blank), 32, np.uint32)
+    place = np.cumsum(blank, dtype=np.int32)
+    place += np.arange(len(data), dtype=np.int32)
+    out[place] = data
+    return out
+
+
 def line_keys(text: str, digits: bool = True) -> list[str]:
     """Letters and digits of every line in lower case, anything else as one blank; digit runs as 0 if asked for."""
-    low, kind, after = read(text)
+    return _keys(*read(text), digits)
+
+
+def keys_and_words(text: str) -> tuple[list[str], list[str]]:
+    """``line_keys`` and ``line_words``."""
+    all_ = read(text)
+    return _keys(*all_, True), _words(*all_)
+
+
+def _keys(low: np.ndarray, kind: np.ndarray, after: np.ndarray, digits: bool) -> list[str]:
     word, line = (kind & WORD) > 0, low == 10
     first = starts(word, after)
     kept = word | line
     if digits:
         digit = (kind & DIGIT) > 0
-        low[digit] = 48
+        low = np.where(digit, np.uint32(48), low)
         kept[1:] &= ~(digit[1:] & digit[:-1])
     at = np.flatnonzero(kept)
-    low, blank = low[at], first[at]
-    blank[:1] = False
-    blank[1:] &= low[:-1] != 10
-    # Blanks go in before the words that don't open a line.
-    out = np.full(len(at) + np.count_nonzero(blank), 32, np.uint32)
-    place = np.cumsum(blank, dtype=np.int32)
-    place += np.arange(len(at), dtype=np.int32)
-    out[place] = low
-    return string(out).split("\n")
+    return string(_spaced(low[at], first[at])).split("\n")
+
+
+def line_words(text: str) -> list[str]:
+    """Runs of letters of every line in lower case, parted by single blanks."""
+    return _words(*read(text))
+
+
+def _words(low: np.ndarray, kind: np.ndarray, after: np.ndarray) -> list[str]:
+    letter = (kind & LETTER) > 0
+    first = starts(letter, after)
+    at = np.flatnonzero(letter | (low == 10))
+    return string(_spaced(low[at], first[at])).split("\n")
+
+
+def line_parts(text: str) -> tuple[list[str], list[int], list[int]]:
+    """``line_words``, and how many pieces between white space and how many symbols are in every line; _ is none."""
+    low, kind, after = read(text)
+    ends = np.r_[np.flatnonzero(low == 10), len(low)]
+    space = (kind & SPACE) > 0
+    piece, symbol = starts(~space, after[:0]), ((kind & (SPACE | WORD)) == 0) & (low != 95)
+    counts = [np.diff(np.searchsorted(np.flatnonzero(x), ends), prepend=0).tolist() for x in (piece, symbol)]
+    return _words(low, kind, after), *counts
 
 
 def blocks(texts: list[str], chars: int = BLOCK_CHARS) -> Iterator[slice]:

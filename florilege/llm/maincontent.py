@@ -62,24 +62,35 @@ def line_key(line: str) -> str:
 def slot_keys(line: str, shape: bool = True) -> list[str]:
     """The line with its slots left out, at most SLOTS strings, none where too little is left to tell it by."""
     one = line.lstrip(LEFT).rstrip(RIGHT)
-    first, last = one.split(None, 3), one.rsplit(None, 3)
-    n, out = len(first), []
-    if n > 1:
-        opening = DIGITS.sub("0", " ".join(first[:3]).lower()).split(" ")
-        closing = opening if n <= 3 else DIGITS.sub("0", " ".join(last[-3:]).lower()).split(" ")
-        if not opening[0][-1].isalnum() and NAME.search(opening[0]):
-            out.append(f"1 {opening[0]}")
-        for k in (2, 3):
-            if n > k:
-                if NAME.search(x := " ".join(opening[:k])):
-                    out.append(f"{k} {x}")
-                if NAME.search(x := " ".join(closing[-k:])):
-                    out.append(f"-{k} {x}")
+    out = ends_of(DIGITS.sub("0", one.lower()))
     if shape and one and not (one[0].isalnum() and (one[-1].isalnum() or one[-1] in ".!?:;")) and NAME.search(one):
         out.append(f"* {WORDS.sub('*', one)}")
     return out
 
 
+def ends_of(one: str) -> list[str]:
+    """What opens and what closes a line that is stripped, in lower case and has digit runs as 0."""
+    first = one.split(None, 3)
+    n, out = len(first), []
+    if n > 1:
+        a, b = first[:2]
+        if not a[-1].isalnum() and NAME.search(a):
+            out.append(f"1 {a}")
+        if n > 2:
+            x, y, z = (one.rsplit(None, 3) if n > 3 else first)[-3:]
+            two, end = NAME.search(a) or NAME.search(b), NAME.search(y) or NAME.search(z)
+            if two:
+                out.append(f"2 {a} {b}")
+            if end:
+                out.append(f"-2 {y} {z}")
+            if n > 3:
+                if two or NAME.search(first[2]):
+                    out.append(f"3 {a} {b} {first[2]}")
+                if end or NAME.search(x):
+                    out.append(f"-3 {x} {y} {z}")
+    return out
+
+
 def subtrees(lines: list[str], keys: list[str], plain: list[str] | None) -> tuple[list[int], list[int], list[tuple[int, int, str]]]:
     """(line numbers, what, subtrees) of a text's filled lines: ``what`` is 1 for a heading, 2 for a row, else 0.
 

@@ -16,13 +16,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from florilege.llm import codes
 from florilege.llm.common import cut
-from florilege.llm.maincontent import BLOCK, NAME, _member, line_key, slot_keys, with_furniture
+from florilege.llm.maincontent import BLOCK, DIGITS, LEFT, NAME, RIGHT, _member, ends_of, line_key, with_furniture
 
 _NAME = r"[\p{L}][\p{L}\p{N}_.\-]*"
 # The syntax of slots in common template languages and forms.
@@ -35,8 +37,8 @@ SLOT = "|".join((
 ))
 #: A slot left blank after its label.
 BLANK = r"^[\p{L}][\p{L} ]{1,40}: ?(?:_{3,}|\.{4,}|…{2,})$"
-#: One of these characters stands in whatever SLOT matches, and one of those at the end of what BLANK matches.
-SIGNS, ENDS = re.compile(r"[{\[@#%_&<«]"), ("___", "....", "……")
+#: One of these stands in whatever SLOT matches, of these characters too, and one of those at the end of what BLANK matches.
+SIGNS, SIGN, ENDS = re.compile(r"\{[{$%]|[$#]\{|\[[^\d\]]|@@|###|%[^\d\s]|__|&lt;|<[^\d/>]|«", re.IGNORECASE), re.compile(r"[{\[@#%_&<«]"), ("___", "....", "……")
 #: The best-known words of filler text.
 SEEDS = frozenset("lorem ipsum dolor sit amet consectetur adipiscing elit sed eiusmod tempor incididunt labore dolore magna aliqua".split())
 #: The two that stand in no other text.
@@ -53,7 +55,8 @@ EVIDENCE = 8.0
 BODY_LINES = 3
 # Beginnings of the reasons by which an earlier run noted short and faulty pages.
 NOTES = r"^(?:fehlerseitenmuster|zu_wenig_text|viele_bildplatzhalter)"
-WORD = re.compile(r"[^\W\d_]{3,}")
+#: Least letters of a word.
+WORD_LETTERS = 3
 CODE = re.compile(r"`[^`]*`")
 HASH = re.compile(r"^\s*#+\s+")
 
@@ -63,16 +66,20 @@ _SLOT, _BLANK = regex.compile(f"(?i:{SLOT})"), regex.compile(BLANK)
 
 def template_keys(line: str) -> list[int]:
     """Hashes of a line as a record: with the slot after its opening or before its ending left out, and whole if it's short."""
-    one = HASH.sub("", line) if "#" in line else line
-    keys = slot_keys(one, shape=False)
-    if len(keys) < 4 and NAME.search(whole := line_key(one)):
+    return _record_keys(DIGITS.sub("0", line.lower()), line_key(line))
+
+
+def _record_keys(low: str, whole: str) -> list[int]:
+    """The same of a line in lower case that has digit runs as 0, and its line key."""
+    keys = ends_of((HASH.sub("", low) if "#" in low else low).lstrip(LEFT).rstrip(RIGHT))
+    if len(keys) < 4 and NAME.search(whole):
         keys.append(f"= {whole}")
     return [xxhash.xxh64_intdigest(k) - (1 << 63) for k in keys]
 
 
 def syntax_of(line: str) -> str | None:
     """field or blank for a line with a slot that holds a variable's name or nothing, else None."""
-    if SIGNS.search(line) and _SLOT.search(CODE.sub("`", " ".join(line.split()))):
+    if SIGN.search(line) and SIGNS.search(line) and _SLOT.search(CODE.sub("`", " ".join(line.split()))):
         return "field"
     if line.rstrip().endswith(ENDS) and _BLANK.search(HASH.sub("", " ".join(line.split()))):
         return "blank"
@@ -102,6 +109,16 @@ def _noted(batches: Iterator[pa.RecordBatch], noted: np.ndarray | None) -> Itera
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(pages, pa.int64())], names=["key", "page"])
 
 
+def _lowered(texts: list[str], gone: list[list[int]]) -> Iterator[tuple[str, list[int], list[str], list[str], list[str]]]:
+    """(text, gone, low, keys, words) of every text: its lines in lower case with digit runs as 0, their keys and their words."""
+    for part in codes.blocks(texts):
+        whole, at = "\n".join(texts[part]), 0
+        low, (keys, words) = DIGITS.sub("0", whole.lower()).split("\n"), codes.keys_and_words(whole)
+        for text, aside in zip(texts[part], gone[part], strict=True):
+            own = slice(at, at := at + text.count("\n") + 1)
+            yield text, aside, low[own], keys[own], words[own]
+
+
 def _records(batches: Iterator[pa.RecordBatch], among: np.ndarray, words: frozenset[str]) -> Iterator[pa.RecordBatch]:
     """(rid, page, line_no, key, whole, kind, words, n, sure).
 
@@ -112,20 +129,20 @@ def _records(batches: Iterator[pa.RecordBatch], among: np.ndarray, words: frozen
     n, sure = Counter(), Counter()
     for batch in batches:
         flat, of, no, alone, marks = [], [], [], [], []
-        for k, (text, gone) in enumerate(zip(batch.column("text").to_pylist(), batch.column("gone").to_pylist(), strict=True)):
+        for k, (text, gone, low, whole, every_line) in enumerate(_lowered(batch.column("text").to_pylist(), batch.column("gone").to_pylist())):
             lines, one = body_lines(text, gone)
             alone.append(int(one))
-            some = not either.isdisjoint(WORD.findall(text.lower()))
             for at, line in lines:
-                ks = template_keys(line)
+                ks = _record_keys(low[at], whole[at])
                 flat += ks
                 of += [k] * len(ks)
                 no += [at] * len(ks)
                 kind = syntax_of(line)
                 if kind:
                     marks.append((k, at, kind, None, None))
-                if some:
-                    every = WORD.findall(line.lower())
+                every = every_line[at].split()
+                if not either.isdisjoint(every):
+                    every = [w for w in every if len(w) >= WORD_LETTERS]
                     here = words.intersection(every)
                     n.update(here)
                     if not SURE.isdisjoint(every):
@@ -157,8 +174,8 @@ RECORD_TYPES = "rid long, page long, line_no int, key long, whole int, kind stri
 
 
 def filler_candidates(rows: DataFrame) -> frozenset[str]:
-    """Words that stand in LEARN_LINES lines with a sure word of filler text."""
-    lines = rows.where(F.lower("text").rlike("lorem|ipsum")).select(F.explode(F.split(F.lower("text"), "\n")).alias("line")).where(F.col("line").rlike(r"\b(?:lorem|ipsum)\b"))
+    """Words that stand in LEARN_LINES lines with a sure word of filler text, which only texts flagged ``sure`` hold."""
+    lines = rows.where("sure").where(F.lower("text").rlike("lorem|ipsum")).select(F.explode(F.split(F.lower("text"), "\n")).alias("line")).where(F.col("line").rlike(r"\b(?:lorem|ipsum)\b"))
     words = lines.select(F.explode(F.array_distinct(F.regexp_extract_all("line", F.lit(r"\p{L}{3,}"), 0))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEARN_LINES).select("word")
     words = cut(words)
     if words.count() > 1_000_000:
@@ -171,14 +188,22 @@ def noted_pages(reasons: DataFrame, page: str = "source_url") -> DataFrame:
     return reasons.where(F.exists(F.coalesce("reasons", F.array().cast("array<string>")), lambda r: r.rlike(NOTES)) & F.col(page).isNotNull()).select(F.xxhash64(page).alias("page")).distinct()
 
 
+def _flagged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sure = pc.match_substring_regex(batch.column("text"), "|".join(sorted(SURE)), ignore_case=True)
+        yield pa.RecordBatch.from_arrays([*batch.columns, sure], names=[*batch.schema.names, "sure"])
+
+
 def with_bodies(df: DataFrame, keep: list[str]) -> DataFrame:
-    """(keep.., rid, page, text, gone) of every row with text, written once: texts with their furniture's lines."""
-    rows = with_furniture(df.select(*keep, F.xxhash64("source_url").alias("_page"), "source_url", "text"), [*keep, "_page"])
+    """(keep.., page, text, gone, sure, rid) of every row with text, written once: texts with their furniture's lines, and whether a sure word may be in them."""
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keep).schema)
+    flagged = _flagged, f"{schema}{', ' if keep else ''}_page long, text string, gone array<int>, sure boolean"
+    rows = with_furniture(df.select(*keep, F.xxhash64("source_url").alias("_page"), "source_url", "text"), [*keep, "_page"], then=flagged)
     return cut(rows.withColumnRenamed("_page", "page").withColumn("rid", F.monotonically_increasing_id()))
 
 
 def residue_lines(rows: DataFrame, noted: DataFrame) -> DataFrame:
-    """(rid, line_no, kind) of the residue in (rid, page, text, gone), given the pages noted; all texts are counted.
+    """(rid, line_no, kind) of the residue in (rid, page, text, gone, sure), given the pages noted; all texts are counted.
 
     Templates are judged further only if they make up the body of NOTED_PAGES noted pages; as broadcast they are at most BLOCK (32 MB).
     """

@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from florilege.llm import codes
 from florilege.llm.common import cut, spread
 from florilege.llm.residue import noted_pages, residue_lines, with_bodies
 
@@ -37,6 +38,8 @@ PERIOD, REGULAR, LAGS = 0.4, 0.45, range(1, 5)
 RESIDUE_LINES = 500_000
 #: Lines whose features a task remembers at a time.
 REMEMBERED = 100_000
+#: Longest line whose pieces are remembered.
+SHORT = 5_000
 
 MARK = re.compile(r"^\s*(?:[-*+•–—▪◦·]|\(?\d{1,3}[.)]|\(?[a-zA-Z][.)]|\(?[ivxIVX]{1,4}[.)])\s+")
 HEADING = re.compile(r"^\s*#{1,6}\s")
@@ -62,7 +65,19 @@ COMMON = SENTENCE_MARKS | frozenset((
 ).split())
 
 
-@lru_cache(maxsize=REMEMBERED)
+#: Where the count of numbers and codes begins in what ``_piece`` adds up.
+CODES = 32
+
+
+def _piece(piece: str) -> int:
+    """1 for a piece that looks like a word, and from bit CODES on 1 for a number or code."""
+    code = (not piece.isalpha() or len(piece) >= 28) and (NUMBER.match(piece) or CODE.match(piece))
+    return _wordlike(piece) | bool(code) << CODES
+
+
+_piece_again = lru_cache(maxsize=REMEMBERED)(_piece)
+
+
 def _wordlike(piece: str) -> bool:
     """Whether a piece looks like a word of some language."""
     core = piece.strip(".,;:!?…\"'()[]{}„“”»«*_-–—/|·•©")
@@ -78,22 +93,31 @@ def _wordlike(piece: str) -> bool:
     return bool(parts) and inner <= 1 and not odd and (len(core) > 1 or core.lower() in "aeioyuàéèóyiw")
 
 
-def line_features(line: str) -> tuple:
+def line_features(line: str, runs: str | None = None, symbols: int = 0) -> tuple:
     """(words, word-like, numbers and codes, sentence marks, mark, heading, ends like a sentence, delimiter, cells,
-    letter words, their letters, common words, symbols)."""
+    letter words, their letters, common words, symbols). ``runs`` are the line's runs of letters in lower case, if they are known,
+    and ``symbols`` its symbols."""
     mark = MARK.match(line)
     body = line[mark.end() :] if mark else line
-    if "](" in body or "://" in body:
+    linked = "](" in body or "://" in body
+    if linked:
         body = LINKS.sub(r" \1 ", body)
     pieces = body.split()
-    heading = HEADING.match(line) is not None
+    heading = "#" in line and HEADING.match(line) is not None
     if heading:
         pieces = [p for p in pieces if p.strip("#")]
-    letters = LETTERS.findall(body.lower())
-    marks = sum(map(SENTENCE_MARKS.__contains__, letters))
-    counts = len(letters), sum(map(len, letters)), sum(map(COMMON.__contains__, letters)), sum(map(len, SYMBOL.findall(body)))
-    like = sum(map(_wordlike, pieces))
-    codes = 0 if like == len(pieces) and len(line) < 28 else sum(1 for p in pieces if (not p.isalpha() or len(p) >= 28) and (NUMBER.match(p) or CODE.match(p)))
+    if runs is None or mark or linked:
+        letters, symbols = LETTERS.findall(body.lower()), sum(map(len, SYMBOL.findall(body)))
+        length = sum(map(len, letters))
+    else:
+        letters = runs.split()
+        length = len(runs) - max(0, len(letters) - 1)
+    common = [w for w in letters if w in COMMON]
+    marks = sum(map(SENTENCE_MARKS.__contains__, common))
+    counts = len(letters), length, len(common), symbols
+    both = sum(map(_piece_again if len(line) <= SHORT else _piece, pieces))
+    like = both & ((1 << CODES) - 1)
+    coded = 0 if like == len(pieces) and len(line) < 28 else both >> CODES
     filled = line.strip()
     if "|" in line and filled.startswith("|"):
         delimiter, cells = "|", filled.strip("|").count("|") + 1
@@ -108,7 +132,7 @@ def line_features(line: str) -> tuple:
     last = filled.rstrip("\"'”»)]")
     if last and ord(last[-1]) > 0x1F2FF:
         last = last[:-1].rstrip().rstrip("\"'”»)]")
-    return len(pieces), like, codes, marks, mark is not None, heading, last[-1:] in ENDS, delimiter, cells, *counts
+    return len(pieces), like, coded, marks, mark is not None, heading, last[-1:] in ENDS, delimiter, cells, *counts
 
 
 def _autocorrelation(values: list[int], lags: range) -> float:
@@ -130,14 +154,14 @@ STATS = (
 )
 
 
-def page_statistics(text: str, gone: list[int] | None = None, bad: list[int] | None = None, known: dict | None = None) -> tuple:
+def page_statistics(text: str, gone: list[int] | None = None, bad: list[int] | None = None, known: dict | None = None, parts: tuple[list[str], list[int], list[int]] | None = None) -> tuple:
     """The values of STATS for one text; ``kind`` is prose, list, table, junk, or empty if no content is left.
 
-    ``gone`` are the numbers of its furniture lines, ``bad`` those of residue.
+    ``gone`` are the numbers of its furniture lines, ``bad`` those of residue, ``parts`` what ``codes.line_parts`` tells of its lines.
     """
     known, aside, bad = {} if known is None else known, frozenset(gone or ()), frozenset(bad or ())
     lines = text.split("\n")
-    words = text.split()
+    runs, pieces, symbols_of = parts or codes.line_parts(text)
     furniture = residue = 0
     rows, indents, lengths, ended, filled, sums = [], [], [], 0, 0, []
     for no, line in enumerate(lines):
@@ -147,7 +171,7 @@ def page_statistics(text: str, gone: list[int] | None = None, bad: list[int] | N
         filled += 1
         f = known.get(line)
         if f is None:
-            f = line_features(line)
+            f = line_features(line, runs[no], symbols_of[no])
             if len(line) <= 300:
                 if len(known) >= REMEMBERED:
                     known.clear()
@@ -155,10 +179,10 @@ def page_statistics(text: str, gone: list[int] | None = None, bad: list[int] | N
         ended += f[6]
         sums += f[9:]
         if no in aside:
-            furniture += len(line.split())
+            furniture += pieces[no]
             continue
         if no in bad:
-            residue += len(line.split())
+            residue += pieces[no]
             rows.append(None)
             continue
         rows.append((line, f))
@@ -176,11 +200,12 @@ def page_statistics(text: str, gone: list[int] | None = None, bad: list[int] | N
         kind = max(("junk", "table", "list"), key=lambda k: total[k])
     letters, length_of, common, symbols = (sum(sums[k::4]) for k in range(4))
     tables = _tables(rows, kinds)
-    short = Counter(" ".join(x.lower().split()) for x in lines if 0 < len(x) <= 80)
+    some = [x for x in lines if 0 < len(x) <= 80]
+    short = Counter([" ".join(x.lower().split()) for x in some] if len(some) >= 3 else ())
     del short[""]
     return (
-        len(words), filled, round(length_of / max(1, letters), 4), round(symbols / max(1, len(text)), 4), round(ended / max(1, filled), 4),
-        round(common / max(1, letters), 4), tables, len(LINKS.findall(text)), sum(n for n in short.values() if n >= 3),
+        sum(pieces), filled, round(length_of / max(1, letters), 4), round(symbols / max(1, len(text)), 4), round(ended / max(1, filled), 4),
+        round(common / max(1, letters), 4), tables, len(LINKS.findall(text)) if "](" in text or "://" in text else 0, sum(n for n in short.values() if n >= 3),
         round(_autocorrelation(indents, LAGS), 4), round(_autocorrelation(lengths, range(1, 4)), 4),
         furniture, residue, total["prose"], total["list"], total["table"], total["junk"], kind,
     )
@@ -285,11 +310,16 @@ def _statistics(batches: Iterator[pa.RecordBatch], residue: dict[int, list[int]]
     known: dict = {}
     kinds = {"long": pa.int64(), "double": pa.float64(), "string": pa.string()}
     for batch in batches:
-        for at in range(0, batch.num_rows, 1000):
-            part = batch.slice(at, 1000)
+        every = batch.column("text").to_pylist()
+        for block in codes.blocks(every):
+            part, texts = batch.slice(block.start, block.stop - block.start), every[block]
+            every_line, at, own = codes.line_parts("\n".join(texts)), 0, []
+            for t in texts:
+                lines = slice(at, at := at + t.count("\n") + 1)
+                own.append(tuple(x[lines] for x in every_line))
             bad = part.column("bad").to_pylist() if "bad" in part.schema.names else map(residue.get, part.column("rid").to_pylist())
-            triples = zip(part.column("text").to_pylist(), part.column("gone").to_pylist(), bad, strict=True)
-            values = list(zip(*(page_statistics(*x, known) for x in triples), strict=True))
+            each = zip(texts, part.column("gone").to_pylist(), bad, own, strict=True)
+            values = list(zip(*(page_statistics(*x, known, r) for *x, r in each), strict=True))
             arrays = [pa.array(v, kinds[k]) for v, (_, k) in zip(values, STATS, strict=True)]
             yield pa.RecordBatch.from_arrays([part.column("file"), *arrays], names=["file", *(n for n, _ in STATS)])
 

@@ -3,7 +3,7 @@
 import random
 import time
 
-from florilege.llm import codes, language, maincontent
+from florilege.llm import codes, language, maincontent, residue, textstats
 
 PIECES = [*"abcÄéIİıΣσς19٣²Ⅷ𝐀𐐀😀_-–.!?;:\"'”»)](@/ \n\t\r\xa0|#\0", *[" "] * 8, "https://x.y", "www.z ", "](a)", "a@b.cd", ".) ", "\n\n"]
 
@@ -44,3 +44,24 @@ def test_pages_judged_together_are_judged_alike_and_cheaply():
         return min(took)
 
     assert least(lambda: language.split(texts)) < 0.75 * least(lambda: [language.sentences(t) for t in texts])
+
+
+def test_words_pieces_and_symbols_of_many_lines_at_once():
+    for texts in odd_texts(400):
+        lines = "\n".join(texts).split("\n")
+        words, pieces, symbols = codes.line_parts("\n".join(texts))
+        assert words == [" ".join(textstats.LETTERS.findall(x.lower())) for x in lines]
+        assert pieces == [len(x.split()) for x in lines] and symbols == [sum(map(len, textstats.SYMBOL.findall(x))) for x in lines]
+
+
+def test_features_of_a_line_are_the_same_if_its_words_are_known():
+    for texts in odd_texts(400):
+        for line in "\n".join(texts).split("\n"):
+            (words,), _, (symbols,) = codes.line_parts(line)
+            assert textstats.line_features(line, words, symbols) == textstats.line_features(line)
+
+
+def test_records_of_lines_read_at_once():
+    for texts in odd_texts(400):
+        for text, _, low, keys, _ in residue._lowered(texts, [[]] * len(texts)):
+            assert [residue._record_keys(*x) for x in zip(low, keys, strict=True)] == [residue.template_keys(x) for x in text.split("\n")]
