@@ -65,6 +65,25 @@ def starts(word: np.ndarray, after: np.ndarray) -> np.ndarray:
     return first
 
 
+def _runs(low: np.ndarray, run: np.ndarray, after: np.ndarray, again: np.ndarray | None = None) -> list[str]:
+    """The runs of characters flagged, parted by single blanks, of every line, without the characters in ``again``."""
+    line = low == 10
+    kept = run | line
+    if len(after):
+        first = starts(run, after)
+        kept = kept if again is None else kept & ~again
+        at = np.flatnonzero(kept)
+        return string(_spaced(low[at], first[at])).split("\n")
+    gap = ~kept
+    gap[:1] = False
+    gap[1:] &= run[:-1]
+    kept |= gap
+    if again is not None:
+        kept &= ~again
+    text = string(np.where(gap, np.uint32(32), low)[kept]).replace(" \n", "\n")
+    return (text[:-1] if text.endswith(" ") else text).split("\n")
+
+
 def _spaced(data: np.ndarray, blank: np.ndarray) -> np.ndarray:
     """``data`` with a blank before the words that begin where flagged and don't open a line."""
     blank[:1] = False
@@ -88,15 +107,14 @@ def keys_and_words(text: str) -> tuple[list[str], list[str]]:
 
 
 def _keys(low: np.ndarray, kind: np.ndarray, after: np.ndarray, digits: bool) -> list[str]:
-    word, line = (kind & WORD) > 0, low == 10
-    first = starts(word, after)
-    kept = word | line
+    again = None
     if digits:
         digit = (kind & DIGIT) > 0
         low = np.where(digit, np.uint32(48), low)
-        kept[1:] &= ~(digit[1:] & digit[:-1])
-    at = np.flatnonzero(kept)
-    return string(_spaced(low[at], first[at])).split("\n")
+        again = digit.copy()
+        again[:1] = False
+        again[1:] &= digit[:-1]
+    return _runs(low, (kind & WORD) > 0, after, again)
 
 
 def line_words(text: str) -> list[str]:
@@ -105,10 +123,7 @@ def line_words(text: str) -> list[str]:
 
 
 def _words(low: np.ndarray, kind: np.ndarray, after: np.ndarray) -> list[str]:
-    letter = (kind & LETTER) > 0
-    first = starts(letter, after)
-    at = np.flatnonzero(letter | (low == 10))
-    return string(_spaced(low[at], first[at])).split("\n")
+    return _runs(low, (kind & LETTER) > 0, after)
 
 
 def line_parts(text: str) -> tuple[list[str], list[int], list[int]]:

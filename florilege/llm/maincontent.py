@@ -15,7 +15,7 @@ of its chunks that recur but for a number that is another each time.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -35,8 +35,10 @@ OUTSIDE_PAGES, OUTSIDE_SHARE = 3, 0.04
 ROUNDS = 2
 #: Chunks of one document that must share a running title, least share of different numbers in it, and its least words.
 RUNNING_CHUNKS, RUNNING_SHARE, RUNNING_WORDS = 5, 0.8, 3
-#: Slot hashes broadcast at once (32 MB); more are taken in several passes.
+#: Most hashes that are broadcast, of slots and of what recurs (32 MB each).
 BLOCK = 4_000_000
+#: Columns by which the lines that recur are told.
+FOUND = ("eh", "ef", "et", "running")
 
 HEADING, ROW = re.compile(r"\s*(#{1,6})\s"), re.compile(r"\s*\|")
 DIGITS, OTHER = re.compile(r"\d+"), re.compile(r"[\W_]+")
@@ -159,7 +161,7 @@ def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 row = ([xxhash.xxh64_intdigest(head + t[2]) - (1 << 63) for t in trees], [t[0] for t in trees], [t[1] for t in trees], running)
                 for c, v in zip(cols, row, strict=True):
                     c.append(v)
-            kept = batch.drop_columns(["text"])
+            kept = batch.drop_columns(["host"])
             kinds = (longs, ints, ints, longs)
             yield pa.RecordBatch.from_arrays([*kept.columns, *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=[*kept.schema.names, "eh", "ef", "et", "running"])
 
@@ -170,30 +172,67 @@ def site_of(host: Column) -> Column:
 
 
 def trees(rows: DataFrame) -> DataFrame:
-    """(ta, tb, host, page, eh, ef, et, running) of (ta, tb, host, page, text): hash, first and last line of every subtree."""
-    kinds = "ta long, tb long, host string, page long, eh array<long>, ef array<int>, et array<int>, running array<long>"
-    return spread(rows.select("ta", "tb", "host", "page", "text")).mapInArrow(_trees, kinds)
+    """``rows`` (host, page, text, ..) without host, and their eh, ef, et, running: hash, first and last line of every subtree."""
+    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.drop("host").schema]
+    return spread(rows).mapInArrow(_trees, ", ".join([*kinds, "eh array<long>, ef array<int>, et array<int>, running array<long>"]))
 
 
 def _recurring(tree: DataFrame, min_pages: int, min_share: float) -> DataFrame:
-    """(ta, tb, ord): the filled lines of subtrees that recur on many pages of their host."""
-    found = tree.select("ta", "tb", "host", "page", F.explode(F.arrays_zip("eh", "ef", "et")).alias("x")).select("ta", "tb", "host", "page", "x.*")
+    """(key): hashes of subtrees that recur on many pages of their host."""
     # Distinct pages are counted in two steps, so no key's pages are ever in one task.
-    counts = found.select("eh", "host", "page").distinct().groupBy("eh", "host").agg(F.count(F.lit(1)).alias("pages")).where(F.col("pages") >= min_pages)
-    hosts = tree.select("host", "page").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("all"))
-    often = counts.join(hosts, "host").where(F.col("pages") >= F.col("all") * min_share).select("eh")
-    return found.select("ta", "tb", "eh", "ef", "et").join(often, "eh", "left_semi").select("ta", "tb", F.explode(F.sequence("ef", "et")).alias("ord"))
+    once = tree.select(F.explode("eh").alias("key"), "group", "page").distinct()
+    counts = once.groupBy("key", "group").agg(F.count(F.lit(1)).alias("pages")).where(F.col("pages") >= min_pages)
+    hosts = tree.select("group", "page").distinct().groupBy("group").agg(F.count(F.lit(1)).alias("all"))
+    return counts.join(hosts, "group").where(F.col("pages") >= F.col("all") * min_share).select("key")
 
 
-def _running(tree: DataFrame) -> DataFrame:
-    """(ta, tb, ord): running titles of long documents."""
+def _edges(tree: DataFrame) -> DataFrame:
+    """(ta, tb, ord, key, number) of the lines that may be running titles."""
     edge = tree.where(F.size("running") > 0).select("ta", "tb", F.explode(F.sequence(F.lit(0), F.size("running") - 1, F.lit(3))).alias("i"), "running")
-    edge = edge.select("ta", "tb", *[F.expr(f"running[i + {k}]").alias(n) for k, n in enumerate(("ord", "key", "number"))])
-    once = edge.select("key", "ta", "number").distinct()
+    return edge.select("ta", "tb", *[F.expr(f"running[i + {k}]").alias(n) for k, n in enumerate(("ord", "key", "number"))])
+
+
+def _running(tree: DataFrame) -> DataFrame:
+    """(key): running titles of long documents."""
+    once = _edges(tree).select("key", "ta", "number").distinct()
     numbers = once.select("key", "number").distinct().groupBy("key").agg(F.count(F.lit(1)).alias("numbers"))
     texts = once.select("key", "ta").distinct().groupBy("key").agg(F.count(F.lit(1)).alias("texts")).where(F.col("texts") >= RUNNING_CHUNKS)
-    titles = texts.join(numbers, "key").where(F.col("numbers") >= F.col("texts") * RUNNING_SHARE).select("key")
-    return edge.join(titles, "key", "left_semi").select("ta", "tb", F.col("ord").cast("int").alias("ord"))
+    return texts.join(numbers, "key").where(F.col("numbers") >= F.col("texts") * RUNNING_SHARE).select("key")
+
+
+def _keys(df: DataFrame) -> np.ndarray:
+    """The hashes of ``df`` (key), sorted."""
+    return np.sort(df.toArrow()["key"].to_numpy())
+
+
+def _joined(tree: DataFrame, often: DataFrame, titles: DataFrame) -> DataFrame:
+    """``tree`` with the filled lines of the subtrees and running titles given as ``exact``, for more hashes than are broadcast."""
+    found = tree.select("ta", "tb", F.explode(F.arrays_zip("eh", "ef", "et")).alias("x")).select("ta", "tb", F.col("x.eh").alias("key"), "x.ef", "x.et")
+    lines = found.join(often, "key", "left_semi").select("ta", "tb", F.explode(F.sequence("ef", "et")).alias("ord"))
+    lines = lines.unionByName(_edges(tree).join(titles, "key", "left_semi").select("ta", "tb", F.col("ord").cast("int").alias("ord")))
+    lines = lines.groupBy("ta", "tb").agg(F.collect_set("ord").alias("exact"))  # at most as many as a text has lines
+    return tree.join(lines, ["ta", "tb"], "left")
+
+
+def _exact(batch: pa.RecordBatch, often: np.ndarray, titles: np.ndarray) -> list[Iterable[int]]:
+    """The filled lines of each text that recur, or are running titles."""
+    if "exact" in batch.schema.names:
+        return [x or () for x in batch.column("exact").to_pylist()]
+    found: list[Iterable[int]] = [()] * batch.num_rows
+    for c, known, width in (("eh", often, 1), ("running", titles, 3)):
+        lists = batch.column(c)
+        starts = lists.offsets.to_numpy()
+        values = lists.values.to_numpy()[starts[0] : starts[-1]]
+        hit = np.flatnonzero(_member(values[width // 2 :: width], known))
+        of = (np.searchsorted(starts - starts[0], hit * width, side="right") - 1).tolist()
+        if width == 1:
+            spans = [batch.column(x).values.to_numpy()[starts[0] + hit].tolist() for x in ("ef", "et")]
+        else:
+            spans = [values[hit * width].tolist()] * 2
+        for k, a, b in zip(of, *spans, strict=True):
+            found[k] = found[k] or set()
+            found[k].update(range(a, b + 1))
+    return found
 
 
 def _member(values: np.ndarray, among: np.ndarray) -> np.ndarray:
@@ -243,12 +282,12 @@ _slots_again = lru_cache(maxsize=REMEMBERED)(_slots)
 class Page:
     """A text's filled lines with flags; slot hashes are made only of the lines that are asked for."""
 
-    def __init__(self, text: str, site: str, exact: list[int] | None, known: Among) -> None:
+    def __init__(self, text: str, site: str, exact: Iterable[int], known: Among) -> None:
         self.lines = text.split("\n")
         self.no = [k for k, x in enumerate(self.lines) if x and not x.isspace()]
         self.site, self.marks, n = site, ("#" in text, "|" in text), len(self.no)
         self.flag = [False] * n
-        for i in exact or ():
+        for i in exact:
             self.flag[i] = True
         a, b = edges(self.flag)
         if len(known):
@@ -295,16 +334,21 @@ class Page:
         return found
 
 
-def _texts(batch: pa.RecordBatch, known: Among) -> Iterator[Page]:
-    for text, site, exact in zip(*(batch.column(c).to_pylist() for c in ("text", "site", "exact")), strict=True):
-        yield Page(text, site, exact, known)
+#: Sorted hashes of subtrees that recur, of running titles, and of slots.
+Known = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def _texts(batch: pa.RecordBatch, known: Known, among: Among) -> Iterator[Page]:
+    exact = _exact(batch, *known[:2])
+    for text, site, lines in zip(*(batch.column(c).to_pylist() for c in ("text", "site")), exact, strict=True):
+        yield Page(text, site, lines, among)
 
 
-def _evidence(batches: Iterator[pa.RecordBatch], known: np.ndarray) -> Iterator[pa.RecordBatch]:
-    among = Among(known)
+def _evidence(batches: Iterator[pa.RecordBatch], known: Known) -> Iterator[pa.RecordBatch]:
+    among = Among(known[2])
     for batch in batches:
         keys, pages, out = [], [], []
-        for page, text in zip(batch.column("page").to_pylist(), _texts(batch, among), strict=True):
+        for page, text in zip(batch.column("page").to_pylist(), _texts(batch, known, among), strict=True):
             for i, x in text.outside().items():
                 ks = text.slots(i)
                 keys += ks
@@ -314,18 +358,18 @@ def _evidence(batches: Iterator[pa.RecordBatch], known: np.ndarray) -> Iterator[
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(pages, pa.int64()), pa.array(out, pa.int32())], names=["key", "page", "out"])
 
 
-def _marked(batches: Iterator[pa.RecordBatch], known: np.ndarray) -> Iterator[pa.RecordBatch]:
-    among = Among(known)
+def _marked(batches: Iterator[pa.RecordBatch], known: Known) -> Iterator[pa.RecordBatch]:
+    among = Among(known[2])
     for batch in batches:
-        gone = [[n for n, f in zip(text.no, text.flag, strict=True) if f] for text in _texts(batch, among)]
-        kept = batch.drop_columns(["site", "page", "exact"])
+        gone = [[n for n, f in zip(text.no, text.flag, strict=True) if f] for text in _texts(batch, known, among)]
+        kept = batch.drop_columns([c for c in batch.schema.names if c in (*FOUND, "exact", "site", "page")])
         yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(gone, pa.list_(pa.int32()))], names=[*kept.schema.names, "gone"])
 
 
-def slot_hashes(rows: DataFrame, known: np.ndarray, pages: int, share: float) -> DataFrame:
+def slot_hashes(rows: DataFrame, known: Known, pages: int, share: float) -> DataFrame:
     """(key): hashes of lines with slots that stand outside of the content, given those known before."""
     shared = rows.sparkSession.sparkContext.broadcast(known)
-    found = rows.select("page", "site", "text", "exact").mapInArrow(lambda b: _evidence(b, shared.value), "key long, page long, out int")
+    found = rows.mapInArrow(lambda b: _evidence(b, shared.value), "key long, page long, out int")
     once = found.groupBy("key", "page").agg(F.max("out").alias("out"))
     counts = once.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("out").alias("out"))
     return counts.where((F.col("out") >= pages) & (F.col("out") >= F.col("n") * share)).select("key")
@@ -334,28 +378,31 @@ def slot_hashes(rows: DataFrame, known: np.ndarray, pages: int, share: float) ->
 def with_furniture(df: DataFrame, keep: list[str], exact_pages: int = EXACT_PAGES, exact_share: float = EXACT_SHARE, rounds: int = ROUNDS, then: tuple[Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], str] | None = None) -> DataFrame:
     """(keep.., text, gone): the rows of ``df`` (source_url, text) that have text, with the numbers of their furniture lines.
 
-    Rows without host are one host; repeated rows are repeated. The slot hashes learned are broadcast, at most BLOCK of
+    Rows without host are one host; repeated rows are repeated. The hashes of what recurs are broadcast up to BLOCK of them, more are
+    joined to their texts. The slot hashes learned are broadcast, at most BLOCK of
     them; if there are more, the operator raises an error rather than dropping some. With ``then``, a function of the batches and the
     schema of what it yields, that is returned, made in the same pass.
     """
     host = F.coalesce(host_of(F.col("source_url")), F.lit(""))
-    rows = df.where("text IS NOT NULL").select(*keep, host.alias("host"), site_of(host).alias("site"), F.xxhash64("source_url").alias("page"), F.xxhash64("source_url", "text").alias("ta"), F.xxhash64("text", F.lit(1), "source_url").alias("tb"), "text")
+    rows = df.where("text IS NOT NULL").select(*keep, host.alias("host"), F.xxhash64(host).alias("group"), site_of(host).alias("site"), F.xxhash64("source_url").alias("page"), F.xxhash64("source_url", "text").alias("ta"), F.xxhash64("text", F.lit(1), "source_url").alias("tb"), "text")
+    # Texts are written with their subtrees and stay where they are: no text is shuffled to learn which of its lines recur.
     tree = cut(trees(rows))
-    gone = _recurring(tree, exact_pages, exact_share).unionByName(_running(tree))
-    gone = gone.groupBy("ta", "tb").agg(F.collect_set("ord").alias("exact"))  # at most as many as a text has lines
-    rows = cut(rows.join(gone, ["ta", "tb"], "left").select(*keep, "site", "page", "text", "exact"))
-    known = np.empty(0, np.int64)
+    often, titles = cut(_recurring(tree, exact_pages, exact_share)), cut(_running(tree))
+    if often.count() + titles.count() <= BLOCK:
+        rows, exact, known = tree, FOUND, (_keys(often), _keys(titles), np.empty(0, np.int64))
+    else:
+        rows, exact, known = cut(_joined(tree, often, titles).select(*keep, "site", "page", "text", "exact")), ("exact",), (np.empty(0, np.int64),) * 3
     for _ in range(rounds):
-        new = cut(slot_hashes(rows, known, OUTSIDE_PAGES, OUTSIDE_SHARE))
-        if new.count() + len(known) > BLOCK:
+        new = cut(slot_hashes(rows.select("page", "site", "text", *exact), known, OUTSIDE_PAGES, OUTSIDE_SHARE))
+        if new.count() + len(known[2]) > BLOCK:
             raise ValueError(f"more than {BLOCK} slot hashes; run the operator by groups of sites")
-        more = np.setdiff1d(np.array([r["key"] for r in new.collect()], np.int64), known)
+        more = np.setdiff1d(_keys(new), known[2])
         if not len(more):
             break
-        known = np.union1d(known, more)
-    shared = df.sparkSession.sparkContext.broadcast(known)
+        known = *known[:2], np.union1d(known[2], more)
+    shared, rows = df.sparkSession.sparkContext.broadcast(known), rows.select(*keep, "site", "page", "text", *exact)
     if then:
-        return rows.select(*keep, "site", "page", "text", "exact").mapInArrow(lambda b: then[0](_marked(b, shared.value)), then[1])
+        return rows.mapInArrow(lambda b: then[0](_marked(b, shared.value)), then[1])
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keep).schema)
     return rows.mapInArrow(lambda b: _marked(b, shared.value), f"{schema}{', ' if keep else ''}text string, gone array<int>")
 

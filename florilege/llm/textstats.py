@@ -13,7 +13,6 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -36,10 +35,8 @@ WORDLIKE, SYMBOLS = 0.5, 0.35
 PERIOD, REGULAR, LAGS = 0.4, 0.45, range(1, 5)
 #: Lines of residue up to which they are broadcast (some 50 MB); beyond, they are joined to their texts.
 RESIDUE_LINES = 500_000
-#: Lines whose features a task remembers at a time.
-REMEMBERED = 100_000
-#: Longest line whose pieces are remembered.
-SHORT = 5_000
+#: Lines whose features, and pieces whose shares in them, a task remembers from block to block, and the longest of these lines.
+REMEMBERED, REMEMBERED_CHARS = 100_000, 300
 
 MARK = re.compile(r"^\s*(?:[-*+•–—▪◦·]|\(?\d{1,3}[.)]|\(?[a-zA-Z][.)]|\(?[ivxIVX]{1,4}[.)])\s+")
 HEADING = re.compile(r"^\s*#{1,6}\s")
@@ -65,17 +62,10 @@ COMMON = SENTENCE_MARKS | frozenset((
 ).split())
 
 
-#: Where the count of numbers and codes begins in what ``_piece`` adds up.
-CODES = 32
-
-
-def _piece(piece: str) -> int:
-    """1 for a piece that looks like a word, and from bit CODES on 1 for a number or code."""
+def _piece(piece: str) -> tuple[bool, bool]:
+    """Whether a piece between white space looks like a word, and whether it is a number or code."""
     code = (not piece.isalpha() or len(piece) >= 28) and (NUMBER.match(piece) or CODE.match(piece))
-    return _wordlike(piece) | bool(code) << CODES
-
-
-_piece_again = lru_cache(maxsize=REMEMBERED)(_piece)
+    return _wordlike(piece), bool(code)
 
 
 def _wordlike(piece: str) -> bool:
@@ -97,33 +87,39 @@ def line_features(line: str, runs: str | None = None, symbols: int = 0) -> tuple
     """(words, word-like, numbers and codes, sentence marks, mark, heading, ends like a sentence, delimiter, cells,
     letter words, their letters, common words, symbols). ``runs`` are the line's runs of letters in lower case, if they are known,
     and ``symbols`` its symbols."""
-    mark = MARK.match(line)
-    body = line[mark.end() :] if mark else line
-    linked = "](" in body or "://" in body
-    if linked:
-        body = LINKS.sub(r" \1 ", body)
+    body, mark, linked = _body(line)
     pieces = body.split()
     heading = "#" in line and HEADING.match(line) is not None
     if heading:
         pieces = [p for p in pieces if p.strip("#")]
     if runs is None or mark or linked:
         letters, symbols = LETTERS.findall(body.lower()), sum(map(len, SYMBOL.findall(body)))
-        length = sum(map(len, letters))
     else:
         letters = runs.split()
-        length = len(runs) - max(0, len(letters) - 1)
     common = [w for w in letters if w in COMMON]
     marks = sum(map(SENTENCE_MARKS.__contains__, common))
-    counts = len(letters), length, len(common), symbols
-    both = sum(map(_piece_again if len(line) <= SHORT else _piece, pieces))
-    like = both & ((1 << CODES) - 1)
-    coded = 0 if like == len(pieces) and len(line) < 28 else both >> CODES
+    both = [_piece(p) for p in pieces]
+    like = sum(x for x, _ in both)
+    coded = 0 if like == len(pieces) and len(line) < 28 else sum(x for _, x in both)
+    return len(pieces), like, coded, marks, mark, heading, *_shape(line, mark), len(letters), sum(map(len, letters)), len(common), symbols
+
+
+def _body(line: str) -> tuple[str, bool, bool]:
+    """A line without its mark and with its links as their texts, and whether it has either."""
+    mark = MARK.match(line)
+    body = line[mark.end() :] if mark else line
+    linked = "](" in body or "://" in body
+    return LINKS.sub(r" \1 ", body) if linked else body, mark is not None, linked
+
+
+def _shape(line: str, mark: bool) -> tuple[bool, str, int]:
+    """(ends like a sentence, delimiter, cells)."""
     filled = line.strip()
     if "|" in line and filled.startswith("|"):
         delimiter, cells = "|", filled.strip("|").count("|") + 1
     elif "\t" in filled:
         delimiter, cells = "\t", filled.count("\t") + 1
-    elif "  " in filled and (n := len(GAP.findall(filled))) and not mark:
+    elif not mark and "  " in filled and (n := len(GAP.findall(filled))):
         delimiter, cells = " ", n + 1
     elif ";" in line and (n := line.count("; ")):
         delimiter, cells = ";", n + 1
@@ -132,7 +128,73 @@ def line_features(line: str, runs: str | None = None, symbols: int = 0) -> tuple
     last = filled.rstrip("\"'”»)]")
     if last and ord(last[-1]) > 0x1F2FF:
         last = last[:-1].rstrip().rstrip("\"'”»)]")
-    return len(pieces), like, coded, marks, mark is not None, heading, last[-1:] in ENDS, delimiter, cells, *counts
+    return last[-1:] in ENDS, delimiter, cells
+
+
+class Pieces(dict):
+    """Numbers of pieces between white space, and a table of what each of them adds to its line."""
+
+    def __init__(self) -> None:
+        self.new: list[tuple] = []
+        self.table = np.empty((0, 8), np.int64)
+
+    def __missing__(self, piece: str) -> int:
+        letters = LETTERS.findall(piece.lower())
+        common = [w for w in letters if w in COMMON]
+        marks, symbols = sum(map(SENTENCE_MARKS.__contains__, common)), sum(map(len, SYMBOL.findall(piece)))
+        self.new.append((*_piece(piece), marks, len(letters), sum(map(len, letters)), len(common), symbols, not piece.strip("#")))
+        self[piece] = at = len(self)
+        return at
+
+    def sums(self, pieces: list[str], counts: list[int]) -> list[list[int]]:
+        """What so many pieces each add up to, line after line."""
+        if len(self) > REMEMBERED:
+            self.__init__()
+            self.clear()
+        at = np.fromiter(map(self.__getitem__, pieces), np.int64, len(pieces))
+        if self.new:
+            self.table = np.concatenate([self.table, np.array(self.new, np.int64)])
+            self.new = []
+        total = np.zeros((len(at) + 1, 8), np.int64)
+        np.cumsum(self.table[at], axis=0, out=total[1:])
+        return np.diff(total[np.cumsum([0, *counts])], axis=0).tolist()
+
+
+class Lines(dict):
+    """(pieces, features, indent, what repeats of it if it's short) of the lines of many texts, None for a blank one.
+
+    Features are those of ``line_features``, added up from pieces for all the lines of a block that aren't known yet.
+    """
+
+    def __init__(self) -> None:
+        self.pieces = Pieces()
+
+    def read(self, lines: list[str]) -> None:
+        """Know these lines; what isn't to be remembered goes with the next call."""
+        if len(self) > REMEMBERED:
+            self.clear()
+        for line in [x for x in self if len(x) > REMEMBERED_CHARS]:
+            del self[line]
+        flat, counts, fresh = [], [], []
+        for line in dict.fromkeys(lines):
+            if line in self:
+                continue
+            if not line or line.isspace():
+                self[line] = None
+                continue
+            body, mark, linked = _body(line)
+            pieces = body.split()
+            flat += pieces
+            counts.append(len(pieces))
+            fresh.append((line, mark, len(line.split()) if mark or linked else len(pieces)))
+        for (line, mark, n), size, (like, coded, marks, letters, length, common, symbols, plain) in zip(fresh, counts, self.pieces.sums(flat, counts), strict=True):
+            heading = "#" in line and HEADING.match(line) is not None
+            if heading:
+                size -= plain
+            if like == size and len(line) < 28:
+                coded = 0
+            short = " ".join(line.lower().split()) if len(line) <= 80 else ""
+            self[line] = n, (size, like, coded, marks, mark, heading, *_shape(line, mark), letters, length, common, symbols), len(line) - len(line.lstrip()), short
 
 
 def _autocorrelation(values: list[int], lags: range) -> float:
@@ -154,39 +216,36 @@ STATS = (
 )
 
 
-def page_statistics(text: str, gone: list[int] | None = None, bad: list[int] | None = None, known: dict | None = None, parts: tuple[list[str], list[int], list[int]] | None = None) -> tuple:
+def page_statistics(text: str, gone: list[int] | None = None, bad: list[int] | None = None, known: Lines | None = None) -> tuple:
     """The values of STATS for one text; ``kind`` is prose, list, table, junk, or empty if no content is left.
 
-    ``gone`` are the numbers of its furniture lines, ``bad`` those of residue, ``parts`` what ``codes.line_parts`` tells of its lines.
+    ``gone`` are the numbers of its furniture lines, ``bad`` those of residue, ``known`` what is known of its lines.
     """
-    known, aside, bad = {} if known is None else known, frozenset(gone or ()), frozenset(bad or ())
+    aside, bad = frozenset(gone or ()), frozenset(bad or ())
     lines = text.split("\n")
-    runs, pieces, symbols_of = parts or codes.line_parts(text)
-    furniture = residue = 0
-    rows, indents, lengths, ended, filled, sums = [], [], [], 0, 0, []
-    for no, line in enumerate(lines):
-        if not line.strip():
+    if known is None:
+        known = Lines()
+        known.read(lines)
+    words = furniture = residue = 0
+    rows, indents, lengths, features, some = [], [], [], [], []
+    for no, (line, x) in enumerate(zip(lines, map(known.__getitem__, lines), strict=True)):
+        if x is None:
             rows.append(None)
             continue
-        filled += 1
-        f = known.get(line)
-        if f is None:
-            f = line_features(line, runs[no], symbols_of[no])
-            if len(line) <= 300:
-                if len(known) >= REMEMBERED:
-                    known.clear()
-                known[line] = f
-        ended += f[6]
-        sums += f[9:]
+        n, f, indent, short = x
+        words += n
+        features.append(f)
+        if short:
+            some.append(short)
         if no in aside:
-            furniture += pieces[no]
+            furniture += n
             continue
         if no in bad:
-            residue += pieces[no]
+            residue += n
             rows.append(None)
             continue
         rows.append((line, f))
-        indents.append(len(line) - len(line.lstrip()))
+        indents.append(indent)
         lengths.append(len(line))
     kinds = line_kinds(rows)
     total = Counter()
@@ -198,13 +257,12 @@ def page_statistics(text: str, gone: list[int] | None = None, bad: list[int] | N
     if kind == "prose" and content and total["prose"] < MOST * content:
         # No single kind has most of the words: the largest that isn't prose, if together they outweigh it.
         kind = max(("junk", "table", "list"), key=lambda k: total[k])
-    letters, length_of, common, symbols = (sum(sums[k::4]) for k in range(4))
+    columns, filled = list(zip(*features, strict=True)) or [()] * 13, len(features)
+    ended, letters, length_of, common, symbols = map(sum, (columns[6], *columns[9:]))
     tables = _tables(rows, kinds)
-    some = [x for x in lines if 0 < len(x) <= 80]
-    short = Counter([" ".join(x.lower().split()) for x in some] if len(some) >= 3 else ())
-    del short[""]
+    short = Counter(some if len(some) >= 3 else ())
     return (
-        sum(pieces), filled, round(length_of / max(1, letters), 4), round(symbols / max(1, len(text)), 4), round(ended / max(1, filled), 4),
+        words, filled, round(length_of / max(1, letters), 4), round(symbols / max(1, len(text)), 4), round(ended / max(1, filled), 4),
         round(common / max(1, letters), 4), tables, len(LINKS.findall(text)) if "](" in text or "://" in text else 0, sum(n for n in short.values() if n >= 3),
         round(_autocorrelation(indents, LAGS), 4), round(_autocorrelation(lengths, range(1, 4)), 4),
         furniture, residue, total["prose"], total["list"], total["table"], total["junk"], kind,
@@ -307,19 +365,15 @@ def _tables(rows: list, kinds: list[str]) -> int:
 
 
 def _statistics(batches: Iterator[pa.RecordBatch], residue: dict[int, list[int]]) -> Iterator[pa.RecordBatch]:
-    known: dict = {}
-    kinds = {"long": pa.int64(), "double": pa.float64(), "string": pa.string()}
+    known, kinds = Lines(), {"long": pa.int64(), "double": pa.float64(), "string": pa.string()}
     for batch in batches:
         every = batch.column("text").to_pylist()
         for block in codes.blocks(every):
             part, texts = batch.slice(block.start, block.stop - block.start), every[block]
-            every_line, at, own = codes.line_parts("\n".join(texts)), 0, []
-            for t in texts:
-                lines = slice(at, at := at + t.count("\n") + 1)
-                own.append(tuple(x[lines] for x in every_line))
+            known.read("\n".join(texts).split("\n"))
             bad = part.column("bad").to_pylist() if "bad" in part.schema.names else map(residue.get, part.column("rid").to_pylist())
-            each = zip(texts, part.column("gone").to_pylist(), bad, own, strict=True)
-            values = list(zip(*(page_statistics(*x, known, r) for *x, r in each), strict=True))
+            each = zip(texts, part.column("gone").to_pylist(), bad, strict=True)
+            values = list(zip(*(page_statistics(*x, known) for x in each), strict=True))
             arrays = [pa.array(v, kinds[k]) for v, (_, k) in zip(values, STATS, strict=True)]
             yield pa.RecordBatch.from_arrays([part.column("file"), *arrays], names=["file", *(n for n, _ in STATS)])
 
