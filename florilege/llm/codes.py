@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import cache
 
@@ -11,6 +12,7 @@ import numpy as np
 SPACE, WORD, DIGIT, LETTER = 1, 2, 4, 8
 #: The only character whose lower case has two; the second is no word character.
 DOTTED = 0x130
+DIGITS = re.compile(r"\d+")
 #: Characters that are read at once.
 BLOCK_CHARS = 1_000_000
 
@@ -102,19 +104,32 @@ def line_keys(text: str, digits: bool = True) -> list[str]:
 
 def keys_and_words(text: str) -> tuple[list[str], list[str]]:
     """``line_keys`` and ``line_words``."""
-    all_ = read(text)
-    return _keys(*all_, True), _words(*all_)
+    return lines_keys_and_words(text)[1:]
+
+
+def lines_keys_and_words(text: str) -> tuple[list[str], list[str], list[str]]:
+    """Every line in lower case with digit runs as 0, ``line_keys`` and ``line_words``."""
+    low, kind, after = read(text)
+    flat, again = _zeros(low, kind)
+    if len(after) or chr(DOTTED) in text:  # in lower case it has two characters
+        lines = DIGITS.sub("0", text.lower()).split("\n")
+    else:
+        lines = string(flat[~again]).split("\n")
+    return lines, _runs(flat, (kind & WORD) > 0, after, again), _words(low, kind, after)
+
+
+def _zeros(low: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The characters with 0 for digits, and where a digit follows another."""
+    digit = (kind & DIGIT) > 0
+    again = digit.copy()
+    again[:1] = False
+    again[1:] &= digit[:-1]
+    return np.where(digit, np.uint32(48), low), again
 
 
 def _keys(low: np.ndarray, kind: np.ndarray, after: np.ndarray, digits: bool) -> list[str]:
-    again = None
-    if digits:
-        digit = (kind & DIGIT) > 0
-        low = np.where(digit, np.uint32(48), low)
-        again = digit.copy()
-        again[:1] = False
-        again[1:] &= digit[:-1]
-    return _runs(low, (kind & WORD) > 0, after, again)
+    flat, again = _zeros(low, kind) if digits else (low, None)
+    return _runs(flat, (kind & WORD) > 0, after, again)
 
 
 def line_words(text: str) -> list[str]:

@@ -86,11 +86,16 @@ def syntax_of(line: str) -> str | None:
     return None
 
 
+def may_have_slots(text: str) -> bool:
+    """Whether ``syntax_of`` may find something in a line of the text; cheaper than to ask each."""
+    return any(x in text for x in ENDS) or (SIGN.search(text) is not None and SIGNS.search(text) is not None)
+
+
 def body_lines(text: str, gone: list[int]) -> tuple[list[tuple[int, str]], bool]:
     """The filled lines of a text beside furniture, and whether there are so few that one record makes up the body."""
     aside = set(gone)
     lines = [(k, x) for k, x in enumerate(text.split("\n")) if k not in aside and x.strip()]
-    return lines, sum(1 for _, x in lines if not HASH.match(x)) <= BODY_LINES
+    return lines, sum(1 for _, x in lines if "#" not in x or not HASH.match(x)) <= BODY_LINES
 
 
 def _noted(batches: Iterator[pa.RecordBatch], noted: np.ndarray | None) -> Iterator[pa.RecordBatch]:
@@ -112,8 +117,7 @@ def _noted(batches: Iterator[pa.RecordBatch], noted: np.ndarray | None) -> Itera
 def _lowered(texts: list[str], gone: list[list[int]]) -> Iterator[tuple[str, list[int], list[str], list[str], list[str]]]:
     """(text, gone, low, keys, words) of every text: its lines in lower case with digit runs as 0, their keys and their words."""
     for part in codes.blocks(texts):
-        whole, at = "\n".join(texts[part]), 0
-        low, (keys, words) = DIGITS.sub("0", whole.lower()).split("\n"), codes.keys_and_words(whole)
+        (low, keys, words), at = codes.lines_keys_and_words("\n".join(texts[part])), 0
         for text, aside in zip(texts[part], gone[part], strict=True):
             own = slice(at, at := at + text.count("\n") + 1)
             yield text, aside, low[own], keys[own], words[own]
@@ -132,13 +136,13 @@ def _records(batches: Iterator[pa.RecordBatch], among: np.ndarray, words: frozen
         for k, (text, gone, low, whole, every_line) in enumerate(_lowered(batch.column("text").to_pylist(), batch.column("gone").to_pylist())):
             lines, one = body_lines(text, gone)
             alone.append(int(one))
+            signed = may_have_slots(text)
             for at, line in lines:
                 ks = _record_keys(low[at], whole[at])
                 flat += ks
                 of += [k] * len(ks)
                 no += [at] * len(ks)
-                kind = syntax_of(line)
-                if kind:
+                if signed and (kind := syntax_of(line)):
                     marks.append((k, at, kind, None, None))
                 every = every_line[at].split()
                 if not either.isdisjoint(every):

@@ -2,7 +2,7 @@
 
 from test_codes import odd_texts
 
-from florilege.llm import maincontent, textstats
+from florilege.llm import codes, maincontent, residue, textstats
 
 
 def test_features_of_many_lines_at_once():
@@ -47,3 +47,21 @@ def test_more_recurring_hashes_than_are_broadcast_are_joined(spark, monkeypatch)
     monkeypatch.setattr(maincontent, "_joined", lambda *x: seen.append(1) or joined(*x))
     monkeypatch.setattr(maincontent, "BLOCK", 1)
     assert found() == want and seen
+
+
+def test_lines_of_records_read_from_one_array():
+    for texts in odd_texts(400):
+        whole = "\n".join(texts)
+        lines = whole.split("\n")
+        low, keys, words = codes.lines_keys_and_words(whole)
+        assert low == [maincontent.DIGITS.sub("0", x) for x in whole.lower().split("\n")]
+        assert keys == [maincontent.line_key(x) for x in lines] and words == [" ".join(textstats.LETTERS.findall(x.lower())) for x in lines]
+
+
+def test_texts_that_are_not_asked_for_slots_have_none():
+    slots = ["{{ name }}", "${x}", "{% x %}", "[[ x ]]", "@@ x @@", "### x ###", "%% x %%", "%name%", "__name__", "&lt; x &gt;", "<!-- x -->", "«name»", "<Bitte Namen eintragen>", "[your name]", "[NAME_PLATZHALTER]", "Name: ____", "Name: ....", "Name: ……"]
+    assert all(residue.syntax_of(x) and residue.may_have_slots(f"Text\n{x}\nText") for x in slots)
+    for texts in odd_texts(400):
+        for text in texts:
+            assert residue.may_have_slots(text) or not any(map(residue.syntax_of, text.split("\n")))
+    assert not residue.may_have_slots("Ein Text.\n# Kopf")
